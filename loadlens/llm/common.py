@@ -49,3 +49,12 @@ def cut(df: DataFrame) -> DataFrame:
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loadlens-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """A hint to broadcast a table cut() before, if it is counted to be small.
+
+    Beyond that many rows the join is left to the planner, which shuffles both
+    sides and splits skewed partitions.
+    """
+    return F.broadcast(df) if df.count() <= rows else df

@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loadlens.llm.common import cut, table
+from loadlens.llm.common import broadcast_if_small, cut, table
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -156,7 +156,7 @@ def fences(found: DataFrame) -> DataFrame:
         .when(F.col("lang_docs") >= GROUP_DOCS, _key(F.lit(1), lang, none))
         .otherwise(_key(F.lit(0), none, none))
     )
-    return sizes.select("lang", "source", key.alias("key")).join(by_key, "key")
+    return cut(sizes.select("lang", "source", key.alias("key")).join(by_key, "key"))
 
 
 def judged(found: DataFrame, limits: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def judged(found: DataFrame, limits: DataFrame) -> DataFrame:
         passes &= F.col(f"m.{m}") <= F.col(f"f_hi_{m}")
         if below:
             passes &= F.col(f"m.{m}") >= F.col(f"f_lo_{m}")
-    return found.join(limits, same, "left").select("row", "c", failed.alias("base_failed"), (~failed & F.coalesce(passes, F.lit(False))).alias("kept"))
+    return found.join(broadcast_if_small(limits), same, "left").select("row", "c", failed.alias("base_failed"), (~failed & F.coalesce(passes, F.lit(False))).alias("kept"))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
