@@ -1,3 +1,65 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
+"""From raw documents to sharded training data: five stages, each one operator.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
+each as Parquet beside the checkpoints and rereads it as the next one's docs,
+so that a lost executor costs a stage at most.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loadlens.llm import decontaminate, mixing, neardup, quality, sharding
+from loadlens.llm.common import table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the rules of their language and source go."""
+    return quality.keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, that of the least doc_id."""
+    return neardup.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source at its target: documents come as often as the mix takes them."""
+    return mixing.draw(docs)
+
+
+def sharding_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its shard and slot; copies of a document share a shard."""
+    return sharding.sharded(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing_sources),
+    ("sharding", sharding_rows),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; the shared folder of spark.checkpoint.dir holds what they write."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loadlens-pipeline-")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
+
+
+#: No SQL: the stages are checked one by one, and the whole against a brute-force version in tests/llm.
+ORACLE_SQL = None
