@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from loadlens.llm import decontaminate, linededup, mixing, neardup, quality, sharding, tokencount
+from loadlens.llm import decontaminate, linededup, mixing, neardup, quality, sharding, tokencount, warc
 
 QUERIES = {
     "op2_token_counts": tokencount.query,
     "op3_quality_rules": quality.query,
     "op4_minhash_near_dedup": neardup.query,
     "op5_weighted_hash_tree": sharding.query,
+    "op6_warc_reassembly": warc.query,
     "op8_benchmark_decontamination": decontaminate.query,
     "op9_line_dedup": linededup.query,
     "op10_pareto_mixing": mixing.query,
@@ -15,6 +16,7 @@ QUERIES = {
 ORACLES = {
     "op4_minhash_near_dedup": neardup.ORACLE_SQL,
     "op5_weighted_hash_tree": sharding.ORACLE_SQL,
+    "op6_warc_reassembly": warc.ORACLE_SQL,
     "op8_benchmark_decontamination": decontaminate.ORACLE_SQL,
     "op9_line_dedup": linededup.ORACLE_SQL,
     "op10_pareto_mixing": mixing.ORACLE_SQL,
