@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from loadlens.llm import decontaminate, linededup, mixing, neardup, quality, sharding, tokencount, warc
+from loadlens.llm import decontaminate, linededup, lmscore, mixing, neardup, quality, sharding, tokencount, warc
 
 QUERIES = {
+    "op1_stupid_backoff": lmscore.query,
     "op2_token_counts": tokencount.query,
     "op3_quality_rules": quality.query,
     "op4_minhash_near_dedup": neardup.query,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_stupid_backoff": lmscore.ORACLE_SQL,
     "op4_minhash_near_dedup": neardup.ORACLE_SQL,
     "op5_weighted_hash_tree": sharding.ORACLE_SQL,
     "op6_warc_reassembly": warc.ORACLE_SQL,
