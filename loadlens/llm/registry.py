@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from loadlens.llm import decontaminate, linededup, lmscore, mixing, neardup, quality, sharding, tokencount, warc
+from loadlens.llm import decontaminate, linededup, lmscore, mixing, neardup, quality, secrets, sharding, tokencount, warc
 
 QUERIES = {
     "op1_stupid_backoff": lmscore.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_minhash_near_dedup": neardup.query,
     "op5_weighted_hash_tree": sharding.query,
     "op6_warc_reassembly": warc.query,
+    "op7_secret_forest": secrets.query,
     "op8_benchmark_decontamination": decontaminate.query,
     "op9_line_dedup": linededup.query,
     "op10_pareto_mixing": mixing.query,
