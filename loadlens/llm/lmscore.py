@@ -22,12 +22,12 @@ import sys
 
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadlens.llm.common import cut, table, words
+from loadlens.llm.packed import bounds, pack, unpack
 from loadlens.llm.shingles import WordHashes, mixed
 
 BACKOFF = 0.4
@@ -37,17 +37,6 @@ PIECE = 100_000  # words
 DIGITS = 4
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Integers by byte planes, compressed; sorted ones had better be differences."""
-    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
-
-
-def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(data)), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view("<u8")
-
-
 class Ngrams:
     """The n-grams of a block: sorted distinct hashes, and which one each word has."""
 
@@ -78,19 +67,13 @@ class Ngrams:
         return np.bincount(self.word_of[self.real], minlength=len(self.words)), np.bincount(self.pair_of, minlength=len(self.pairs))
 
 
-def _bounds(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each partition of the hash range begins in sorted keys."""
-    edges = np.array([(p << 64) // parts for p in range(parts)], dtype=np.uint64)
-    return np.append(np.searchsorted(keys, edges), len(keys))
-
-
 def counted(parts: int):
     """A block's counts as a row for each partition of the count table."""
 
     def count(block: pd.DataFrame) -> pd.DataFrame:
         found = Ngrams(block)
         rows = []
-        own = [(keys, n, _bounds(keys, parts)) for keys, n in zip((found.words, found.pairs), found.counts(), strict=True)]
+        own = [(keys, n, bounds(keys, parts)) for keys, n in zip((found.words, found.pairs), found.counts(), strict=True)]
         for p in range(parts):
             row = [int(block["block"].iloc[0]), p]
             for keys, n, at in own:
