@@ -82,10 +82,15 @@ def counts_of(text: bytes | None) -> tuple[int, ...]:
     return len(found), len(text) - int(of[1] + of[2]), int(of[3]), repeated_lines(text), repeated_words(found), int(of[3] + of[4]), int(of[5])
 
 
-@F.pandas_udf(", ".join(f"{name} long" for name in COUNTS))
-def text_counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for texts in batches:
-        yield pd.DataFrame([counts_of(text) for text in texts], columns=COUNTS)
+def text_counts():
+    """UDF over UTF-8 bytes: COUNTS as a struct."""
+
+    @F.pandas_udf(", ".join(f"{name} long" for name in COUNTS))
+    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([counts_of(text) for text in texts], columns=COUNTS)
+
+    return counts
 
 
 #: The metrics over the counts; integer division rounds down in either dialect.
@@ -107,7 +112,7 @@ def bucket(value: Column) -> Column:
 
 def counted(docs: DataFrame) -> DataFrame:
     """(row, counts, metrics): each whole row as a struct, so that no name can clash."""
-    found = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text_counts(docs["text"].cast("binary")).alias("c"))
+    found = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text_counts()(docs["text"].cast("binary")).alias("c"))
     metrics = F.struct(*[F.expr(f"{sql.format(div='div')}").alias(m) for m, sql in METRIC_SQL.items()])
     return found.select("row", "c", "c.*").select("row", "c", metrics.alias("m"))
 
