@@ -1 +1,6 @@
-"""plans of the engine."""
+"""Named query plans over the operators."""
+
+from loadlens.plans import aggregates
+from loadlens.plans.catalog import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "aggregates"]
