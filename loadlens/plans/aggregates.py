@@ -405,7 +405,7 @@ def _(spark, d):
     return b.withColumn("upto", F.sum("bytes").over(Window.partitionBy("region").orderBy("rank"))).where("upto <= 600").drop("upto")
 
 
-@query("s24_synthetic_log", f"SELECT r.range AS rank, i.range AS step, k.range AS k, {sql_r6('(0.06 + r.range) * (5 + i.range + 0.4 * i.range * i.range - 0.02 * i.range * i.range * k.range)')} AS v FROM range(8) r, range(32) i, range(4) k")
+@query("s24_synthetic_log", f"SELECT r.range AS rank, i.range AS step, k.range AS k, {sql_r6('CAST((0.06 + r.range) * (5 + i.range + 0.4 * i.range * i.range - 0.02 * i.range * i.range * k.range) AS DOUBLE)')} AS v FROM range(8) r, range(32) i, range(4) k")
 def _(spark, d):
     from loadlens.sources.synthetic import synthetic_log
 
