@@ -115,7 +115,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, start): where an item would begin for its windows to agree with the text's."""
-    sizes = [r["window"] for r in items.select("window").distinct().collect()]  # of WINDOWS
+    sizes = sorted((r["window"] for r in items.select("window").distinct().collect()), reverse=True)  # of WINDOWS
     if not sizes:
         return docs.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("long").alias("start")).limit(0)
     made = _fingerprints(items.select(F.struct("item_id", "window").alias("id"), "words"), 1)
@@ -152,11 +152,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text").join(docs_hit, "doc_id", "left_semi").select("doc_id", words(ascii_lower(F.col("text"))).alias("words"))
     start = F.greatest(F.lit(0).cast("long"), F.least(F.col("start"), (F.size("words") - F.col("n_words")).cast("long")))
     placed = texts.join(hit, "doc_id").withColumn("at", start).select("doc_id", "item_id", "at", "n_words", F.slice("words", (F.col("at") + 1).cast("int"), F.col("n_words")).alias("stretch"))
-    placed = placed.distinct()
-    own = placed.select("doc_id", "item_id", "at", "n_words", F.explode(_shingles(F.col("stretch"))).alias("g")).groupBy("doc_id", "item_id", "at", "n_words", "g").agg(F.count("*").alias("n"))
+    placed = placed.withColumn("t", F.xxhash64("stretch")).dropDuplicates(["doc_id", "item_id", "at", "t"])  # texts that share an id stay apart
+    own = placed.select("doc_id", "item_id", "at", "n_words", "t", F.explode(_shingles(F.col("stretch"))).alias("g")).groupBy("doc_id", "item_id", "at", "n_words", "t", "g").agg(F.count("*").alias("n"))
     theirs = sizes.select("item_id", F.explode(_shingles(F.col("item"))).alias("g")).groupBy("item_id", "g").agg(F.count("*").alias("m"))
     totals = theirs.groupBy("item_id").agg(F.sum("m").alias("item_total"))
-    both = own.join(theirs, ["item_id", "g"], "left").groupBy("doc_id", "item_id", "at", "n_words").agg(F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("shared"), F.sum("n").alias("total"))
+    both = own.join(theirs, ["item_id", "g"], "left").groupBy("doc_id", "item_id", "at", "n_words", "t").agg(F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("shared"), F.sum("n").alias("total"))
     scored = both.join(totals, "item_id").withColumn("in_either", F.col("total") + F.col("item_total") - F.col("shared")).where(100 * F.col("shared") >= PERCENT * F.col("in_either"))
     similarity = F.col("shared") / F.col("in_either")
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct(similarity.alias("similarity"), F.col("at"), "n_words", "shared", "in_either")).alias("b"))
