@@ -11,19 +11,26 @@ collapse to their least doc_id first. Of the others:
    sketch values, all but the K/4 - 1 most frequent ones: two such sets meet
    in at least one inverted list, and what many documents share is not listed
    unless a document consists of it.
-2. Lists of up to SMALL sets give all their pairs. The union-sketch estimate
-   drops pairs below a quarter, the exact Jaccard of whole sets confirms.
-3. A longer list takes its smallest set as hub, and only pairs with the hub are
-   verified: as many as the list is long. Sets linked to the hub belong
-   together. Any other link (x, y) in the list, with x not linked to the hub h,
-   has |x & y| >= 3/7 (|x| + |y|) >= 3/7 (|x| + |h|) > |x & h|, as h is the
-   smallest, so x and y share shingles outside h: at least
-   r = ceil(3/7 (|x| + |h|)) - |x & h|. Listing the least |x - h| - r + 1
-   hashes of x outside h (and of y likewise) makes x and y meet again, in lists
-   of their hub that are mostly short. Lists that are long still take another
-   hub. After ROUNDS rounds, lists that stay long give all pairs that are not
-   known to be connected.
-4. The confirmed links go through alternating large-star and small-star steps
+2. Partners share three quarters of a set. Of the sets that meet another one,
+   those with more than a quarter of shingles that no other of them has are
+   linked with nothing, and leave the lists.
+3. Lists of up to SMALL sets are verified together with the other small lists
+   of their hub: a bounded group, to which each whole set is sent
+   once. There the union-sketch estimate drops pairs far below 0.75 and the
+   exact Jaccard of whole sets confirms; pairs known to be connected are passed over.
+4. A longer list is never paired. Its hub h, the set with the largest share of
+   shared shingles, is verified with all others, and sets linked to the hub
+   belong together. A link (x, y) with x not linked to h has |x & y| >=
+   need(x, y) = ceil(3/7 (|x| + |y|)), so it shares at least need(x, y) - |x & h|
+   shingles outside h. Where that is positive, x and y meet again in lists of
+   their shingles outside h, under the least |x - h| - r + 1 of them, r being
+   that number for the smallest possible y. These lists are mostly short;
+   those that are not take another hub. Where it is not (x all but linked,
+   y smaller than h), x and y are verified as a pair. After ROUNDS rounds,
+   lists that stay long give all pairs that are not known to be connected.
+   Members carry the label of the hub that they were linked to; lists of one
+   label are done.
+5. The confirmed links go through alternating large-star and small-star steps
    (Kiveris et al. 2014) until each document hangs on the least of its group.
 
 No step collects anything to the driver, and no step pairs all members of a
@@ -32,18 +39,29 @@ large group.
 
 from __future__ import annotations
 
+import math
+import sys
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadlens.llm.common import cut, table
+from loadlens.llm.common import broadcast_if_small, cut, table
+from loadlens.llm.packed import bounds, pack, unpack
 from loadlens.llm.shingles import bottom_sketch, full_set
 
 K = 32
 SMALL = 32
-ROUNDS = 5
+ROUNDS = 3
 SALTS = 16
+ESTIMATE = 64  # least hashes of a union that estimate a similarity
+LIKELY, ENOUGH = 64, 25  # of 64 hashes at 0.75, fewer than 25 are shared with probability 1e-10
+COLUMNS = 8192
+VALUES = 1_000_000  # shingles of a block
+IDS = 500_000  # ids that may be broadcast
 
 
 def _need(n: Column, m: Column) -> Column:
@@ -51,16 +69,57 @@ def _need(n: Column, m: Column) -> Column:
     return F.ceil(3 * (n + m) / 7.0).cast("long")
 
 
-def _shared(a: str, b: str) -> Column:
+def _both(a: str, b: str) -> Column:
     return F.size(F.array_intersect(F.col(a), F.col(b))).cast("long")
 
 
-def _likely() -> Column:
-    """Union-sketch estimate: a quarter of the union's K least hashes are in both."""
-    a, b = F.slice("set_a", 1, K), F.slice("set_b", 1, K)
-    least = F.slice(F.array_sort(F.array_union(a, b)), 1, K)
-    both = F.size(F.array_intersect(F.array_intersect(a, b), least))
-    return 4 * both >= F.size(least)
+def overlaps(sketches: list[np.ndarray]) -> np.ndarray:
+    """Matrix of how many values each two arrays of distinct values share."""
+    ids = np.unique(np.concatenate(sketches), return_inverse=True)[1]
+    row = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
+    out = np.zeros((len(sketches), len(sketches)), np.float32)
+    for start in range(0, int(ids.max(initial=-1)) + 1, COLUMNS):
+        part = (ids >= start) & (ids < start + COLUMNS)
+        seen = np.zeros((len(sketches), COLUMNS), np.float32)
+        seen[row[part], ids[part] - start] = 1
+        out += seen @ seen.T
+    return out
+
+
+def likely(a: np.ndarray, b: np.ndarray) -> bool:
+    """Union-sketch estimate: of the union's least hashes enough are in both."""
+    a, b = a[:ESTIMATE], b[:ESTIMATE]
+    least = np.union1d(a, b)[:ESTIMATE]
+    both = np.intersect1d(a, b, assume_unique=True)
+    return LIKELY * len(np.intersect1d(both, least, assume_unique=True)) >= ENOUGH * len(least)
+
+
+def alike(a: np.ndarray, b: np.ndarray, sizes: int) -> bool:
+    """Exact: 100 i >= 75 (sizes - i), i being what both have."""
+    return 7 * len(np.intersect1d(a, b, assume_unique=True)) >= 3 * sizes
+
+
+def group_links(group: pd.DataFrame) -> pd.DataFrame:
+    """Links that connect what all links among a small group's sets connect."""
+    docs, sets, n = group["doc"].tolist(), group["set"].tolist(), group["n"].to_numpy()
+    root = list(range(len(docs)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    met = overlaps([s[:ESTIMATE] for s in sets])
+    near = np.triu((met > 0) & (4 * np.minimum.outer(n, n) >= 3 * np.maximum.outer(n, n)), 1)
+    left, right = np.nonzero(near)
+    found = []
+    for k in np.argsort(-met[left, right], kind="stable"):  # the most alike first, so that most others are connected already
+        i, j = int(left[k]), int(right[k])
+        if top(i) != top(j) and likely(sets[i], sets[j]) and alike(sets[i], sets[j], n[i] + n[j]):
+            root[top(i)] = top(j)
+            found.append((docs[i], docs[j]))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
 def _index(sketches: DataFrame) -> DataFrame:
@@ -78,34 +137,96 @@ def _index(sketches: DataFrame) -> DataFrame:
 
 
 def _sized(lists: DataFrame, keys: list[str]) -> DataFrame:
-    """Members with the size and the hub of their list; lists of one are gone."""
-    sizes = lists.groupBy(*keys).agg(F.count("*").alias("size"), F.min(F.struct("n", "doc")).alias("hub")).where("size > 1")
-    return lists.join(sizes, keys)
+    """Members with the size and the hub of their list; lists of one, and of one label, are gone."""
+    hub = F.max(F.struct("share", (-F.col("doc")).alias("minus"), "doc", "n", "label"))
+    sizes = [F.count("*").alias("size"), F.struct(hub["doc"].alias("doc"), hub["n"].alias("n"), hub["label"].alias("label")).alias("hub"), F.min("label").alias("l0"), F.max("label").alias("l1")]
+    return lists.join(lists.groupBy(*keys).agg(*sizes).where("l0 != l1").drop("l0", "l1"), keys)
 
 
-def _pairs(members: DataFrame, keys: list[str], linked: bool) -> DataFrame:
-    """Distinct (a, b) of every list; with linked, not those both linked to the hub."""
-    own = [*keys, "doc", "n", *(["linked"] if linked else [])]
-    a = members.select(*keys, *[F.col(c).alias(f"{c}_a") for c in own[len(keys) :]])
-    b = members.select(*keys, *[F.col(c).alias(f"{c}_b") for c in own[len(keys) :]])
-    met = a.join(b, keys).where("doc_a < doc_b and 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
-    if linked:
-        met = met.where("not (linked_a and linked_b)")
-    return met.groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).agg(F.count("*").alias("overlap"))
+def block_values(parts: int):
+    """A block's distinct shingles and how many of its sets have each, by part of the hash range."""
 
+    def values(block: pd.DataFrame) -> pd.DataFrame:
+        keys, n = np.unique(np.concatenate(block["set"].tolist()).view(np.uint64), return_counts=True)
+        at = bounds(keys, parts)
+        rows = [(int(block["block"].iloc[0]), p, pack(np.diff(keys[at[p] : at[p + 1]], prepend=np.uint64(0))), pack(n[at[p] : at[p + 1]])) for p in range(parts) if at[p + 1] > at[p]]
+        return pd.DataFrame(rows, columns=["block", "part", "keys", "counts"])
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Both sets of each pair. The side that meets many, a, is dealt by salt."""
-    a = sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    b = sets.select(F.col("doc").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(b, "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(a, ["a", "salt"])
+    return values
+
+
+def summed_values(part: pd.DataFrame) -> pd.DataFrame:
+    """Every block's shingles of a part with the number of sets that have them anywhere."""
+    own = [np.cumsum(unpack(k), dtype=np.uint64) for k in part["keys"]]
+    n = np.concatenate([unpack(c) for c in part["counts"]])
+    which = np.unique(np.concatenate(own), return_inverse=True)[1]
+    total = np.bincount(which, weights=n).astype(np.uint64)[which]
+    counts = [pack(x) for x in np.split(total, np.cumsum([len(k) for k in own])[:-1])]
+    return pd.DataFrame({"block": part["block"], "part": part["part"], "counts": counts})
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    a = sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a"))
-    b = sets.select(F.col("doc").alias("b"), F.col("set").alias("set_b"))
-    both = pairs.join(a, "a").join(b, "b").where(_likely())
-    return both.where(_shared("set_a", "set_b") >= _need(F.size("set_a"), F.size("set_b"))).select("a", "b")
+def shared_part(block: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+    """Of each set of a block, the shingles that another set has too, if they are three quarters of it."""
+    sets = block["set"].tolist()
+    size = np.array([len(s) for s in sets])
+    _, which = np.unique(np.concatenate(sets).view(np.uint64), return_inverse=True)
+    total = np.concatenate([unpack(x) for x in totals.sort_values("part")["counts"]])
+    shared = np.split(total[which] > 1, np.cumsum(size)[:-1])
+    rows = [(doc, len(s), own.sum() / len(s), s[own]) for doc, s, own in zip(block["doc"], sets, shared, strict=True) if 4 * own.sum() >= 3 * len(s)]
+    return pd.DataFrame(rows, columns=["doc", "n", "share", "set"])
+
+
+def _shared(sets: DataFrame) -> DataFrame:
+    """(doc, n, share, set) of the sets that can have partners: size, share of shared shingles, and those.
+
+    Each block sends a shingle once, however many of its sets have it. What two sets
+    share is in both of the smaller sets, so these are all that is needed from here on.
+    """
+    size = sets.agg(F.sum(F.size("set"))).first()[0] or 0
+    parts = max(1, math.ceil(size / VALUES))
+    blocks = sets.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int"))
+    sent = blocks.groupBy("block").applyInPandas(block_values(parts), "block int, part int, keys binary, counts binary")
+    totals = sent.groupBy("part").applyInPandas(summed_values, "block int, part int, counts binary")
+    return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(shared_part, "doc long, n long, share double, set array<long>")
+
+
+def _small(members: DataFrame, sets: DataFrame, parts: Column) -> DataFrame:
+    """Links within lists of up to SMALL sets.
+
+    Lists of one hub form a group; parts, at least one for 32 lists that the hub
+    can have, split it, so that a group has at most some thousand sets.
+    """
+    part = F.pmod(F.xxhash64("list"), parts).cast("int")
+    some = members.where(F.col("size") <= SMALL).select(F.col("hub.doc").alias("hub"), part.alias("part"), "doc").distinct()
+    return some.join(sets, "doc").groupBy("hub", "part").applyInPandas(group_links, "a long, b long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that are links."""
+    return _with_sets(pairs, sets).where(_both("set_a", "set_b") >= _need(F.col("n_a"), F.col("n_b"))).select("a", "b")
+
+
+def _large_pairs(members: DataFrame, keys: list[str], sets: DataFrame) -> DataFrame:
+    """Links within lists that stayed long, pair by pair, but for those known to be connected."""
+    a, b = (members.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "label")]) for s in "ab")
+    pairs = a.join(b, keys).where("doc_a < doc_b and label_a != label_b and 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    return _verified(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct(), sets)
+
+
+def _all_but_linked(tested: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of sets not linked to the hub with partners so small that all they share may lie in the hub."""
+    x = tested.where("not linked and beyond <= 0").select("a", F.col("b").alias("x"), F.col("n").alias("n_x"), "shared", F.col("label").alias("label_x"))
+    y = tested.select("a", F.col("b").alias("y"), F.col("n").alias("n_y"), F.col("label").alias("label_y"))
+    small = (F.col("label_x") != F.col("label_y")) & (_need(F.col("n_x"), F.col("n_y")) <= F.col("shared")) & (4 * F.col("n_y") >= 3 * F.col("n_x"))
+    return _verified(x.join(y, "a").where(small).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets)
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Both sets of each pair. The side that meets many, a, is dealt by salt; it is few sets."""
+    hubs = sets.join(pairs.select(F.col("a").alias("doc")).distinct(), "doc", "left_semi")
+    a = hubs.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("set").alias("set_a"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    b = sets.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("set").alias("set_b"))
+    return pairs.join(b, "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(a, ["a", "salt"])
 
 
 def links(sketches: DataFrame, docs: DataFrame) -> DataFrame:
@@ -115,29 +236,36 @@ def links(sketches: DataFrame, docs: DataFrame) -> DataFrame:
     text) gives the whole sets of those that meet another one.
     """
     keys = ["list"]
-    members = cut(_sized(_index(sketches), keys))
-    active = members.select(F.col("doc").alias("doc_id")).distinct()
+    listed = _index(sketches)
+    listed = cut(listed.join(listed.groupBy("list").agg(F.count("*").alias("df")).where("df > 1").drop("df"), "list"))
+    active = broadcast_if_small(cut(listed.select(F.col("doc").alias("doc_id")).distinct()), IDS)
     sets = cut(docs.join(active, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), full_set()(F.col("text").cast("binary")).alias("set")))
-    found = [_confirmed(_pairs(members.where(F.col("size") <= SMALL), keys, False), sets)]
+    sets = cut(_shared(sets))
+    shares = broadcast_if_small(sets.select("doc", "share"), IDS)
+    members = cut(_sized(listed.join(shares, "doc").withColumn("label", F.col("doc")), keys))
+    found = [cut(_small(members, sets, F.lit(1)))]
     large = members.where(F.col("size") > SMALL)
     for step in range(ROUNDS + 1):
         if large.isEmpty():
             break
         if step == ROUNDS:
-            found.append(_confirmed(_pairs(large, keys, "linked" in large.columns), sets))
+            found.append(cut(_large_pairs(large, keys, sets)))
             break
-        spokes = large.where("doc != hub.doc").select(F.col("hub.doc").alias("a"), F.col("doc").alias("b")).distinct()
-        n_a, n_b = F.size("set_a").cast("long"), F.size("set_b").cast("long")
-        tested = _with_sets(spokes, sets).select("a", "b", n_b.alias("n"), _need(n_a, n_b).alias("need"), _shared("set_a", "set_b").alias("shared"), F.array_except("set_b", "set_a").alias("rest"))
-        # Any partner shares three quarters of the set, and _need() with one of the hub's size.
-        beyond = F.greatest(F.col("need"), F.ceil(3 * F.col("n") / 4.0)) - F.col("shared")
-        listed = F.slice("rest", 1, F.greatest(F.size("rest") + 1 - F.greatest(beyond, F.lit(1)), F.lit(0)).cast("int"))
-        tested = cut(tested.select("a", "b", "n", (F.col("shared") >= F.col("need")).alias("linked"), listed.alias("rest")))
-        found.append(tested.where("linked").select("a", "b"))
+        most = [F.max(c).alias(c) for c in ("n", "share", "label")]
+        spokes = large.where("doc != hub.doc").groupBy(F.col("hub.doc").alias("a"), F.col("doc").alias("b")).agg(*most, F.max("hub.label").alias("hub_label"))
+        # The least partner has three quarters of a set's size, and no less than the least spoke of the hub.
+        spokes = spokes.join(spokes.groupBy("a").agg(F.min("n").alias("least")), "a").withColumn("least", F.greatest(F.col("least"), F.ceil(3 * F.col("n") / 4.0)))
+        met = _with_sets(spokes, sets).withColumns({"shared": _both("set_a", "set_b"), "rest": F.array_except("set_b", "set_a")})
+        confirmed = F.col("shared") >= _need(F.col("n_a"), F.col("n"))
+        linked = confirmed | (F.col("label") == F.col("hub_label"))
+        label = F.when(linked, F.col("hub_label")).otherwise(F.col("label"))
+        tested = cut(met.select("a", "b", "n", "share", "shared", label.alias("label"), confirmed.alias("confirmed"), linked.alias("linked"), (_need(F.col("n"), F.col("least")) - F.col("shared")).alias("beyond"), "rest"))
+        found.append(tested.where("confirmed").select("a", "b"))
+        found.append(cut(_all_but_linked(tested, sets)))
+        part = F.slice("rest", 1, F.greatest(F.size("rest") + 1 - F.greatest(F.col("beyond"), F.lit(1)), F.lit(0)).cast("int"))
         keys = ["hub_of", "list"]
-        lists = tested.select(F.col("a").alias("hub_of"), F.explode("rest").alias("list"), F.col("b").alias("doc"), "n", "linked")
-        members = cut(_sized(lists, keys))
-        found.append(_confirmed(_pairs(members.where(F.col("size") <= SMALL), keys, True), sets))
+        members = cut(_sized(tested.select(F.col("a").alias("hub_of"), F.explode(part).alias("list"), F.col("b").alias("doc"), "n", "share", "label"), keys))
+        found.append(cut(_small(members, sets, F.ceil(F.col("hub.n") / 32.0).cast("int"))))
         large = members.where(F.col("size") > SMALL)
     return cut(reduce(DataFrame.union, found).distinct())
 
@@ -178,18 +306,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     made = cut(made)
     same = ["n", "sum_a", "sum_b"]
     full = made.where("n > 0 and doc_id is not null")
-    firsts = full.groupBy(*same).agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch"))
+    firsts = cut(full.groupBy(*same).agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch")))
     tree = components(links(firsts.select("doc", "n", "sketch"), docs))
     groups = firsts.join(tree, "doc", "left").select(*same, F.coalesce("component", "doc").alias("component"))
     found = made.join(groups, same, "left")
-    ours = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    ours = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), ours.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, one document of each group, with their own columns."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = cut(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(broadcast_if_small(gone, IDS), docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,3 +334,5 @@ r AS (SELECT doc_id, doc_id AS root FROM t UNION SELECT l.b, r.root FROM r JOIN
 c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
 SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, t.doc_id = component_id AS kept
 FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN c ON c.doc_id = t.doc_id"""
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
