@@ -61,5 +61,16 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: No SQL: the stages are checked one by one, and the whole against a brute-force version in tests/llm.
-ORACLE_SQL = None
+def _over(sql: str, table_name: str) -> str:
+    """A stage's SQL over another table than documents."""
+    return sql.replace("FROM documents", f"FROM {table_name}")
+
+
+#: The stages' own SQL, each over the rows that the one before left.
+ORACLE_SQL = f"""
+WITH p1 AS MATERIALIZED (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM ({quality.ORACLE_SQL}) WHERE kept)),
+p2 AS MATERIALIZED (SELECT * FROM p1 WHERE doc_id IN (SELECT doc_id FROM ({_over(neardup.ORACLE_SQL, "p1")}) WHERE kept)),
+p3 AS MATERIALIZED (SELECT * FROM p2 WHERE doc_id NOT IN (SELECT doc_id FROM ({_over(decontaminate.ORACLE_SQL, "p2")}))),
+m AS MATERIALIZED ({_over(mixing.ORACLE_SQL, "p3")}),
+p4 AS MATERIALIZED (SELECT p3.* FROM (SELECT doc_id, unnest(range(taken // size)) AS copy FROM m WHERE size > 0) c JOIN p3 ON p3.doc_id = c.doc_id)
+SELECT * FROM ({sharding.oracle("p4", ("text", "lang", "source", "n_chars"))})"""
