@@ -116,8 +116,9 @@ def _sql_winner(key: str, children: dict) -> str:
     return f"CASE {' '.join(cases)} ELSE '{names[-1]}' END"
 
 
-def _oracle() -> str:
-    """Level by level; the byte-wise CRC needs no table: eight shifts a byte."""
+def oracle(rows: str = "documents", extra: tuple[str, ...] = ()) -> str:
+    """SQL over a table, with other columns of it; the table of the CRC is made by eight shifts of each byte."""
+    more, also = "".join(f", {c} AS x_{c}" for c in extra), "".join(f", x_{c} AS {c}" for c in extra)
     now, later = even_tree(range(SHARDS)), even_tree(range(SHARDS)) | {"added": {"added": {SHARDS: 1.0}}}
 
     def levels(tree: Tree, name: str) -> str:
@@ -133,15 +134,15 @@ def _oracle() -> str:
         table_cte += f", c{i + 1} AS (SELECT i, {step.format(c='c')} AS c FROM c{i})"
     return f"""
 WITH {table_cte}, crc AS (SELECT list(c ORDER BY i) AS t FROM c8),
-d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(CAST(doc_id AS VARCHAR), '') AS k FROM documents),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(CAST(doc_id AS VARCHAR), '') AS k{more} FROM {rows}),
 {levels(now, "a")}, {levels(later, "b")},
 h AS (SELECT r, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda b: CAST('0x' || b AS BIGINT))),
    lambda x, y: xor(x >> 8, t[CAST((xor(x, y) & 255) + 1 AS BIGINT)])) AS x FROM d, crc),
-o AS (SELECT doc_id, octet_length(encode(text)) + 1 AS size, xor(x, 4294967295) AS text_crc32, a3.s AS shard, b3.s AS grown_shard,
+o AS (SELECT d.*, octet_length(encode(text)) + 1 AS size, xor(x, 4294967295) AS text_crc32, a3.s AS shard, b3.s AS grown_shard,
    CAST(floor((CAST('0x' || substr(md5('slot:' || k), 1, 13) AS BIGINT) + 0.5) / CAST({2**52} AS DOUBLE) * {CELLS}) AS INTEGER) AS cell
    FROM d JOIN a3 USING (r) JOIN b3 USING (r) JOIN h USING (r))
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard,
-   row_number() OVER (PARTITION BY shard ORDER BY cell, doc_id NULLS FIRST) - 1 AS slot, grown_shard FROM o"""
+   row_number() OVER (PARTITION BY shard ORDER BY cell, doc_id NULLS FIRST) - 1 AS slot, grown_shard{also} FROM o"""
 
 
-ORACLE_SQL = _oracle()
+ORACLE_SQL = oracle()
