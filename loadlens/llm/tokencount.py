@@ -1,6 +1,7 @@
 """Token counts of whole texts, huge ones by overlapping chunks that resynchronise.
 
-Texts up to CHUNK characters are encoded in small batches. Longer ones are cut
+Texts up to CHUNK characters are counted word by word, each distinct word being
+encoded once. Longer ones are cut
 into chunks that overlap, and each chunk is encoded with offsets. Two
 neighbouring encodings are spliced at a boundary that is proven stable: a
 character after ASCII white space, where both encodings begin a token, and
@@ -17,6 +18,7 @@ text and a few chunks, not by the batch.
 from __future__ import annotations
 
 import os
+import string
 import sys
 from collections.abc import Iterator
 
@@ -31,7 +33,8 @@ TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048  # tokens
 CHUNK = 65_536  # characters
 OVERLAP = 1_024  # characters
-BATCH = 262_144  # characters that are encoded at once
+BATCH = 262_144  # characters of texts that are counted at once
+REMEMBERED = 500_000  # words whose counts are kept
 PROOF = 8  # tokens that must agree after a splice, or all that the overlap has
 
 
@@ -97,25 +100,46 @@ def count_long(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP)
     return total + sum(t[0] >= begin for t in left)
 
 
-def count_batch(tokenizer, texts: list[str]) -> list[int]:
-    """Token counts in order, encoding BATCH characters at once."""
+def lowers(tokenizer) -> bool:
+    """Whether the tokenizer makes A-Z small by itself, and its special strings can be told by their '<|'."""
+    letters = string.ascii_letters
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    return all("<|" in t for t in special) and tokenizer.encode(letters, add_special_tokens=False).ids == tokenizer.encode(letters.lower(), add_special_tokens=False).ids
+
+
+def count_batch(tokenizer, texts: list[str], known: dict[bytes, int] | None = None, lower: bool = False) -> list[int]:
+    """Token counts in order.
+
+    ASCII white space is a stable boundary, so a text up to CHUNK has the
+    tokens of its words. Each distinct word is encoded once, BATCH characters
+    of texts at a time, and its count is remembered in known; with lower, as
+    lowers() tells, words that differ in A-Z alone are one.
+    """
+    known = {} if known is None else known
     out, waiting, size = [0] * len(texts), [], 0
 
     def flush() -> None:
         nonlocal waiting, size
-        for k, found in zip(waiting, tokenizer.encode_batch_fast([texts[k] for k in waiting], add_special_tokens=False), strict=True):
-            out[k] = len(found.ids)
+        new = list(set().union(*(found for _, found in waiting)) - known.keys())
+        for word, made in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+            known[word] = len(made.ids)
+        for k, found in waiting:
+            out[k] = sum(map(known.__getitem__, found))
         waiting, size = [], 0
+        if len(known) > REMEMBERED:
+            known.clear()
 
     for k, text in enumerate(texts):
         if len(text) > CHUNK:
             out[k] = count_long(tokenizer, text)
             continue
-        waiting.append(k)
+        raw = text.encode()  # only ASCII spaces split bytes, and only A-Z is lowered, as the tokenizer does
+        waiting.append((k, (raw if not lower or b"<|" in raw else raw.lower()).split()))
         size += len(text)
         if size >= BATCH:
             flush()
-    flush()
+    if waiting:
+        flush()
     return out
 
 
@@ -129,8 +153,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     @F.pandas_udf("long")
     def n_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenizer = tokenizer_at(path)
+        known: dict[bytes, int] = {}
+        lower = lowers(tokenizer)
         for texts in batches:
-            yield pd.Series(count_batch(tokenizer, texts.tolist()), dtype="int64")
+            yield pd.Series(count_batch(tokenizer, texts.tolist(), known, lower), dtype="int64")
 
     text = F.coalesce(docs["text"], F.lit(""))
     counted = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), n_tokens(text).alias("n_tokens"))
