@@ -4,8 +4,9 @@ Words are hashed to 64 bits. The SimHash of a window has bit i set if more than
 of its words' hashes have it. Windows are sized by the item that they are held
 against: 16 words for items of 19 words and more, 8 words for items of 11 to 18,
 so that an item that stands in a text contains one of the text's windows,
-which start at every fourth word; items give windows at every word. Items
-below 11 words are too short to tell a leak from chance, and match nothing.
+which start at every fourth word; items give windows at every word. Items below
+11 words are met by their five-word shingles instead, at every word of the texts;
+items and texts below five words make one shingle, so such an item meets only texts of the same words.
 
 The 64 bits are counted all at once: four words go through a carry-save adder
 that leaves the count of each bit in three planes; two or four such blocks are
@@ -105,30 +106,56 @@ def _parts(size: int) -> list[Column]:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, words, n_words, window); repeated and null ids keep one text each."""
+    """(item_id, words, n_words, window); repeated and null ids keep one text each. No window: met by shingles."""
     found = benchmark.select("item_id", words(ascii_lower(F.col("text"))).alias("words")).withColumn("n_words", F.size("words"))
     window = F.lit(None).cast("int")
     for size in reversed(WINDOWS):
         window = F.when(F.col("n_words") >= size + BLOCK - 1, size).otherwise(window)
-    return found.withColumn("window", window).where("window is not null and item_id is not null").dropDuplicates(["item_id", "words"])
+    return found.withColumn("window", window).where("n_words > 0 and item_id is not null").dropDuplicates(["item_id", "words"])
 
 
-def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start): where an item would begin for its windows to agree with the text's."""
-    sizes = sorted((r["window"] for r in items.select("window").distinct().collect()), reverse=True)  # of WINDOWS
-    if not sizes:
-        return docs.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("long").alias("start")).limit(0)
-    made = _fingerprints(items.select(F.struct("item_id", "window").alias("id"), "words"), 1)
+def _shingle_hashes(rows: DataFrame) -> DataFrame:
+    """rows(id, words) as (id, start, g): the hash of the shingle at each start; fewer than five words make one."""
+    hashed = rows.select("id", F.transform("words", lambda w: F.xxhash64(w)).alias("h0"))
+    names = [f"h{k}" for k in range(SHINGLE)]
+    shifted = [F.slice("h0", 1 + k, F.greatest(F.size("h0") - k, F.lit(0))).alias(f"h{k}") for k in range(1, SHINGLE)]
+    zipped = hashed.select("id", "h0", *shifted).select("id", F.posexplode(F.arrays_zip(*names)).alias("at", "z"))
+    whole = zipped.where((F.col("at") == 0) | F.col(f"z.{names[-1]}").isNotNull())
+    return whole.select("id", F.col("at").cast("long").alias("start"), F.xxhash64(*[F.col(f"z.{n}") for n in names]).alias("g"))
+
+
+def _window_hits(texts: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
+    """Hits of the items that have windows, by near fingerprints."""
+    made = _fingerprints(items.where("window is not null").select(F.struct("item_id", "window").alias("id"), "words"), 1)
     entries = [made.where(F.col("id.window") == s).select(F.col("id.item_id").alias("item_id"), F.col("start").alias("offset"), F.explode(F.array(*_parts(s))).alias("e")) for s in sizes]
     index = entries[0]
     for more in entries[1:]:
         index = index.union(more)
     index = cut(index.select("item_id", "offset", F.col("e.part").alias("part"), F.col("e.f").alias("item_f")).where("item_f is not null").distinct())
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), words(ascii_lower(F.col("text"))).alias("words"))
     probes = _fingerprints(texts, BLOCK).select("id", "start", F.explode(F.array(*[p for s in sizes for p in _parts(s)])).alias("e"))
     met = probes.select("id", "start", F.col("e.part").alias("part"), F.col("e.f").alias("f")).join(broadcast_if_small(index, INDEX_ROWS), "part")
     near = met.where(F.bit_count(_xor(F.col("f"), F.col("item_f"))) <= RADIUS)
-    return near.select(F.col("id").alias("doc_id"), "item_id", (F.col("start") - F.col("offset")).alias("start")).distinct()
+    return near.select(F.col("id").alias("doc_id"), "item_id", (F.col("start") - F.col("offset")).alias("start"))
+
+
+def _shingle_hits(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """Hits of the items without windows: every place where one shares a shingle with a text."""
+    own = _shingle_hashes(items.where("window is null").select(F.col("item_id").alias("id"), "words"))
+    index = cut(own.select(F.col("id").alias("item_id"), F.col("start").alias("offset"), "g").distinct())
+    met = _shingle_hashes(texts).join(broadcast_if_small(index, INDEX_ROWS), "g")
+    return met.select(F.col("id").alias("doc_id"), "item_id", (F.col("start") - F.col("offset")).alias("start"))
+
+
+def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, start): where an item would begin for its windows or shingles to agree with the text's."""
+    found = {r["window"] for r in items.select("window").distinct().collect()}
+    sizes = sorted((s for s in found if s), reverse=True)  # of WINDOWS
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), words(ascii_lower(F.col("text"))).alias("words"))
+    hits = [_window_hits(texts, items, sizes)] if sizes else []
+    hits += [_shingle_hits(texts, items)] if None in found else []
+    if not hits:
+        return docs.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("long").alias("start")).limit(0)
+    return (hits[0].union(hits[1]) if len(hits) > 1 else hits[0]).distinct()
 
 
 def _shingles(found: Column) -> Column:

@@ -189,6 +189,21 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_short_items_leak(spark):
+    items = [(n, words(n, 600 + n)) for n in range(1, 11)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(100 + n, f"{words(23, 5)} {t.upper()} {words(31, 6)}", "a") for n, t in items if n >= 5]
+    rows += [(200 + n, f" {t}\n", "a") for n, t in items]  # nothing else in the text
+    rows += [(300, words(200, 3), "a"), *ODD]
+    edited = items[9][1].split()
+    rows.append((400, " ".join(["zzz", *edited[1:]]), "a"))  # 5 of 7 shingles
+    rows.append((401, " ".join(edited[:8]), "a"))  # 4 of 6
+    found = decontaminate.leaks(docs_of(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id, r.start_word) for r in found} == {(100 + n, n, 23) for n in range(5, 11)} | {(200 + n, n, 0) for n in range(1, 11)}
+    assert all(r.similarity == 1 for r in found)
+    assert decontaminate.keep_clean(docs_of(spark, rows), bench).count() == 3 + len(ODD)
+
+
 def test_fingerprints_equal_counting(spark):
     from pyspark.sql import functions as F
 
