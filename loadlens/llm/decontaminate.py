@@ -1,12 +1,16 @@
 """Benchmark decontamination: SimHash windows, Hamming blocks, exact verification.
 
 Words are hashed to 64 bits. The SimHash of a window has bit i set if more than half
-of its words' hashes have it. Windows are sized by the item that they are held
-against: 16 words for items of 19 words and more, 8 words for items of 11 to 18,
-so that an item that stands in a text contains one of the text's windows,
-which start at every fourth word; items give windows at every word. Items below
-11 words are met by their five-word shingles instead, at every word of the texts;
-items and texts below five words make one shingle, so such an item meets only texts of the same words.
+of its words' hashes have it. Items of LONG words and more are searched by windows of
+16 words, which start at every fourth word of a text and at every word of an item.
+Shorter items are met by their five-word shingles instead, at every word of the texts,
+which finds every place that shares one; items and texts below five words make one
+shingle, so such an item meets only texts of the same words.
+
+A stretch that passes PERCENT has a run of 19 of the item's words, and so a whole
+window, if the item has LONG words and no four of them twice: a break between two
+runs costs at least four shingles, so runs of at most 18 words (14 shingles) would
+leave too few in common.
 
 The 64 bits are counted all at once: four words go through a carry-save adder
 that leaves the count of each bit in three planes; two or four such blocks are
@@ -29,7 +33,8 @@ RADIUS = 3
 PARTS = RADIUS + 1
 PART_BITS = 64 // PARTS
 BLOCK = 4  # words
-WINDOWS = (16, 8)  # words; an item takes the first that leaves BLOCK - 1 words to spare
+WINDOW = 16  # words
+LONG = 38  # words; items below have no window
 SHINGLE = 5
 PERCENT = 75
 INDEX_ROWS = 1_000_000  # the index is broadcast up to this size, and joined by shuffle beyond
@@ -94,24 +99,17 @@ def _fingerprints(rows: DataFrame, stride: int) -> DataFrame:
     return halves.select("id", "start", over8.alias("f16"), over4.alias("f8"))
 
 
-def _part(size: int, fingerprint: Column, i: int) -> Column:
-    """One number for window size, part and the part's bits."""
-    bits = _and(F.shiftrightunsigned(fingerprint, PART_BITS * i), F.lit(2**PART_BITS - 1))
-    return bits + (WINDOWS.index(size) * PARTS + i) * 2**PART_BITS
-
-
-def _parts(size: int) -> list[Column]:
-    f = F.col(f"f{size}")
-    return [F.struct(_part(size, f, i).alias("part"), f.alias("f")) for i in range(PARTS)]
+def _parts() -> list[Column]:
+    """Number and bits of each part of a fingerprint, as one number, with the fingerprint."""
+    f = F.col("f16")
+    bits = [_and(F.shiftrightunsigned(f, PART_BITS * i), F.lit(2**PART_BITS - 1)) + i * 2**PART_BITS for i in range(PARTS)]
+    return [F.struct(b.alias("part"), f.alias("f")) for b in bits]
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, words, n_words, window); repeated and null ids keep one text each. No window: met by shingles."""
+    """(item_id, words, n_words); repeated and null ids keep one text each."""
     found = benchmark.select("item_id", words(ascii_lower(F.col("text"))).alias("words")).withColumn("n_words", F.size("words"))
-    window = F.lit(None).cast("int")
-    for size in reversed(WINDOWS):
-        window = F.when(F.col("n_words") >= size + BLOCK - 1, size).otherwise(window)
-    return found.withColumn("window", window).where("n_words > 0 and item_id is not null").dropDuplicates(["item_id", "words"])
+    return found.where("n_words > 0 and item_id is not null").dropDuplicates(["item_id", "words"])
 
 
 def _shingle_hashes(rows: DataFrame) -> DataFrame:
@@ -124,23 +122,20 @@ def _shingle_hashes(rows: DataFrame) -> DataFrame:
     return whole.select("id", F.col("at").cast("long").alias("start"), F.xxhash64(*[F.col(f"z.{n}") for n in names]).alias("g"))
 
 
-def _window_hits(texts: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
-    """Hits of the items that have windows, by near fingerprints."""
-    made = _fingerprints(items.where("window is not null").select(F.struct("item_id", "window").alias("id"), "words"), 1)
-    entries = [made.where(F.col("id.window") == s).select(F.col("id.item_id").alias("item_id"), F.col("start").alias("offset"), F.explode(F.array(*_parts(s))).alias("e")) for s in sizes]
-    index = entries[0]
-    for more in entries[1:]:
-        index = index.union(more)
-    index = cut(index.select("item_id", "offset", F.col("e.part").alias("part"), F.col("e.f").alias("item_f")).where("item_f is not null").distinct())
-    probes = _fingerprints(texts, BLOCK).select("id", "start", F.explode(F.array(*[p for s in sizes for p in _parts(s)])).alias("e"))
+def _window_hits(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """Hits by near fingerprints."""
+    made = _fingerprints(items.select(F.col("item_id").alias("id"), "words"), 1)
+    entries = made.where("f16 is not null").select(F.col("id").alias("item_id"), F.col("start").alias("offset"), F.explode(F.array(*_parts())).alias("e"))
+    index = cut(entries.select("item_id", "offset", F.col("e.part").alias("part"), F.col("e.f").alias("item_f")).distinct())
+    probes = _fingerprints(texts, BLOCK).select("id", "start", F.explode(F.array(*_parts())).alias("e"))
     met = probes.select("id", "start", F.col("e.part").alias("part"), F.col("e.f").alias("f")).join(broadcast_if_small(index, INDEX_ROWS), "part")
     near = met.where(F.bit_count(_xor(F.col("f"), F.col("item_f"))) <= RADIUS)
     return near.select(F.col("id").alias("doc_id"), "item_id", (F.col("start") - F.col("offset")).alias("start"))
 
 
 def _shingle_hits(texts: DataFrame, items: DataFrame) -> DataFrame:
-    """Hits of the items without windows: every place where one shares a shingle with a text."""
-    own = _shingle_hashes(items.where("window is null").select(F.col("item_id").alias("id"), "words"))
+    """Hits at every place where an item shares a shingle with a text."""
+    own = _shingle_hashes(items.select(F.col("item_id").alias("id"), "words"))
     index = cut(own.select(F.col("id").alias("item_id"), F.col("start").alias("offset"), "g").distinct())
     met = _shingle_hashes(texts).join(broadcast_if_small(index, INDEX_ROWS), "g")
     return met.select(F.col("id").alias("doc_id"), "item_id", (F.col("start") - F.col("offset")).alias("start"))
@@ -148,14 +143,9 @@ def _shingle_hits(texts: DataFrame, items: DataFrame) -> DataFrame:
 
 def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, start): where an item would begin for its windows or shingles to agree with the text's."""
-    found = {r["window"] for r in items.select("window").distinct().collect()}
-    sizes = sorted((s for s in found if s), reverse=True)  # of WINDOWS
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), words(ascii_lower(F.col("text"))).alias("words"))
-    hits = [_window_hits(texts, items, sizes)] if sizes else []
-    hits += [_shingle_hits(texts, items)] if None in found else []
-    if not hits:
-        return docs.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("long").alias("start")).limit(0)
-    return (hits[0].union(hits[1]) if len(hits) > 1 else hits[0]).distinct()
+    long, short = items.where(F.col("n_words") >= LONG), items.where(F.col("n_words") < LONG)
+    return _window_hits(texts, long).union(_shingle_hits(texts, short)).distinct()
 
 
 def _shingles(found: Column) -> Column:

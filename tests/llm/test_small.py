@@ -204,6 +204,39 @@ def test_short_items_leak(spark):
     assert decontaminate.keep_clean(docs_of(spark, rows), bench).count() == 3 + len(ODD)
 
 
+def plain_leak(text, item):
+    """Whether a place where they share a shingle passes, by brute force over lists of words."""
+    def grams(w):
+        return [tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))]
+
+    of_text, of_item = grams(text), grams(item)
+    for a in {max(0, min(i - j, len(text) - len(item))) for i, g in enumerate(of_text) for j, h in enumerate(of_item) if g == h}:
+        own, theirs = Counter(grams(text[a : a + len(item)])), Counter(of_item)
+        if 100 * (own & theirs).total() >= 75 * (own | theirs).total():
+            return True
+    return False
+
+
+def test_edited_copies_leak(spark):
+    r = random.Random(1)
+    items = {n: words(n, 700 + n).split() for n in (5, 8, 10, 11, 12, 18, 19, 20, 21, 30, 37, 38, 39, 46, 59)}
+    bench = spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id long, text string")
+    texts = []
+    for n, t in items.items():
+        copies = [[*t[:k], "zzz", *t[k + 1 :]] for k in range(n)] + [t[n // 2 :] + t[: n // 2]]
+        for _ in range(60):
+            copy = list(t)
+            for _ in range(r.randint(1, 3)):
+                k = r.randrange(len(copy))
+                copy[k : k + r.randint(0, 1)] = ["zzz"] * r.randint(0, 1)
+            copies.append(copy)
+        texts += [(n, f"{words(r.randint(0, 9), 8)} {' '.join(c)} {words(r.choice((0, 20)), 9)}") for c in copies]
+    found = decontaminate.leaks(docs_of(spark, [(i, t, "a") for i, (_, t) in enumerate(texts)]), bench).collect()
+    want = {(i, n) for i, (n, t) in enumerate(texts) if plain_leak(t.split(), items[n])}
+    assert len(want) > 400
+    assert not want ^ {(x.doc_id, x.item_id) for x in found}
+
+
 def test_fingerprints_equal_counting(spark):
     from pyspark.sql import functions as F
 
