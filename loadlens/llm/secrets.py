@@ -1,12 +1,13 @@
 """Secret scans whose false positives a random forest removes.
 
-Candidates are runs of key characters with a digit or mixed case. Each is
-described by its length, its transitions between classes of characters, the
-share that dictionary words cover, the path or address that it stands in and
-the words beside it. The forest is trained on labelled findings. There are
+Candidates are runs of MIN_LENGTH and more key characters with a digit or mixed
+case, values of MIN_ASSIGNED and more printable characters that a secret-like name is
+given by = or :, and passwords in URLs. Each is described by its length, its
+transitions between classes of characters, the share that dictionary words
+cover, the path or address that it stands in and the words beside it. The forest is trained on labelled findings. There are
 none among the tables, so they are drawn here from stated formats, ROWS of
-them: credentials in assignments and headers on one hand; commits, checksums, UUIDs, paths,
-addresses, numbers, identifiers and placeholders on the other. Training data
+them: credentials, passwords and phrases in assignments, headers and URLs on one hand; commits, checksums, UUIDs, paths,
+addresses, numbers, identifiers, plain words, code and placeholders on the other. Training data
 is bounded by that parameter; every candidate of every text is scored.
 """
 
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from loadlens.llm.common import table
 
 MIN_LENGTH = 16
+MIN_ASSIGNED = 8
 ROWS = 6_000
 TREES, DEPTH, SEED = 40, 8, 7
 THRESHOLD = 0.5
@@ -47,10 +49,16 @@ DICTIONARY = sorted(
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "xxxx", "0000", "1234567", "abcdef", "dummy", "sample", "test")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/=.\-]{%d,}" % MIN_LENGTH)
-ANY = "[A-Za-z0-9_+/=.-]{%d,}" % MIN_LENGTH
+NAME = r"(?i:pass|pwd|secret|token|key|credential|auth|private|access|signing)[A-Za-z0-9_-]{0,32}[\"'`\]]{0,2}[ \t]{0,8}(?::=|=>|=|:)[ \t]{0,8}"
+VALUE = r"""(?:"[^"\r\n]{%d,512}"|'[^'\r\n]{%d,512}'|`[^`\r\n]{%d,512}`|[^ \t\r\n"'`][^ \t\r\n]{%d,511})""" % (*[MIN_ASSIGNED] * 3, MIN_ASSIGNED - 1)
+IN_URL = r"""://[^ \t\r\n/:@"'`]{0,128}:[^ \t\r\n/"'`]{1,256}@"""
+ASSIGNED = re.compile(f"{NAME}(?=({VALUE}))", re.ASCII)  # looks ahead: a value may hold a name itself
+URL = re.compile(IN_URL)
+ANY = "[A-Za-z0-9_+/=.-]{%d,}|%s%s|%s" % (MIN_LENGTH, NAME, VALUE, IN_URL)  # of Java and Python alike
 _WORDS = re.compile("|".join(w for w in DICTIONARY if len(w) >= 3))
+_USER = re.compile(r"://[^\s/:@]*:$")
 _NEAR = re.compile(r"[A-Za-z][A-Za-z0-9_]*")
-FEATURES = ["length", "transitions", "digits", "uppers", "hex_only", "entropy", "coverage", "vowels", "longest_letters", "placeholder", "slashes", "dots", "dashes", "in_path", "secret_near", "secret_distance", "benign_near", "assigned", "quoted"]
+FEATURES = ["length", "transitions", "digits", "uppers", "hex_only", "entropy", "coverage", "vowels", "longest_letters", "placeholder", "slashes", "dots", "dashes", "in_path", "secret_near", "secret_distance", "benign_near", "assigned", "quoted", "symbols", "spaces", "url_password"]
 
 
 def _class(c: str) -> str:
@@ -89,6 +97,9 @@ def features(value: str, left: str, right: str) -> list[float]:
         float(any(w in BENIGN_WORDS for w in near)),
         float(tail.endswith(("=", ":", "=>")) or tail.lower().endswith("bearer")),
         float(left.endswith(('"', "'", "`"))),
+        sum(c in string.punctuation and c not in "_+/=.-" for c in value) / n,
+        float(value.count(" ")),
+        float(bool(_USER.search(left)) and right.startswith("@")),
     ]
 
 
@@ -101,8 +112,46 @@ def labelled_findings(rows: int = ROWS, seed: int = SEED) -> Iterator[tuple[str,
     prose = lambda: " ".join(letters() for _ in range(4))
     named = ["token", "api_key", "apikey", "secret", "password", "auth_token", "access_key", "client_secret", "private_key", "secret_key"]
     plain = ["commit", "sha256", "md5", "checksum", "etag", "revision", "build", "uuid", "id", "blob", "digest"]
+    leet = str.maketrans("aeios", "43105")
+    capital = lambda w: w.capitalize() if r.random() < 0.6 else w
+    mark = lambda: r.choice("!@#$%&*?-_.")
+    word = lambda: r.choice(DICTIONARY) if r.random() < 0.6 else letters()
+    names = [*named, "passwd", "pwd", "db_password", "DB_PASS", "secretKey", "passphrase", "credentials"]
+    sign = lambda: r.choice([" = ", "=", ": ", ":", " := ", " => "])
+    passwords = [
+        lambda: capital(word()).translate(leet) + mark() + capital(word()).translate(leet) + str(r.randint(10, 9999)),
+        lambda: word() + str(r.randint(0, 99)) + some(alnum, r.randint(3, 5)),
+        lambda: capital(word()) + str(r.randint(0, 9)) + some(string.ascii_letters, 2) + str(r.randint(0, 99)),
+        lambda: capital(word()).translate(leet) + mark() + str(r.randint(1900, 2099)) + mark() + word(),
+        lambda: some(alnum + "!@#$%^&*?~+-_", r.randint(8, 32)),
+        lambda: some(alnum, r.randint(8, 15)),
+        lambda: some(string.ascii_lowercase, r.randint(12, 32)),
+        lambda: some("bcdfghjklmnpqrstvwxz", r.randint(4, 8)) + some(string.ascii_lowercase, r.randint(8, 12)),
+    ]
+    others = [
+        lambda: "".join(word() for _ in range(3)),
+        lambda: capital(letters() + letters()),
+        lambda: f"{r.choice(DICTIONARY)}_{r.choice(DICTIONARY)}_{r.choice(named)}",
+        lambda: f"get_{r.choice(named)}({r.choice(DICTIONARY)})",
+        lambda: f"os.environ['{r.choice(named).upper()}']",
+        lambda: f"{r.choice(['self', 'settings', 'config', letters()])}.{r.choice(named)}",
+        lambda: f"${{{r.choice(names).upper()}}}",
+        lambda: f"<your-{r.choice(named)}>",
+        lambda: r.choice(["********", "xxxxxxxxxx", "changeme", "required", "undefined", "password", "placeholder", "12345678", "optional,", "example123"]),
+        lambda: " ".join(word() for _ in range(r.randint(2, 8))),
+        lambda: f"{letters()}/{letters()}/{letters()}.{r.choice(['pem', 'txt', 'json'])}",
+    ]
     for k in range(rows):
-        if k % 2 == 0:
+        if r.random() < 0.4:
+            value = r.choice(passwords if k % 2 == 0 else others)()
+            value += (some(alnum, MIN_ASSIGNED) if k % 2 == 0 else letters() * MIN_ASSIGNED)[: max(0, MIN_ASSIGNED - len(value))]
+            if r.random() < 0.2:
+                value = value if k % 2 == 0 else r.choice(["password", "pass", "PASSWORD", "changeme", "<password>", "${PASSWORD}", "xxxx", "$PASS", "secret"])
+                yield f"{prose()} {r.choice(['postgres', 'mysql', 'https', 'amqp', 'redis'])}://{letters()}:", value.replace("@", "!"), f"@{letters()}.{letters()}/{letters()}", int(k % 2 == 0)
+            else:
+                quote = r.choice(['"', "'", ""]) if " " not in value and "'" not in value else '"'
+                yield f"{prose()} {r.choice(names)}{sign()}{quote}", value, f"{quote} {prose()}", int(k % 2 == 0)
+        elif k % 2 == 0:
             value = r.choice([lambda: some(hexa, r.choice([32, 40, 64])), lambda: some(base, r.choice([24, 32, 40, 43, 64])), lambda: "AKIA" + some(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + some(alnum, 36), lambda: "sk-" + some(alnum, r.choice([32, 48])), lambda: some(alnum, r.randint(16, 40))])()
             name, link, quote = r.choice(named), r.choice([" = ", "=", ": ", ":", " := ", " => "]), r.choice(['"', "'", ""])
             left = r.choice([f"{prose()} {name}{link}{quote}", f"{prose()} {name.upper()}{link}{quote}", f"{prose()} {name} {quote}", f"{prose()} Authorization: Bearer "])
@@ -137,8 +186,22 @@ def trained(spark: SparkSession, findings: list[tuple[str, str, str, int]]) -> P
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="v"), forest]).fit(data)
 
 
-def candidates_of(text: str) -> Iterator[tuple[int, str, str, str]]:
-    """(start, value, left, right) of every candidate."""
+def _named(text: str) -> Iterator[tuple[int, str]]:
+    """(start, value) of what a secret-like name is given, and of passwords in URLs."""
+    for m in ASSIGNED.finditer(text):
+        value = m.group(1)
+        if value[0] in "\"'`":
+            yield m.start(1) + 1, value[1:-1]
+        else:
+            bare = re.split("[\"'`]", value)[0].rstrip(",;)]}")  # what closes a list, a call or a string around it
+            yield m.start(1), bare if len(bare) >= MIN_ASSIGNED else value
+    for m in URL.finditer(text):
+        at = m.group().index(":", 3) + 1
+        yield m.start() + at, m.group()[at:-1]
+
+
+def _runs(text: str) -> Iterator[tuple[int, str]]:
+    """(start, value) of long runs of key characters."""
     for m in CANDIDATE.finditer(text):
         value = m.group().strip(".=-/")
         start = m.start() + m.group().index(value) if value else m.start()
@@ -148,7 +211,15 @@ def candidates_of(text: str) -> Iterator[tuple[int, str, str, str]]:
                 name, _, rest = value.partition("=")
                 if len(rest) >= MIN_LENGTH:
                     start, value = start + len(name) + 1, rest
-            yield start, value, text[max(0, start - CONTEXT) : start], text[start + len(value) : start + len(value) + CONTEXT]
+            yield start, value
+
+
+def candidates_of(text: str) -> Iterator[tuple[int, str, str, str]]:
+    """(start, value, left, right) of every candidate, each once; a run and the same value with = or . at its end are one."""
+    runs = dict(_runs(text))
+    named = {(start, value) for start, value in _named(text) if runs.get(start) != value.rstrip(".=-/")}
+    for start, value in sorted({*runs.items(), *named}):
+        yield start, value, text[max(0, start - CONTEXT) : start], text[start + len(value) : start + len(value) + CONTEXT]
 
 
 SCHEMA = ", ".join(["doc_id long", "start long", "value string", *[f"{f} double" for f in FEATURES]])
@@ -168,7 +239,7 @@ def scan(docs: DataFrame, model: PipelineModel, threshold: float = THRESHOLD) ->
 
     start counts code points. Null and empty texts have no candidates; a null
     doc_id stays null; repeated rows are scanned each. Only texts with a long
-    enough run of key characters leave the JVM.
+    enough run of key characters, an assignment or a URL's password leave the JVM.
     """
     found = docs.select("doc_id", "text").where(F.col("text").rlike(ANY)).mapInPandas(_found, SCHEMA)
     scored = model.transform(found).withColumn("probability", F.round(vector_to_array("probability")[1], 6))

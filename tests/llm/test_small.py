@@ -164,6 +164,17 @@ def test_forest_on_held_out_findings(spark):
     assert all(r.value == key for r in found)
 
 
+def test_short_and_odd_secrets(spark):
+    model = secrets.trained(spark, list(secrets.labelled_findings()))
+    secret = {'password = "hunter2Zx9"': "hunter2Zx9", 'password = "S3cr3t!Passw0rd"': "S3cr3t!Passw0rd", "secret: 'Xk9!pQ2zLm4#vT7w'": "Xk9!pQ2zLm4#vT7w", 'passwd="P@ssw0rd#2024!longer$one"': "P@ssw0rd#2024!longer$one", "see postgres://user:pA55w0rd@host/db": "pA55w0rd", 'secret = "qwmzkfjhtplrxcvbnasd"': "qwmzkfjhtplrxcvbnasd", "DB_PASS=k7!mQ2xv": "k7!mQ2xv"}
+    plain = ["password: something", "token = get_token(user)", 'secret = "your_secret_here"', "api_key = os.environ['API_KEY']", "password = ${DB_PASSWORD}"]
+    rows = [(i, f"word word {t} word word") for i, t in enumerate([*secret, *plain])]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert {(r.doc_id, r.value) for r in found if r.is_secret} == set(enumerate(secret.values()))
+    assert {r.doc_id for r in found} == set(range(len(rows)))
+    assert all(rows[r.doc_id][1][r.start :].startswith(r.value) for r in found)
+
+
 # ---- leaks ----
 
 def test_leaks(spark):
