@@ -31,8 +31,9 @@ def matrix_of(points: DataFrame, how: str = "euclidean") -> tuple[list, np.ndarr
     if len(rows) > MOST_POINTS:
         raise ValueError(f"more than {MOST_POINTS} points: use clara()")
     x = np.array([r["vals"] for r in rows], dtype=float).reshape(len(rows), -1)
-    diff = x[:, None, :] - x[None, :, :]
-    d = np.sqrt((diff**2).sum(-1)) if how == "euclidean" else np.abs(diff).sum(-1)
+    d = np.empty((len(x), len(x)))
+    for i, row in enumerate(x):  # one row's differences at a time
+        d[i] = np.sqrt(((row - x) ** 2).sum(-1)) if how == "euclidean" else np.abs(row - x).sum(-1)
     return [r["id"] for r in rows], d
 
 

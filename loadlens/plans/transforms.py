@@ -372,7 +372,7 @@ def _(spark, d):
 
 @query("o07_flatten_clusters")
 def _(spark, d):
-    ids, dist = cluster.matrix_of(signatures(spark, d).where("id < 200"))
+    ids, dist = cluster.matrix_of(signatures(spark, d))
     merges = cluster.complete_linkage(ids, dist)
     return spark.createDataFrame(list(zip(ids, cluster.flatten(merges, len(ids), 10), strict=True)), "id long, cluster long")
 
@@ -380,14 +380,14 @@ def _(spark, d):
 @query("k05_pam")
 def _(spark, d):
     s = signatures(spark, d)
-    ids, dist = cluster.matrix_of(s.where("id < 200"))
+    ids, dist = cluster.matrix_of(s)
     own = [ids[i] for i in cluster.pam(dist, 10)[0]]
-    return cluster.assign(s.where("id < 200"), s.where(F.col("id").isin(own)))
+    return cluster.assign(s, s.where(F.col("id").isin(own)))
 
 
 @query("k06_xpam_bic")
 def _(spark, d):
-    ids, dist = cluster.matrix_of(signatures(spark, d).where("id < 120"))
+    ids, dist = cluster.matrix_of(signatures(spark, d))
     medoids, score = cluster.xpam(dist, 12, 16)
     return spark.createDataFrame([(ids[i], float(score)) for i in medoids], "medoid long, bic double")
 

@@ -118,3 +118,25 @@ def test_listeners_and_state(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr("user_id % 16").alias("rank"), "ts", "event_id", F.col("event_type").alias("path"))
     batch = comm.comm_regions(events).select("rank", "event_id", "elapsed", "start_path", "end_path")
     assert sorted(map(repr, found.collect())) == sorted(map(repr, batch.collect()))
+
+
+def test_clusterings_of_all_signatures(spark, sf_dir):
+    from loadlens import plans
+    from loadlens.plans.transforms import signatures
+
+    points = {r["id"]: np.array(r["vals"]) for r in signatures(spark, sf_dir).collect()}
+    ids = sorted(points)
+    d = np.array([[np.linalg.norm(points[a] - points[b]) for b in ids] for a in ids])
+    linked = {r["id"]: r["cluster"] for r in plans.QUERIES["o07_flatten_clusters"](spark, sf_dir).collect()}
+    assert sorted(linked) == ids and len(set(linked.values())) == 10
+    assigned = {r["id"]: r for r in plans.QUERIES["k05_pam"](spark, sf_dir).collect()}
+    own = sorted({r["medoid"] for r in assigned.values()})
+    assert sorted(assigned) == ids and len(own) == 10
+    at = [ids.index(m) for m in own]
+    assert np.allclose([assigned[i]["d"] for i in ids], d[:, at].min(1))
+    cost = d[:, at].min(1).sum()
+    for k in range(10):  # no swap of a medoid for any signature is better
+        rest = d[:, at[:k] + at[k + 1 :]].min(1)
+        assert np.minimum(rest[:, None], d).sum(0).min() > cost - 1e-6
+    medoids = plans.QUERIES["k06_xpam_bic"](spark, sf_dir).collect()
+    assert {round(r["bic"], 4) for r in medoids} == {round(max(cluster.bic(d, cluster.pam(d, k)[0], 16) for k in range(1, 13)), 4)}
