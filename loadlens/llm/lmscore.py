@@ -1,8 +1,8 @@
 """Language-model scores by stupid backoff (Brants et al. 2007), from the corpus's own counts.
 
-S(w | v) = c(v w) / c(v) if the pair occurs at least MIN_COUNT times, otherwise
-0.4 * c(w) / N; the first word of a document takes c(w) / N. A document's score is
-the sum of the decimal logarithms over its words.
+S(w | u) = c(u w) / c(u) if the n-gram u w of `order` words, or as many as the document
+has up to w, occurs at least MIN_COUNT times, otherwise 0.4 * S(w | u without its
+first word); S(w) = c(w) / N. A document's score is the sum of the decimal logarithms over its words.
 
 Every n-gram has a 64-bit hash. Documents are dealt into blocks of some megabytes.
 A block counts its n-grams and sends each distinct one once, sorted and
@@ -11,7 +11,7 @@ up and answers each block with the totals in the block's own order. A frequent
 n-gram thus costs a row part a block, not one a document, and no partition
 grows with it. The block joins the totals to its exploded n-grams and sums
 the terms by document. Documents above PIECE words are dealt as pieces that know
-the word before them. Blocks bound memory; BLOCK can grow with the
+the order - 1 words before them. Blocks bound memory; BLOCK can grow with the
 executors, so that a block's message to a partition stays long.
 """
 
@@ -32,48 +32,53 @@ from loadlens.llm.shingles import WordHashes, mixed
 
 BACKOFF = 0.4
 MIN_COUNT = 2
+ORDER = 2  # words of the longest n-gram
 BLOCK = 8_000_000  # bytes of text
 PIECE = 100_000  # words
 DIGITS = 4
 
 
 class Ngrams:
-    """The n-grams of a block: sorted distinct hashes, and which one each word has."""
+    """The n-grams of a block by length: sorted distinct hashes, where they end, and which one ends there."""
 
-    def __init__(self, block: pd.DataFrame):
+    def __init__(self, block: pd.DataFrame, order: int):
         hashes = WordHashes()
-        piece, codes, real = [], [], []
+        piece, place, codes, real = [], [], [], []
         rows = sorted(zip(block["lead"], block["body"], range(len(block)), strict=True), key=lambda r: r[2])
         for lead, body, i in rows:
-            found = bytes(body).split()
-            if lead is not None:
-                found.insert(0, bytes(lead))
+            before = [] if lead is None else bytes(lead).split()
+            found = before + bytes(body).split()
             codes.append(np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found)))
-            mark = np.ones(len(found), bool)
-            mark[:1] = lead is None
-            real.append(mark)
+            real.append(np.arange(len(found)) >= len(before))
+            place.append(np.arange(len(found)))
             piece.append(np.full(len(found), i))
-        none = np.empty(0, np.uint64)
-        code = np.concatenate([none, *codes])
-        self.piece = np.concatenate([np.empty(0, np.int64), *piece])
+        code = np.concatenate([np.empty(0, np.uint64), *codes])
+        self.piece, place = (np.concatenate([np.empty(0, np.int64), *x]) for x in (piece, place))
         self.real = np.concatenate([np.empty(0, bool), *real])  # words that count; a lead counts in the piece before
-        self.pair_at = np.nonzero(np.concatenate([[False], self.piece[1:] == self.piece[:-1]]))[0] if len(code) else np.empty(0, np.int64)
+        self.longest = np.minimum(place + 1, order)
+        self.at, self.keys, self.which = [], [], []
+        gram = mixed(code)
         with np.errstate(over="ignore"):
-            pairs = mixed(mixed(code[self.pair_at - 1]) * np.uint64(0x9E3779B97F4A7C15) + code[self.pair_at])
-        self.words, self.word_of = np.unique(mixed(code + np.uint64(1)), return_inverse=True)
-        self.pairs, self.pair_of = np.unique(pairs, return_inverse=True)
+            for k in range(1, order + 1):
+                if k > 1:
+                    gram = np.concatenate([gram[:1], mixed(gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + code[1:])])
+                at = np.nonzero(self.longest >= k)[0]
+                keys, which = np.unique(mixed(code + np.uint64(1)) if k == 1 else gram[at], return_inverse=True)
+                self.at.append(at)
+                self.keys.append(keys)
+                self.which.append(which)
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.bincount(self.word_of[self.real], minlength=len(self.words)), np.bincount(self.pair_of, minlength=len(self.pairs))
+    def counts(self) -> list[np.ndarray]:
+        return [np.bincount(which[self.real[at]], minlength=len(keys)) for at, keys, which in zip(self.at, self.keys, self.which, strict=True)]
 
 
-def counted(parts: int):
+def counted(parts: int, order: int):
     """A block's counts as a row for each partition of the count table."""
 
     def count(block: pd.DataFrame) -> pd.DataFrame:
-        found = Ngrams(block)
+        found = Ngrams(block, order)
         rows = []
-        own = [(keys, n, bounds(keys, parts)) for keys, n in zip((found.words, found.pairs), found.counts(), strict=True)]
+        own = [(keys, n, bounds(keys, parts)) for keys, n in zip(found.keys, found.counts(), strict=True)]
         for p in range(parts):
             row = [int(block["block"].iloc[0]), p]
             for keys, n, at in own:
@@ -81,50 +86,62 @@ def counted(parts: int):
                 row += [pack(np.diff(keys[part], prepend=np.uint64(0))), pack(n[part])]
             if any(at[p + 1] > at[p] for _, _, at in own):
                 rows.append(row)
-        return pd.DataFrame(rows, columns=["block", "part", "words", "word_n", "pairs", "pair_n"])
+        return pd.DataFrame(rows, columns=["block", "part", *[f"{c}{k}" for k in range(1, order + 1) for c in "gn"]])
 
     return count
 
 
-def added(part: pd.DataFrame) -> pd.DataFrame:
+def added(order: int):
     """A partition of the count table: every block's keys with the corpus's counts."""
-    out = {"block": part["block"], "part": part["part"]}
-    for keys, counts in (("words", "word_n"), ("pairs", "pair_n")):
-        own = [np.cumsum(unpack(k), dtype=np.uint64) for k in part[keys]]
-        n = np.concatenate([unpack(c) for c in part[counts]])
-        which = np.unique(np.concatenate(own), return_inverse=True)[1]
-        total = np.bincount(which, weights=n).astype(np.uint64)[which]  # exact up to 2^53
-        out[counts] = [pack(x) for x in np.split(total, np.cumsum([len(k) for k in own])[:-1])]
-    return pd.DataFrame(out)
 
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        out = {"block": part["block"], "part": part["part"]}
+        for k in range(1, order + 1):
+            own = [np.cumsum(unpack(g), dtype=np.uint64) for g in part[f"g{k}"]]
+            n = np.concatenate([unpack(c) for c in part[f"n{k}"]])
+            which = np.unique(np.concatenate(own), return_inverse=True)[1]
+            total = np.bincount(which, weights=n).astype(np.uint64)[which]  # exact up to 2^53
+            out[f"n{k}"] = [pack(x) for x in np.split(total, np.cumsum([len(g) for g in own])[:-1])]
+        return pd.DataFrame(out)
 
-def scored(block: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+    return add
+
+
+def scored(order: int):
     """Sums by piece of a block, with the terms that N and the backoff factor are missing from."""
-    found = Ngrams(block)
-    totals = totals.sort_values("part")
-    word_n, pair_n = (np.concatenate([np.empty(0, np.uint64), *[unpack(x) for x in totals[c]]]).astype(np.float64) for c in ("word_n", "pair_n"))
-    of_word, of_pair = word_n[found.word_of], pair_n[found.pair_of]
-    at = found.pair_at
-    seen = of_pair >= MIN_COUNT
-    hit = np.zeros(len(found.piece), bool)
-    hit[at] = seen
-    first = found.real.copy()
-    first[at] = False
-    with np.errstate(divide="ignore"):
-        term = np.log10(of_word)
-        term[at[seen]] = np.log10(of_pair[seen]) - np.log10(of_word[at[seen] - 1])
-    size = len(block)
-
-    def by_piece(mask: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-        return np.bincount(found.piece[mask], weights=None if weights is None else weights[mask], minlength=size)
-
-    return pd.DataFrame({"doc_id": block["doc_id"], "n_words": by_piece(found.real), "n_pairs": by_piece(hit), "n_first": by_piece(first), "log_sum": by_piece(found.real, term)})
-
-
-def lm_scores(docs: DataFrame) -> DataFrame:
+
+    def score(block: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+        found = Ngrams(block, order)
+        totals = totals.sort_values("part")
+        used = np.ones(len(found.piece), np.int64)
+        before = None
+        for k, (at, which) in enumerate(zip(found.at, found.which, strict=True), 1):
+            n = np.concatenate([np.empty(0, np.uint64), *[unpack(x) for x in totals[f"n{k}"]]]).astype(np.float64)
+            of = np.zeros(len(found.piece))
+            of[at] = n[which]
+            with np.errstate(divide="ignore"):
+                if k == 1:
+                    term = np.log10(of)
+                else:
+                    seen = at[of[at] >= MIN_COUNT]
+                    term[seen] = np.log10(of[seen]) - np.log10(before[seen - 1])
+                    used[seen] = k
+            before = of
+        size = len(block)
+
+        def by_piece(weights: np.ndarray) -> np.ndarray:
+            return np.bincount(found.piece[found.real], weights=weights[found.real], minlength=size)
+
+        sums = {"n_words": np.ones(len(used)), "n_pairs": used > 1, "n_backed": found.longest - used}
+        return pd.DataFrame({"doc_id": block["doc_id"], **{c: by_piece(x).astype(np.int64) for c, x in sums.items()}, "log_sum": by_piece(term)})
+
+    return score
+
+
+def lm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, n_words, n_pairs, score): a row for each doc_id of docs(doc_id, text).
 
-    n_pairs counts the words that the pair table scores; the rest back off. Texts that are
+    n_pairs counts the words that a pair or a longer n-gram scores; the rest back off to c(w) / N. Texts that are
     null, empty or blank have the score 0 over 0 words. Rows that repeat an id
     (null is one) are one document, each row's first word a first word.
     """
@@ -135,18 +152,18 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     one = F.array(F.struct(F.lit(0).alias("piece"), none.alias("lead"), text.cast("binary").alias("body")))
     many = F.transform(
         F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(PIECE)),
-        lambda i: F.struct((i / PIECE).cast("int").alias("piece"), F.when(i > 0, F.get("w", i - 1).cast("binary")).alias("lead"), F.array_join(F.slice("w", i + 1, PIECE), " ").cast("binary").alias("body")),
+        lambda i: F.struct((i / PIECE).cast("int").alias("piece"), F.when(i > 0, F.array_join(F.slice("w", F.greatest(i - order + 2, F.lit(1)), F.least(i, F.lit(order - 1))), " ").cast("binary")).alias("lead"), F.array_join(F.slice("w", i + 1, PIECE), " ").cast("binary").alias("body")),
     )
     long = F.octet_length(text) > PIECE  # a text has at most half as many words as bytes
     pieces = docs.select("doc_id", "text", F.when(long, found).alias("w")).select("doc_id", F.explode(F.when(long, many).otherwise(one)).alias("p")).select("doc_id", "p.*")
     pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
-    counts = pieces.groupBy("block").applyInPandas(counted(parts), "block int, part int, words binary, word_n binary, pairs binary, pair_n binary")
-    totals = counts.groupBy("part").applyInPandas(added, "block int, part int, word_n binary, pair_n binary")
-    sums = pieces.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(scored, "doc_id long, n_words long, n_pairs long, n_first long, log_sum double")
-    by_doc = cut(sums.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_words", "n_pairs", "n_first", "log_sum")]))
+    lengths = range(1, order + 1)
+    counts = pieces.groupBy("block").applyInPandas(counted(parts, order), ", ".join(["block int, part int", *[f"g{k} binary, n{k} binary" for k in lengths]]))
+    totals = counts.groupBy("part").applyInPandas(added(order), ", ".join(["block int, part int", *[f"n{k} binary" for k in lengths]]))
+    sums = pieces.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(scored(order), "doc_id long, n_words long, n_pairs long, n_backed long, log_sum double")
+    by_doc = cut(sums.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_words", "n_pairs", "n_backed", "log_sum")]))
     n = by_doc.agg(F.sum("n_words")).first()[0] or 1
-    backed = F.col("n_words") - F.col("n_pairs") - F.col("n_first")
-    score = F.col("log_sum") + backed * math.log10(BACKOFF) - (F.col("n_words") - F.col("n_pairs")) * math.log10(max(n, 1))
+    score = F.col("log_sum") + F.col("n_backed") * math.log10(BACKOFF) - (F.col("n_words") - F.col("n_pairs")) * math.log10(max(n, 1))
     return by_doc.select("doc_id", "n_words", "n_pairs", F.round(score, DIGITS).alias("score"))
 
 

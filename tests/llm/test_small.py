@@ -64,6 +64,28 @@ def test_lm_scores(spark, monkeypatch, block, piece):
 
 # ---- tokens ----
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+@pytest.mark.parametrize(("block", "piece"), [(8_000_000, 100_000), (300, 7), (300, 2)])
+def test_lm_scores_by_order(spark, monkeypatch, block, piece, order):
+    monkeypatch.setattr(lmscore, "BLOCK", block)
+    monkeypatch.setattr(lmscore, "PIECE", piece)
+    r = random.Random(4)
+    texts = {i: [r.choice("abcd") for _ in range(r.randint(0, 40))] for i in range(12)}
+    grams = Counter(tuple(ws[j - k : j]) for ws in texts.values() for j in range(1, len(ws) + 1) for k in range(1, min(order, j) + 1))
+    total, want = sum(map(len, texts.values())), {}
+    for i, ws in texts.items():
+        score = pairs = 0
+        for j in range(1, len(ws) + 1):
+            longest = min(order, j)
+            k = next(k for k in range(longest, 0, -1) if k == 1 or grams[tuple(ws[j - k : j])] >= lmscore.MIN_COUNT)
+            score += math.log10(grams[tuple(ws[j - k : j])] / (grams[tuple(ws[j - k : j - 1])] if k > 1 else total)) + (longest - k) * math.log10(lmscore.BACKOFF)
+            pairs += k > 1
+        want[i] = (len(ws), pairs, score)
+    found = {x.doc_id: (x.n_words, x.n_pairs, x.score) for x in lmscore.lm_scores(docs_of(spark, [(i, " ".join(ws), "a") for i, ws in texts.items()]), order).collect()}
+    assert found.keys() == want.keys()
+    assert all(found[i][:2] == want[i][:2] and abs(found[i][2] - want[i][2]) < 1e-3 for i in want)
+
+
 def test_token_counts(spark, monkeypatch):
     import public_tokenizers
 
