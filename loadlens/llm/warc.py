@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import gzip
 import sys
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadlens.llm.common import table
+from loadlens.llm.common import shared_folder, table
 
 SEGMENT = 16_384  # bytes of a block
 CHUNK = 4_096  # bytes of a transfer chunk
@@ -239,8 +238,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     least page_id of a payload are all responses.
     """
     spark = pages.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loadlens-warc-")
-    path = f"{folder}/warc-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path)
     return resolved(reassembled(read_archives(spark, path)))
 
