@@ -48,24 +48,24 @@ def plain_scores(rows):
     return out
 
 
-@pytest.mark.parametrize(("block", "piece"), [(8_000_000, 100_000), (200, 7)])
+@pytest.mark.parametrize(("block", "piece"), [(1_200_000, 100_000), (60, 7)])
 def test_lm_scores(spark, monkeypatch, block, piece):
     monkeypatch.setattr(lmscore, "BLOCK", block)
     monkeypatch.setattr(lmscore, "PIECE", piece)
-    rows = [(i, t) for i, t, _ in ODD] + [(k, words(40, k % 3)) for k in range(10, 22)] + [(30, "a a a a a")]
-    found = lmscore.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    rows = [(i, t) for i, t, _ in ODD] + [(k, words(40, k % 3)) for k in range(10, 22)] + [(30, "a a a a a"), (None, "a b"), (2**60 + 1, "a a")]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, score string, block long").repartition(3)
+    found = lmscore.lm_scores(docs, 2).collect()
     want = plain_scores(rows)
     assert {r.doc_id for r in found} == set(want)
     for r in found:
         assert (r.n_words, r.n_pairs) == tuple(want[r.doc_id][:2])
         assert abs(r.score - want[r.doc_id][2]) < 1e-3
-    assert lmscore.lm_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+        assert abs(r.mean_score - want[r.doc_id][2] / max(r.n_words, 1)) < 1e-3
+    assert lmscore.lm_scores(docs.limit(0)).count() == 0
 
 
-# ---- tokens ----
-
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
-@pytest.mark.parametrize(("block", "piece"), [(8_000_000, 100_000), (300, 7), (300, 2)])
+@pytest.mark.parametrize(("block", "piece"), [(1_200_000, 100_000), (50, 7), (50, 2)])
 def test_lm_scores_by_order(spark, monkeypatch, block, piece, order):
     monkeypatch.setattr(lmscore, "BLOCK", block)
     monkeypatch.setattr(lmscore, "PIECE", piece)
@@ -74,17 +74,20 @@ def test_lm_scores_by_order(spark, monkeypatch, block, piece, order):
     grams = Counter(tuple(ws[j - k : j]) for ws in texts.values() for j in range(1, len(ws) + 1) for k in range(1, min(order, j) + 1))
     total, want = sum(map(len, texts.values())), {}
     for i, ws in texts.items():
-        score = pairs = 0
+        score = pairs = top = 0
         for j in range(1, len(ws) + 1):
             longest = min(order, j)
             k = next(k for k in range(longest, 0, -1) if k == 1 or grams[tuple(ws[j - k : j])] >= lmscore.MIN_COUNT)
             score += math.log10(grams[tuple(ws[j - k : j])] / (grams[tuple(ws[j - k : j - 1])] if k > 1 else total)) + (longest - k) * math.log10(lmscore.BACKOFF)
             pairs += k > 1
-        want[i] = (len(ws), pairs, score)
-    found = {x.doc_id: (x.n_words, x.n_pairs, x.score) for x in lmscore.lm_scores(docs_of(spark, [(i, " ".join(ws), "a") for i, ws in texts.items()]), order).collect()}
+            top += k == order > 1
+        want[i] = (len(ws), pairs, score, top)
+    found = {x.doc_id: (x.n_words, x.n_pairs, x.score, x.n_longest) for x in lmscore.lm_scores(docs_of(spark, [(i, " ".join(ws), "a") for i, ws in texts.items()]), order).collect()}
     assert found.keys() == want.keys()
-    assert all(found[i][:2] == want[i][:2] and abs(found[i][2] - want[i][2]) < 1e-3 for i in want)
+    assert all(found[i][:2] == want[i][:2] and found[i][3] == want[i][3] and abs(found[i][2] - want[i][2]) < 1e-3 for i in want)
+
 
+# ---- tokens ----
 
 def test_token_counts(spark, monkeypatch):
     import public_tokenizers
@@ -103,6 +106,23 @@ def test_token_counts(spark, monkeypatch):
             assert tokencount.count_long(tokenizer, text, chunk, overlap) == len(tokenizer.encode(text, add_special_tokens=False).ids)
 
 
+def test_token_counts_of_odd_rows(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path(tokencount.TOKENIZER)
+    tokenizer = tokencount.tokenizer_at(path)
+    rows = [(1, words(2000, 3), "x", 9), (1, words(2000, 3), "x", 9), (None, "a b", "y", 9), (1, None, None, None), (2, "é" * 7000 + " a", "z", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string, n_bytes long")
+    found = sorted((tuple(r) for r in tokencount.token_counts(docs, path, limit=3).collect()), key=repr)
+    want = [(i, len((t or "").encode()), n := len(tokenizer.encode(t or "", add_special_tokens=False)), n > 3) for i, t, *_ in rows]
+    assert found == sorted(want, key=repr)
+    assert tokencount.token_counts(docs.limit(0), path).count() == 0
+    many = tokencount.token_counts(spark.createDataFrame([(k, words(400, k)) for k in range(50)], "doc_id long, text string"), path, chunk=150, overlap=20).collect()
+    assert all(r.n_tokens == len(tokenizer.encode(words(400, r.doc_id), add_special_tokens=False)) for r in many)
+    with pytest.raises(ValueError, match="white space"):
+        tokencount.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 # ---- quality ----
 
 def plain_counts(text):
