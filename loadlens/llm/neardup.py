@@ -14,34 +14,27 @@ collapse to their least doc_id first. Of the others:
 2. Partners share three quarters of a set. Of the sets that meet another one,
    those with more than a quarter of shingles that no other of them has are
    linked with nothing, and leave the lists.
-3. Lists of up to SMALL sets are verified together with the other small lists
-   of their hub: a bounded group, to which each whole set is sent
-   once. There the union-sketch estimate drops pairs far below 0.75 and the
-   exact Jaccard of whole sets confirms; pairs known to be connected are passed over.
-4. A longer list is never paired. Its hub h, the set with the largest share of
-   shared shingles, is verified with all others, and sets linked to the hub
-   belong together. A link (x, y) with x not linked to h has |x & y| >=
-   need(x, y) = ceil(3/7 (|x| + |y|)), so it shares at least need(x, y) - |x & h|
-   shingles outside h. Where that is positive, x and y meet again in lists of
-   their shingles outside h, under the least |x - h| - r + 1 of them, r being
-   that number for the smallest possible y. These lists are mostly short;
-   those that are not take another hub. Where it is not (x all but linked,
-   y smaller than h), x and y are verified as a pair. After ROUNDS rounds,
-   lists that stay long give all pairs that are not known to be connected.
-   Members carry the label of the hub that they were linked to; lists of one
-   label are done.
+3. Lists with the same least document form a group, in which the ESTIMATE least
+   hashes alone are compared: the union-sketch estimate drops pairs far below
+   0.75, and what it leaves connects documents to candidate families. Two linked
+   sets are in one family.
+4. Each whole set is sent once, to its family, where the exact Jaccard of whole
+   sets confirms links; pairs that are connected already are passed over, the
+   most alike go first.
 5. The confirmed links go through alternating large-star and small-star steps
    (Kiveris et al. 2014) until each document hangs on the least of its group.
 
-No step collects anything to the driver, and no step pairs all members of a
-large group.
+Groups of 3 and families of 4 are resolved in the same way (resolve()): a task
+holds sets of a total weight of BOUND at most, and large groups are cut into
+parts that all hold one common document. What the parts leave apart from it,
+mostly little or nothing, meets every part once more. So each two members of a group that are not connected meet in some task, whatever the
+group's size; no step pairs all members, and none collects to the driver.
 """
 
 from __future__ import annotations
 
 import math
 import sys
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -50,27 +43,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadlens.llm.common import broadcast_if_small, cut, table
-from loadlens.llm.packed import bounds, pack, unpack
+from loadlens.llm.packed import blocks_of, bounds, pack, unpack
 from loadlens.llm.shingles import bottom_sketch, full_set
 
 K = 32
-SMALL = 32
-ROUNDS = 3
-SALTS = 16
 ESTIMATE = 64  # least hashes of a union that estimate a similarity
 LIKELY, ENOUGH = 64, 25  # of 64 hashes at 0.75, fewer than 25 are shared with probability 1e-10
+BOUND = 400_000  # weight of the sets that a task compares at once
+SET_COST = 1_000  # weight of a set besides its hashes
 COLUMNS = 8192
 VALUES = 1_000_000  # shingles of a block
 IDS = 500_000  # ids that may be broadcast
-
-
-def _need(n: Column, m: Column) -> Column:
-    """Least intersection of sets of n and m shingles with 100 i >= 75 (n + m - i)."""
-    return F.ceil(3 * (n + m) / 7.0).cast("long")
-
-
-def _both(a: str, b: str) -> Column:
-    return F.size(F.array_intersect(F.col(a), F.col(b))).cast("long")
+EDGES = 200_000  # links of a task
 
 
 def overlaps(sketches: list[np.ndarray]) -> np.ndarray:
@@ -86,23 +70,35 @@ def overlaps(sketches: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def in_both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Values of two sorted arrays of distinct values that both have; a stable sort merges them."""
+    merged = np.concatenate((a, b))
+    merged.sort(kind="stable")
+    return merged[:-1][merged[1:] == merged[:-1]]
+
+
 def likely(a: np.ndarray, b: np.ndarray) -> bool:
     """Union-sketch estimate: of the union's least hashes enough are in both."""
     a, b = a[:ESTIMATE], b[:ESTIMATE]
+    both = in_both(a, b)
     least = np.union1d(a, b)[:ESTIMATE]
-    both = np.intersect1d(a, b, assume_unique=True)
-    return LIKELY * len(np.intersect1d(both, least, assume_unique=True)) >= ENOUGH * len(least)
+    return LIKELY * np.searchsorted(both, least[-1], side="right") >= ENOUGH * len(least)
 
 
 def alike(a: np.ndarray, b: np.ndarray, sizes: int) -> bool:
     """Exact: 100 i >= 75 (sizes - i), i being what both have."""
-    return 7 * len(np.intersect1d(a, b, assume_unique=True)) >= 3 * sizes
+    return 7 * len(in_both(a, b)) >= 3 * sizes
+
 
+def forest(frame: pd.DataFrame, exact: bool) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links that connect what all links among some sets connect, and what each row is connected with then: a row's place.
 
-def group_links(group: pd.DataFrame) -> pd.DataFrame:
-    """Links that connect what all links among a small group's sets connect."""
-    docs, sets, n = group["doc"].tolist(), group["set"].tolist(), group["n"].to_numpy()
-    root = list(range(len(docs)))
+    Rows of one label count as connected. Only pairs of which one row asks are looked at.
+    """
+    docs, sets, n = frame["doc"].tolist(), frame["set"].tolist(), frame["n"].to_numpy()
+    asks, held = frame["asks"].to_numpy(), np.array([min(len(s), ESTIMATE) for s in sets])
+    _, first, which = np.unique(frame["label"].to_numpy(), return_index=True, return_inverse=True)
+    root = first[which].tolist()
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -111,15 +107,36 @@ def group_links(group: pd.DataFrame) -> pd.DataFrame:
         return i
 
     met = overlaps([s[:ESTIMATE] for s in sets])
-    near = np.triu((met > 0) & (4 * np.minimum.outer(n, n) >= 3 * np.maximum.outer(n, n)), 1)
+    enough = LIKELY * met >= ENOUGH * np.maximum.outer(held, held)
+    near = np.triu(enough & (4 * np.minimum.outer(n, n) >= 3 * np.maximum.outer(n, n)) & np.logical_or.outer(asks, asks), 1)
     left, right = np.nonzero(near)
     found = []
     for k in np.argsort(-met[left, right], kind="stable"):  # the most alike first, so that most others are connected already
         i, j = int(left[k]), int(right[k])
-        if top(i) != top(j) and likely(sets[i], sets[j]) and alike(sets[i], sets[j], n[i] + n[j]):
+        if top(i) != top(j) and likely(sets[i], sets[j]) and (not exact or alike(sets[i], sets[j], n[i] + n[j])):
             root[top(i)] = top(j)
             found.append((docs[i], docs[j]))
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    return found, [top(i) for i in range(len(docs))]
+
+
+def forests(exact: bool):
+    """forest() of every part of a group that a task was given: links without a group, and what is not connected with
+    a large group's common document, with its label, beside the group."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for (group, _), rows in frame.groupby(["group", "part"], sort=False).indices.items():
+            if len(rows) == 1:
+                continue
+            own = frame.iloc[rows]
+            made, tops = forest(own, exact)
+            found += [(a, b, None) for a, b in made]
+            docs, common = own["doc"].tolist(), np.nonzero(own["common"].to_numpy())[0]
+            if len(common):
+                found += [(docs[i], docs[top], group) for i, top in enumerate(tops) if top != tops[common[0]]]
+        return pd.DataFrame(found, columns=["a", "b", "group"]).astype({"a": "int64", "b": "int64", "group": "Int64"})
+
+    return run
 
 
 def _index(sketches: DataFrame) -> DataFrame:
@@ -136,13 +153,6 @@ def _index(sketches: DataFrame) -> DataFrame:
     return by_doc.select("doc", "n", F.explode(F.slice("v", skipped + 1, K)).alias("v")).select(F.col("v.value").alias("list"), "doc", "n")
 
 
-def _sized(lists: DataFrame, keys: list[str]) -> DataFrame:
-    """Members with the size and the hub of their list; lists of one, and of one label, are gone."""
-    hub = F.max(F.struct("share", (-F.col("doc")).alias("minus"), "doc", "n", "label"))
-    sizes = [F.count("*").alias("size"), F.struct(hub["doc"].alias("doc"), hub["n"].alias("n"), hub["label"].alias("label")).alias("hub"), F.min("label").alias("l0"), F.max("label").alias("l1")]
-    return lists.join(lists.groupBy(*keys).agg(*sizes).where("l0 != l1").drop("l0", "l1"), keys)
-
-
 def block_values(parts: int):
     """A block's distinct shingles and how many of its sets have each, by part of the hash range."""
 
@@ -172,61 +182,90 @@ def shared_part(block: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
     _, which = np.unique(np.concatenate(sets).view(np.uint64), return_inverse=True)
     total = np.concatenate([unpack(x) for x in totals.sort_values("part")["counts"]])
     shared = np.split(total[which] > 1, np.cumsum(size)[:-1])
-    rows = [(doc, len(s), own.sum() / len(s), s[own]) for doc, s, own in zip(block["doc"], sets, shared, strict=True) if 4 * own.sum() >= 3 * len(s)]
-    return pd.DataFrame(rows, columns=["doc", "n", "share", "set"])
+    rows = [(doc, len(s), s[own]) for doc, s, own in zip(block["doc"], sets, shared, strict=True) if 4 * own.sum() >= 3 * len(s)]
+    return pd.DataFrame(rows, columns=["doc", "n", "set"])
 
 
 def _shared(sets: DataFrame) -> DataFrame:
-    """(doc, n, share, set) of the sets that can have partners: size, share of shared shingles, and those.
+    """(doc, n, set) of the sets that can have partners: size, and the shingles that another one has too.
 
     Each block sends a shingle once, however many of its sets have it. What two sets
     share is in both of the smaller sets, so these are all that is needed from here on.
     """
-    size = sets.agg(F.sum(F.size("set"))).first()[0] or 0
-    parts = max(1, math.ceil(size / VALUES))
+    parts = blocks_of(sets.agg(F.sum(F.size("set"))).first()[0] or 0, VALUES)
     blocks = sets.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int"))
     sent = blocks.groupBy("block").applyInPandas(block_values(parts), "block int, part int, keys binary, counts binary")
     totals = sent.groupBy("part").applyInPandas(summed_values, "block int, part int, counts binary")
-    return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(shared_part, "doc long, n long, share double, set array<long>")
+    return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(shared_part, "doc long, n long, set array<long>")
 
 
-def _small(members: DataFrame, sets: DataFrame, parts: Column) -> DataFrame:
-    """Links within lists of up to SMALL sets.
+def components(edges: DataFrame) -> DataFrame:
+    """(doc, component): the least document that each linked one is connected with."""
 
-    Lists of one hub form a group; parts, at least one for 32 lists that the hub
-    can have, split it, so that a group has at most some thousand sets.
-    """
-    part = F.pmod(F.xxhash64("list"), parts).cast("int")
-    some = members.where(F.col("size") <= SMALL).select(F.col("hub.doc").alias("hub"), part.alias("part"), "doc").distinct()
-    return some.join(sets, "doc").groupBy("hub", "part").applyInPandas(group_links, "a long, b long")
+    def stars(e: DataFrame, tasks: int) -> DataFrame:
+        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(tasks)
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).coalesce(tasks)
+        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").coalesce(tasks)
+        least = large.groupBy("b").agg(F.min("a").alias("m")).coalesce(tasks)
+        joined = large.join(least, "b").coalesce(tasks)
+        small = joined.select(F.col("m").alias("a"), "b").union(joined.where("a != m").select(F.col("m").alias("a"), F.col("a").alias("b")))
+        return small.coalesce(tasks).distinct().coalesce(tasks)
 
+    def mark(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    before, now = None, (edges.count(), None)
+    while now != before:
+        edges, before = cut(stars(edges, math.ceil(now[0] / EDGES) + 1)), now
+        now = mark(edges)
+    return edges.select(F.col("b").alias("doc"), F.col("a").alias("component"))
+
+
+def _linked(rows: DataFrame, sets: DataFrame, exact: bool) -> DataFrame:
+    """forests() of rows(group, part, doc, label, asks, common). Small parts share a task."""
+    weight = rows.join(sets.select("doc", _weight()), "doc").agg(F.sum("w")).first()[0] or 0
+    bins = max(1, math.ceil(4 * weight / BOUND))
+    dealt = rows.join(sets, "doc").withColumn("bin", F.pmod(F.xxhash64("group", "part"), F.lit(bins)).cast("int"))
+    return cut(dealt.groupBy("bin").applyInPandas(forests(exact), "a long, b long, group long"))
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are links."""
-    return _with_sets(pairs, sets).where(_both("set_a", "set_b") >= _need(F.col("n_a"), F.col("n_b"))).select("a", "b")
 
+def _weight() -> Column:
+    return (F.size("set") + SET_COST).cast("long").alias("w")
 
-def _large_pairs(members: DataFrame, keys: list[str], sets: DataFrame) -> DataFrame:
-    """Links within lists that stayed long, pair by pair, but for those known to be connected."""
-    a, b = (members.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "label")]) for s in "ab")
-    pairs = a.join(b, keys).where("doc_a < doc_b and label_a != label_b and 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
-    return _verified(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct(), sets)
 
+def _parts(weight: Column) -> Column:
+    return F.ceil(weight / BOUND).cast("int")
 
-def _all_but_linked(tested: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of sets not linked to the hub with partners so small that all they share may lie in the hub."""
-    x = tested.where("not linked and beyond <= 0").select("a", F.col("b").alias("x"), F.col("n").alias("n_x"), "shared", F.col("label").alias("label_x"))
-    y = tested.select("a", F.col("b").alias("y"), F.col("n").alias("n_y"), F.col("label").alias("label_y"))
-    small = (F.col("label_x") != F.col("label_y")) & (_need(F.col("n_x"), F.col("n_y")) <= F.col("shared")) & (4 * F.col("n_y") >= 3 * F.col("n_x"))
-    return _verified(x.join(y, "a").where(small).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets)
 
+def _dealt(n: Column, salt: int) -> Column:
+    return F.pmod(F.xxhash64("doc", F.lit(salt)), n).cast("int")
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Both sets of each pair. The side that meets many, a, is dealt by salt; it is few sets."""
-    hubs = sets.join(pairs.select(F.col("a").alias("doc")).distinct(), "doc", "left_semi")
-    a = hubs.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("set").alias("set_a"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    b = sets.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("set").alias("set_b"))
-    return pairs.join(b, "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(a, ["a", "salt"])
+
+def _all(n: Column) -> Column:
+    return F.sequence(F.lit(0), n - 1)
+
+
+def resolve(members: DataFrame, sets: DataFrame, exact: bool) -> DataFrame:
+    """Links (a, b) that connect, within each group of members(group, doc), what all its links connect."""
+    members = cut(members.join(sets.select("doc", _weight()), "doc"))
+    groups = members.groupBy("group").agg(F.count("*").alias("size"), F.min("doc").alias("head"), _parts(F.sum("w")).alias("parts"))
+    groups = cut(groups.where("size > 1").drop("size"))
+    placed = members.join(groups, "group")
+    common = (F.col("doc") == F.col("head")) & (F.col("parts") > 1)
+    part = F.when(common, _all(F.col("parts"))).otherwise(F.array(_dealt(F.col("parts"), 0)))
+    first = _linked(placed.select("group", F.explode(part).alias("part"), "doc", F.col("doc").alias("label"), F.lit(True).alias("asks"), common.alias("common")), sets, exact)
+    links = first.where("group is null").select("a", "b")
+    apart = first.where("group is not null").select("group", F.col("a").alias("doc"), F.col("b").alias("label")).distinct()
+    if apart.isEmpty():
+        return links
+    large = placed.where("parts > 1").join(apart, ["group", "doc"], "left")
+    large = cut(large.select("group", "doc", "w", "parts", F.coalesce("label", "head").alias("label"), F.col("label").isNotNull().alias("apart")))
+    blocks = cut(large.where("apart").groupBy("group").agg(_parts(F.sum("w")).alias("blocks")))
+    left = large.join(blocks, "group")
+    asking = left.where("apart").select("group", "doc", "label", F.explode(_all(F.col("parts"))).alias("part"), _dealt(F.col("blocks"), 1).alias("block"), F.lit(True).alias("asks"))
+    asked = left.select("group", "doc", "label", _dealt(F.col("parts"), 0).alias("part"), F.explode(_all(F.col("blocks"))).alias("block"), F.lit(False).alias("asks"))
+    met = asking.unionByName(asked).withColumn("part", F.xxhash64("part", "block")).withColumn("common", F.lit(False)).drop("block")
+    return links.union(_linked(met, sets, exact).select("a", "b"))
 
 
 def links(sketches: DataFrame, docs: DataFrame) -> DataFrame:
@@ -235,62 +274,16 @@ def links(sketches: DataFrame, docs: DataFrame) -> DataFrame:
     sketches(doc, n, sketch) has one row for each distinct set; docs(doc_id,
     text) gives the whole sets of those that meet another one.
     """
-    keys = ["list"]
-    listed = _index(sketches)
-    listed = cut(listed.join(listed.groupBy("list").agg(F.count("*").alias("df")).where("df > 1").drop("df"), "list"))
+    listed = cut(_index(sketches))
     active = broadcast_if_small(cut(listed.select(F.col("doc").alias("doc_id")).distinct()), IDS)
     sets = cut(docs.join(active, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), full_set()(F.col("text").cast("binary")).alias("set")))
     sets = cut(_shared(sets))
-    shares = broadcast_if_small(sets.select("doc", "share"), IDS)
-    members = cut(_sized(listed.join(shares, "doc").withColumn("label", F.col("doc")), keys))
-    found = [cut(_small(members, sets, F.lit(1)))]
-    large = members.where(F.col("size") > SMALL)
-    for step in range(ROUNDS + 1):
-        if large.isEmpty():
-            break
-        if step == ROUNDS:
-            found.append(cut(_large_pairs(large, keys, sets)))
-            break
-        most = [F.max(c).alias(c) for c in ("n", "share", "label")]
-        spokes = large.where("doc != hub.doc").groupBy(F.col("hub.doc").alias("a"), F.col("doc").alias("b")).agg(*most, F.max("hub.label").alias("hub_label"))
-        # The least partner has three quarters of a set's size, and no less than the least spoke of the hub.
-        spokes = spokes.join(spokes.groupBy("a").agg(F.min("n").alias("least")), "a").withColumn("least", F.greatest(F.col("least"), F.ceil(3 * F.col("n") / 4.0)))
-        met = _with_sets(spokes, sets).withColumns({"shared": _both("set_a", "set_b"), "rest": F.array_except("set_b", "set_a")})
-        confirmed = F.col("shared") >= _need(F.col("n_a"), F.col("n"))
-        linked = confirmed | (F.col("label") == F.col("hub_label"))
-        label = F.when(linked, F.col("hub_label")).otherwise(F.col("label"))
-        tested = cut(met.select("a", "b", "n", "share", "shared", label.alias("label"), confirmed.alias("confirmed"), linked.alias("linked"), (_need(F.col("n"), F.col("least")) - F.col("shared")).alias("beyond"), "rest"))
-        found.append(tested.where("confirmed").select("a", "b"))
-        found.append(cut(_all_but_linked(tested, sets)))
-        part = F.slice("rest", 1, F.greatest(F.size("rest") + 1 - F.greatest(F.col("beyond"), F.lit(1)), F.lit(0)).cast("int"))
-        keys = ["hub_of", "list"]
-        members = cut(_sized(tested.select(F.col("a").alias("hub_of"), F.explode(part).alias("list"), F.col("b").alias("doc"), "n", "share", "label"), keys))
-        found.append(cut(_small(members, sets, F.ceil(F.col("hub.n") / 32.0).cast("int"))))
-        large = members.where(F.col("size") > SMALL)
-    return cut(reduce(DataFrame.union, found).distinct())
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(doc, component): the least document that each linked one is connected with."""
-
-    def stars(e: DataFrame) -> DataFrame:
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        joined = large.join(least, "b")
-        small = joined.select(F.col("m").alias("a"), "b").union(joined.where("a != m").select(F.col("m").alias("a"), F.col("a").alias("b")))
-        return small.distinct()
-
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    before = None
-    while True:
-        edges = cut(stars(edges))
-        if (now := mark(edges)) == before:
-            return edges.select(F.col("b").alias("doc"), F.col("a").alias("component"))
-        before = now
+    listed = listed.join(broadcast_if_small(cut(sets.select("doc").distinct()), IDS), "doc", "left_semi")
+    lists = listed.groupBy("list").agg(F.min("doc").alias("group"), F.count("*").alias("df")).where("df > 1")
+    members = listed.join(lists, "list").select("group", "doc").distinct()
+    near = components(resolve(members, sets.select("doc", "n", F.slice("set", 1, ESTIMATE).alias("set")), exact=False))
+    heads = near.select(F.col("component").alias("group"), F.col("component").alias("doc")).distinct()
+    return resolve(heads.union(near.where("doc != component").select("component", "doc")), sets, exact=True)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-REMEMBERED_WORDS = 500_000  # bounds the memory of a Python worker
+REMEMBERED_WORDS = 100_000  # some 20 MB of a Python worker
 
 
 class WordHashes(dict):

@@ -50,11 +50,10 @@ def variants(seed, copies):
     return [(k, t, 1) for k, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("small", "rounds", "copies"), [(32, 5, 25), (2, 5, 40), (3, 1, 30)])
-def test_equals_brute_force(spark, monkeypatch, small, rounds, copies):
-    monkeypatch.setattr(neardup, "SMALL", small)
-    monkeypatch.setattr(neardup, "ROUNDS", rounds)
-    rows = variants(small, copies)
+@pytest.mark.parametrize(("bound", "copies"), [(1_000_000, 25), (20_000, 40), (4_000, 30)])
+def test_equals_brute_force(spark, monkeypatch, bound, copies):
+    monkeypatch.setattr(neardup, "BOUND", bound)  # the smaller, the more parts a group has
+    rows = variants(copies, copies)
     found = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA))
     assert sorted(map(tuple, found.collect())) == brute(rows)
 
