@@ -90,7 +90,7 @@ def text_counts():
         for texts in batches:
             yield pd.DataFrame([counts_of(text) for text in texts], columns=COUNTS)
 
-    return counts
+    return counts.asNondeterministic()  # else a filter on a count is pushed down with a second call of its own
 
 
 #: The metrics over the counts; integer division rounds down in either dialect.
