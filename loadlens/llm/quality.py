@@ -4,11 +4,13 @@ Every text gives integer counts; some of their ratios (per thousand) are rule
 metrics. For each (lang, source) and metric a quantile sketch is built: a
 histogram over log-linear buckets, five leading binary digits each, so its
 relative error is below 1/16, it holds at most some hundred buckets, and it is
-merged by adding counts. Sketches of a source with few documents merge into
-its language's, and those into the corpus's. The fences lie three quartile
+merged by adding counts: those of a language's sources are its sketch, and all
+of them the corpus's. The fences lie three quartile
 distances beyond the quartiles plus a slack, so a source of sound texts loses
-none of them, whatever its habits are. The rules then join the fences to the
-documents and filter.
+none of them, whatever its habits are. A source's fences are drawn to its language's,
+and those to the corpus's, as if GROUP_DOCS documents more had theirs: a source of few documents
+has mostly its language's, one of many its own, and none is switched from one to the other. The rules
+then join the fences to the documents and filter.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from loadlens.llm.common import broadcast_if_small, cut, table
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
-GROUP_DOCS = 200  # a sketch of fewer documents than this gives way to a wider one
+GROUP_DOCS = 20  # documents that the fences of the wider group weigh
 QUARTILE_DISTANCES = 3
 #: Rule metric, its slack beyond the fence, whether small values fail as well.
 METRICS = {
@@ -122,8 +124,8 @@ def _key(level: Column, lang: Column, source: Column) -> Column:
     return F.to_json(F.struct(level.alias("l"), lang.alias("a"), source.alias("b")))
 
 
-def fences(found: DataFrame) -> DataFrame:
-    """(lang, source, key, and a fence hi_ or lo_ for each metric) from counted().
+def fences(found: DataFrame, group_docs: int = GROUP_DOCS) -> DataFrame:
+    """(lang, source, docs, and a fence hi_ or lo_ for each metric) from counted().
 
     One row for each (lang, source) that has a text with words. Only counts of
     buckets are shuffled: their number depends on languages and sources, not on
@@ -138,9 +140,10 @@ def fences(found: DataFrame) -> DataFrame:
     )
     none = F.lit(None).cast("string")
     lang, source = F.col("lang"), F.col("source")
-    merged = base.select("metric", "bucket", "n", F.explode(F.array(_key(F.lit(2), lang, source), _key(F.lit(1), lang, none), _key(F.lit(0), none, none))).alias("key"))
+    own, of_lang, of_all = _key(F.lit(2), lang, source), _key(F.lit(1), lang, none), _key(F.lit(0), none, none)
+    merged = base.select("metric", "bucket", "n", F.explode(F.array(own, of_lang, of_all)).alias("key"))
     merged = merged.groupBy("key", "metric", "bucket").agg(F.sum("n").alias("n"))
-    of = Window.partitionBy("key", "metric")
+    of = Window.partitionBy("key", "metric")  # some hundred buckets
     running = merged.withColumns({"upto": F.sum("n").over(of.orderBy("bucket")), "all": F.sum("n").over(of)})
     quartiles = running.groupBy("key", "metric").agg(
         F.max("all").alias("docs"),
@@ -152,16 +155,19 @@ def fences(found: DataFrame) -> DataFrame:
     for m, (slack, below) in METRICS.items():
         limits[f"hi_{m}"] = F.max(F.when(F.col("metric") == m, F.col("q3") + reach + slack))
         if below:
-            limits[f"lo_{m}"] = F.max(F.when(F.col("metric") == m, F.col("q1") - reach - slack))
-    by_key = quartiles.groupBy("key").agg(*[c.alias(k) for k, c in limits.items()])
-    sizes = base.where(F.col("metric") == "symbols").groupBy("lang", "source").agg(F.sum("n").alias("docs"))
-    sizes = sizes.withColumn("lang_docs", F.sum("docs").over(Window.partitionBy("lang")))
-    key = (
-        F.when(F.col("docs") >= GROUP_DOCS, _key(F.lit(2), lang, source))
-        .when(F.col("lang_docs") >= GROUP_DOCS, _key(F.lit(1), lang, none))
-        .otherwise(_key(F.lit(0), none, none))
-    )
-    return cut(sizes.select("lang", "source", key.alias("key")).join(by_key, "key"))
+            limits[f"lo_{m}"] = F.max(F.when(F.col("metric") == m, F.greatest(F.col("q1") - reach - slack, F.lit(0))))
+    by_key = cut(quartiles.groupBy("key").agg(F.max("docs").alias("docs"), *[c.alias(k) for k, c in limits.items()]))
+    drawn = base.select("lang", "source").distinct().withColumns({"k2": own, "k1": of_lang, "k0": of_all})
+    for k in ("k2", "k1", "k0"):
+        level = by_key.withColumnsRenamed({"key": k} | {c: f"{c}_{k}" for c in ["docs", *limits]})
+        drawn = drawn.join(broadcast_if_small(level), k)
+
+    def mean(docs: str, own: Column, wider: Column) -> Column:
+        total = F.col(docs) * own + group_docs * wider
+        return F.call_function("div", total, F.col(docs) + group_docs)
+
+    blended = [mean("docs_k2", F.col(f"{c}_k2"), mean("docs_k1", F.col(f"{c}_k1"), F.col(f"{c}_k0"))).alias(c) for c in limits]
+    return cut(drawn.select("lang", "source", F.col("docs_k2").alias("docs"), *blended))
 
 
 def judged(found: DataFrame, limits: DataFrame) -> DataFrame:
@@ -177,25 +183,25 @@ def judged(found: DataFrame, limits: DataFrame) -> DataFrame:
     return found.join(broadcast_if_small(limits), same, "left").select("row", "c", failed.alias("base_failed"), (~failed & F.coalesce(passes, F.lit(False))).alias("kept"))
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
+def quality_rules(docs: DataFrame, group_docs: int = GROUP_DOCS) -> DataFrame:
     """(doc_id, counts, base_failed, kept) for every row of docs(doc_id, text, lang, source).
 
     A null or blank text has no words and fails the base rule; null languages
     and sources are groups of their own; repeated rows are judged alike; an
-    empty table gives an empty result.
+    empty table gives an empty result. group_docs is the weight of the wider group's fences.
     """
     found = cut(counted(docs.select("doc_id", "text", "lang", "source")).withColumn("row", F.col("row").dropFields("text")))
-    return judged(found, fences(found)).select("row.doc_id", *[f"c.{c}" for c in COUNTS], "base_failed", "kept")
+    return judged(found, fences(found, group_docs)).select("row.doc_id", *[f"c.{c}" for c in COUNTS], "base_failed", "kept")
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, group_docs: int = GROUP_DOCS) -> DataFrame:
     """The rows of docs that pass, with their own columns.
 
     The counts are computed twice, for the sketches and for the filter, so that
     texts are never shuffled or stored.
     """
     found = counted(docs)
-    return judged(found, fences(found)).where("kept").select("row.*")
+    return judged(found, fences(found, group_docs)).where("kept").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,9 +213,10 @@ def _oracle() -> str:
     low = "CASE WHEN length(bin({v})) > 5 THEN ({v} >> (length(bin({v})) - 5)) << (length(bin({v})) - 5) ELSE {v} END"
     long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {low.format(v=m)} AS bucket FROM metrics WHERE n_words > 0" for m in METRICS)
     hi = ", ".join(
-        f"max(CASE WHEN metric = '{m}' THEN q3 + {QUARTILE_DISTANCES} * (q3 - q1) + {slack} END) AS hi_{m}, max(CASE WHEN metric = '{m}' THEN q1 - {QUARTILE_DISTANCES} * (q3 - q1) - {slack} END) AS lo_{m}"
+        f"max(CASE WHEN metric = '{m}' THEN q3 + {QUARTILE_DISTANCES} * (q3 - q1) + {slack} END) AS hi_{m}, max(CASE WHEN metric = '{m}' THEN greatest(q1 - {QUARTILE_DISTANCES} * (q3 - q1) - {slack}, 0) END) AS lo_{m}"
         for m, (slack, _) in METRICS.items()
     )
+    blended = ", ".join(f"(o.docs * o.{x}_{m} + {GROUP_DOCS} * ((w.docs * w.{x}_{m} + {GROUP_DOCS} * c.{x}_{m}) // (w.docs + {GROUP_DOCS}))) // (o.docs + {GROUP_DOCS}) AS {x}_{m}" for m in METRICS for x in ("hi", "lo"))
     ok = " AND ".join(f"{m} <= hi_{m}" + (f" AND {m} >= lo_{m}" if below else "") for m, (_, below) in METRICS.items())
     return rf"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -232,12 +239,9 @@ base AS (SELECT lang, source, metric, bucket, count(*) AS n FROM ({long}) GROUP
 merged AS (SELECT 2 AS l, lang AS a, source AS b, metric, bucket, n FROM base UNION ALL SELECT 1, lang, NULL, metric, bucket, n FROM base UNION ALL SELECT 0, NULL, NULL, metric, bucket, n FROM base),
 sums AS (SELECT l, a, b, metric, bucket, sum(n) AS n FROM merged GROUP BY ALL),
 running AS (SELECT *, sum(n) OVER (PARTITION BY l, a, b, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY l, a, b, metric) AS every FROM sums),
-quartiles AS (SELECT l, a, b, metric, min(CASE WHEN 4 * upto >= every THEN bucket END) AS q1, min(CASE WHEN 4 * upto >= 3 * every THEN bucket END) AS q3 FROM running GROUP BY ALL),
-limits AS (SELECT l, a, b, {hi} FROM quartiles GROUP BY l, a, b),
-sizes AS (SELECT lang, source, docs, sum(docs) OVER (PARTITION BY lang) AS lang_docs FROM (SELECT lang, source, sum(n) AS docs FROM base WHERE metric = 'symbols' GROUP BY lang, source)),
-chosen AS (SELECT lang, source, CASE WHEN docs >= {GROUP_DOCS} THEN 2 WHEN lang_docs >= {GROUP_DOCS} THEN 1 ELSE 0 END AS l FROM sizes),
-own AS (SELECT lang, source, limits.* EXCLUDE (l, a, b) FROM chosen JOIN limits ON limits.l = chosen.l
-   AND a IS NOT DISTINCT FROM (CASE WHEN chosen.l > 0 THEN lang END) AND b IS NOT DISTINCT FROM (CASE WHEN chosen.l > 1 THEN source END)),
+quartiles AS (SELECT l, a, b, metric, max(every) AS docs, min(CASE WHEN 4 * upto >= every THEN bucket END) AS q1, min(CASE WHEN 4 * upto >= 3 * every THEN bucket END) AS q3 FROM running GROUP BY ALL),
+limits AS (SELECT l, a, b, max(docs) AS docs, {hi} FROM quartiles GROUP BY l, a, b),
+own AS (SELECT o.a AS lang, o.b AS source, {blended} FROM limits o JOIN limits w ON o.l = 2 AND w.l = 1 AND w.a IS NOT DISTINCT FROM o.a JOIN limits c ON c.l = 0),
 failed AS (SELECT metrics.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM metrics)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({ok}, FALSE) AS kept
 FROM failed LEFT JOIN own ON failed.lang IS NOT DISTINCT FROM own.lang AND failed.source IS NOT DISTINCT FROM own.source"""
