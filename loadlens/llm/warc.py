@@ -18,6 +18,7 @@ intact = false and no payload.
 from __future__ import annotations
 
 import gzip
+import hashlib
 import sys
 import uuid
 from collections.abc import Iterator
@@ -27,12 +28,13 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadlens.llm.common import shared_folder, table
+from loadlens.llm.common import broadcast_if_small, cut, shared_folder, table
 
 SEGMENT = 16_384  # bytes of a block
 CHUNK = 4_096  # bytes of a transfer chunk
 REVISIT = 100  # bytes that a payload needs to be revisited
 ARCHIVE = 2_000  # records
+DIGESTS = 200_000  # repeated payloads that are broadcast, by some 100 bytes each
 END = "\r\n\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
@@ -111,8 +113,8 @@ def typed(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     no_id = F.col("page_id").isNull()
     firsts = pages.select("page_id", payload.alias("payload")).where(F.octet_length("payload") >= REVISIT).groupBy(F.sha2("payload", 256).alias("digest")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
-    firsts = firsts.where("copies > 1").drop("copies")
-    joined = rows.join(firsts, "digest", "left")
+    firsts = cut(firsts.where("copies > 1").drop("copies"))
+    joined = rows.join(broadcast_if_small(firsts, DIGESTS), "digest", "left")
     again = F.coalesce((F.octet_length("payload") >= REVISIT) & F.col("first_id").isNotNull() & (no_id | (F.col("page_id") != F.col("first_id"))), F.lit(False))
     name = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     return joined.select(
@@ -170,58 +172,59 @@ def parsed(archive: bytes) -> Iterator[dict]:
         at = end + 4 + size + len(END)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the archives under path, segments apart."""
+def read_archives(spark: SparkSession, path: str, segments: bool | None = None) -> DataFrame:
+    """A row for each record of the archives under path, segments apart; segments alone, or none of them, if asked for."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files in batches:
             for content in files["content"]:
-                yield pd.DataFrame(list(parsed(content)), columns=[*FIELDS.values(), "block"])
+                rows = [r for r in parsed(content) if segments is None or segments == (r["number"] is not None)]
+                yield pd.DataFrame(rows, columns=[*FIELDS.values(), "block"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInPandas(read, PARSED)
 
 
-def reassembled(records: DataFrame) -> DataFrame:
-    """(record_id, record_type, page_id, url, digest, refers_to, payload, intact), a row for each whole record.
+def reassembled(records: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+    """(record_id, record_type, page_id, url, digest, refers_to, payload, payload_bytes, payload_digest, intact), a row for each whole record.
 
-    Records in one piece go straight through. Of equal segments, which come
+    segments may be given apart from the records in one piece, which go
+    straight through. Of equal segments, which come
     from repeated rows, one is used, and the record comes back as often as its first segment.
     """
     own = ["record_id", "record_type", "page_id", "url", "digest", "refers_to"]
-    whole = records.where("number is null").select(*own, "block", F.lit(True).alias("joined"))
+    whole = records.where("number is null").select(*own, F.array("block").alias("pieces"), F.lit(True).alias("joined"))
     origin = F.coalesce("origin", "record_id")
-    parts = records.where("number is not null").withColumn("number", F.col("number").cast("int"))
+    parts = (records if segments is None else segments).where("number is not null").withColumn("number", F.col("number").cast("int"))
     parts = parts.groupBy(origin.alias("origin_id"), "number").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in (*own, "total", "block")])
-    piece = F.struct("number", "block")
     first = F.col("number") == 1
     grouped = parts.groupBy("origin_id").agg(
-        F.sort_array(F.collect_list(piece)).alias("pieces"),
+        F.sort_array(F.collect_list(F.struct("number", "block"))).alias("pieces"),
         F.max(F.col("total").cast("long")).alias("total"),
         F.max(F.when(first, F.col("copies"))).alias("copies"),
         *[F.max(F.when(first, F.col(c))).alias(c) for c in own],
     )
-    blocks = F.aggregate("pieces", F.lit(b""), lambda all_, x: F.concat(all_, x["block"]))
     gapless = (F.element_at("pieces", 1)["number"] == 1) & (F.element_at("pieces", -1)["number"] == F.size("pieces"))
-    joined = grouped.where("copies is not null").select(*own, blocks.alias("block"), gapless.alias("gapless"), "total", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    joined = joined.select(*own, "block", F.coalesce(F.col("gapless") & (F.octet_length("block") == F.col("total")), F.lit(False)).alias("joined"))
+    length = F.aggregate(F.transform("pieces", lambda x: F.octet_length(x["block"]).cast("long")), F.lit(0).cast("long"), lambda s, n: s + n)
+    joined = grouped.where("copies is not null").select(*own, F.col("pieces.block").alias("pieces"), F.coalesce(gapless & (length == F.col("total")), F.lit(False)).alias("joined"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
 
-    @F.pandas_udf("binary")
-    def decoded(blocks: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else unframed(bytes(b)) for b in blocks], dtype=object)
+    @F.pandas_udf("payload binary, sha256 string")
+    def decoded(pieces: pd.Series) -> pd.DataFrame:
+        payloads = [None if p is None else unframed(b"".join(p)) for p in pieces]
+        return pd.DataFrame({"payload": payloads, "sha256": [None if p is None else hashlib.sha256(p).hexdigest() for p in payloads]}, dtype=object)
 
-    every = whole.unionByName(joined)
-    payload = decoded(F.when(F.col("joined") & (F.col("record_type") == "response"), F.col("block")))
-    found = every.select(*own, payload.alias("payload"), "joined")
-    agrees = F.concat(F.lit("sha256:"), F.sha2("payload", 256)) == F.col("digest")
+    every = whole.unionByName(joined.select(*own, "pieces", "joined"))
+    found = every.select(*own, "joined", decoded(F.when(F.col("joined") & (F.col("record_type") == "response"), F.col("pieces"))).alias("d"))
+    agrees = F.concat(F.lit("sha256:"), F.col("d.sha256")) == F.col("digest")
     intact = F.when(F.col("record_type") == "response", F.col("joined") & F.coalesce(agrees, F.lit(False))).otherwise(F.col("joined"))
     found = found.withColumn("intact", intact)
-    return found.select(*own, F.when(F.col("intact"), F.col("payload")).alias("payload"), "intact")
+    payload = F.when(F.col("intact"), F.col("d.payload"))
+    return found.select(*own, payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.when(F.col("intact"), F.col("d.sha256")).alias("payload_digest"), "intact")
 
 
 def resolved(found: DataFrame) -> DataFrame:
     """reassembled() rows of pages with the size and digest of the full payload, revisits by way of their response."""
-    sized = found.where("intact").withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
+    sized = found.where("intact")
     page = F.when(F.col("page_id") != "", F.col("page_id")).cast("long")
     responses = sized.where("record_type = 'response'").select(page.alias("page_id"), "record_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
     origins = responses.select(F.col("record_id").alias("refers_to"), "payload_bytes", "payload_digest", F.col("page_id").alias("origin_page")).dropDuplicates(["refers_to"])
@@ -240,7 +243,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path)
-    return resolved(reassembled(read_archives(spark, path)))
+    found = reassembled(read_archives(spark, path, False), read_archives(spark, path, True))
+    return resolved(cut(found.drop("payload", "url", "digest")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
