@@ -226,6 +226,7 @@ def _linked(rows: DataFrame, sets: DataFrame, exact: bool) -> DataFrame:
     weight = rows.join(sets.select("doc", _weight()), "doc").agg(F.sum("w")).first()[0] or 0
     bins = max(1, math.ceil(4 * weight / BOUND))
     dealt = rows.join(sets, "doc").withColumn("bin", F.pmod(F.xxhash64("group", "part"), F.lit(bins)).cast("int"))
+    dealt = dealt.repartition(bins, "bin")  # what is few bytes may be much to compare
     return cut(dealt.groupBy("bin").applyInPandas(forests(exact), "a long, b long, group long"))
 
 
