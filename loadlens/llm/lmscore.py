@@ -72,7 +72,11 @@ class Packer:
 
     def row(self) -> pd.DataFrame:
         """The block, named by its content, so that a task that runs again names it alike."""
-        vocabulary, places = np.unique(np.concatenate(self.codes), return_inverse=True)
+        vocabulary, places, n = np.unique(np.concatenate(self.codes), return_inverse=True, return_counts=True)
+        often = np.argsort(-n, kind="stable")  # frequent words get small places, which pack well
+        rank = np.empty(len(often), np.int64)
+        rank[often] = np.arange(len(often))
+        vocabulary, places = vocabulary[often], rank[places]
         pieces = np.array(self.pieces, np.int64).T
         row = [pack(pieces.reshape(-1).view(np.uint64)), pack(np.diff(vocabulary, prepend=np.uint64(0))), pack(places)]
         name = np.array([xxhash.xxh64_intdigest(b"".join(row))], np.uint64).view(np.int64)[0]
