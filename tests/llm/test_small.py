@@ -153,6 +153,25 @@ def test_quality(spark):
     assert quality.keep_good(docs.limit(0)).count() == 0
 
 
+def test_fences_of_large_sources_are_their_own(spark):
+    """A source of shouting: its habit is right for it, wrong for a few documents elsewhere, and its weight grows with its documents."""
+    loud = [(k, words(60, k).upper(), "loud") for k in range(200)]
+    calm = [(1000 + k, words(60, k), "calm") for k in range(900)]
+    odd = [(5000, words(60, 9).upper(), "calm"), (5001, words(60, 8).upper(), "few")]
+    docs = docs_of(spark, loud + calm + odd)
+    kept = {g: {r.doc_id for r in quality.quality_rules(docs, g).collect() if r.kept} for g in (0, quality.GROUP_DOCS, 10**9)}
+    every = {i for i, *_ in calm}
+    assert all(every <= k for k in kept.values())
+    assert {i for i, *_ in loud} <= kept[0] and 5000 not in kept[0] and 5001 in kept[0]  # its own fences only
+    assert {i for i, *_ in loud} <= kept[quality.GROUP_DOCS] and not {5000, 5001} & kept[quality.GROUP_DOCS]
+    assert not {0, 5000, 5001} & kept[10**9]  # the corpus's fences
+    limits = {r.source: r for r in quality.fences(quality.counted(docs)).collect()}
+    wide = {r.source: r for r in quality.fences(quality.counted(docs), 10**9).collect()}
+    assert (limits["loud"].docs, limits["calm"].docs, limits["few"].docs) == (200, 901, 1)
+    assert wide["calm"].hi_capitals == wide["few"].hi_capitals
+    assert limits["calm"].hi_capitals < limits["few"].hi_capitals < limits["loud"].hi_capitals
+
+
 def test_quantile_buckets_merge(spark):
     from pyspark.sql import functions as F
 
@@ -307,6 +326,15 @@ def test_fingerprints_equal_counting(spark):
 
 # ---- lines ----
 
+def without(text, gone):
+    """A text without some lines, and without blank ones whose neighbours with words both go."""
+    lines = text.split("\n")
+    real = [k for k, x in enumerate(lines) if WORD.search(x)]
+    before = {k: max((j for j in real if j < k), default=None) for k in range(len(lines))}
+    after = {k: min((j for j in real if j > k), default=None) for k in range(len(lines))}
+    return "\n".join(x for k, x in enumerate(lines) if not (k in gone if k in real else {before[k], after[k]} <= gone))
+
+
 def plain_lines(rows, least=50):
     """Windows of whole lines, in order, by brute force."""
     docs = sorted({(i, t or "") for i, t in rows}, key=lambda d: (d[0] is not None, d[0] or 0))
@@ -330,8 +358,42 @@ def plain_lines(rows, least=50):
         seen[content] = min(seen.get(content, place), place)
     for d, a, b, content in spans:
         if (order[d], a, b) > seen[content]:
-            gone[d] |= set(range(a, b + 1))
-    return {d: "\n".join(x for k, x in enumerate(d[1].split("\n")) if k not in g) for d, g in gone.items()}
+            gone[d] |= {k for k in range(a, b + 1) if WORD.search(d[1].split("\n")[k])}
+    return {d: without(d[1], g) for d, g in gone.items()}
+
+
+def plain_runs(rows, least=50):
+    """Maximal runs of equal lines of every two documents, by brute force."""
+    docs = sorted({(i, t or "") for i, t in rows}, key=lambda d: (d[0] is not None, d[0] or 0))
+    lines = [[(k, x.strip(" \t\x0b\x0c\r"), len(WORD.findall(x))) for k, x in enumerate(t.split("\n")) if WORD.search(x)] for _, t in docs]
+    out = {}
+    for a, d in enumerate(docs):
+        gone = set()
+        for b in range(a + 1):
+            for x in range(len(lines[a])):
+                for y in range(len(lines[b]) if b < a else x):
+                    n = 0
+                    while x + n < len(lines[a]) and y + n < len(lines[b]) and lines[a][x + n][1] == lines[b][y + n][1]:
+                        n += 1
+                    if sum(w for *_, w in lines[a][x : x + n]) >= least:
+                        gone |= {k for k, *_ in lines[a][x : x + n]}
+        out[d] = without(d[1], gone)
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 12, 50, 90])
+def test_maximal_runs(spark, least):
+    r = random.Random(least)
+    lines = [words(r.randint(1, 20), 300 + k) for k in range(9)]
+    rows = [(k, "\n".join(r.choice([*lines, "", "  "]) for _ in range(r.randint(1, 14)))) for k in range(25)] + [(40, "\n".join([lines[0]] * 30)), (None, rows_of := "\n".join(lines)), (None, rows_of), (41, None)]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n_lines long, n_removed string")
+    found = linededup.dedup_lines(docs, least).collect()
+    assert len(found) == len(rows)
+    want = plain_runs(rows, least)
+    assert want == plain_lines(rows, least)
+    for x in found:
+        source = next(t for i, t in rows if i == x.doc_id)
+        assert (x.text or "") == want[(x.doc_id, source or "")]
 
 
 def test_line_dedup(spark):
