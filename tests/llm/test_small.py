@@ -315,8 +315,10 @@ def test_fingerprints_equal_counting(spark):
     text = words(40, 8).split()
     df = spark.createDataFrame([(1, text)], "id long, words array<string>")
     hashes = [h & (2**64 - 1) for h in df.select(F.transform("words", lambda w: F.xxhash64(w))).first()[0]]
-    for r in decontaminate._fingerprints(df, 4).collect():
-        for size, f in ((16, r.f16), (8, r.f8)):
+    found = decontaminate._fingerprints(df).collect()
+    assert [r.start for r in found] == list(range(40))
+    for r in found:
+        for size, f in ((16, r.f16), (8, r.f8), (4, r.f4)):
             own = hashes[r.start : r.start + size]
             if len(own) == size:
                 assert f & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > size)
@@ -324,6 +326,16 @@ def test_fingerprints_equal_counting(spark):
                 assert f is None
 
 
+def test_items_that_repeat_an_id_and_large_indexes(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "INDEX_ROWS", 50)  # in several turns
+    texts = [words(n, 800 + n) for n in (30, 44, 9, 6, 3)]
+    bench = spark.createDataFrame([(1, t, "x") for t in texts] + [(2, texts[0], "y"), (2, texts[0], "y")], "item_id long, text string, doc_id string")
+    rows = [(k, t if k == 4 else f"{words(10, k)} {t} {words(12, k)}", "a") for k, t in enumerate(texts)] + [(0, texts[1], "a"), (9, words(90, 1), "a"), *ODD]
+    found = decontaminate.leaks(docs_of(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id, r.n_words) for r in found} == {(0, 1, 30), (0, 2, 30), (1, 1, 44), (2, 1, 9), (3, 1, 6), (4, 1, 3)}
+    assert all(r.similarity == 1 for r in found)
+
+
 # ---- lines ----
 
 def without(text, gone):
