@@ -73,19 +73,32 @@ def parse_keys(text) -> Column:
     return F.transform(parts, lambda x: F.struct(F.lit("time").alias("metric"), F.lit(0).alias("type"), make_path(sides(x)[0]).alias("start"), make_path(F.element_at(sides(x), -1)).alias("end")))
 
 
-def keep_guided(keys: DataFrame, guides: DataFrame | None, path: str = "path") -> DataFrame:
-    """Keys whose path begins with a guide's frames; all without guides.
+def _text(path: Column) -> Column:
+    return F.to_json(F.struct(path.alias("g")))
 
-    Prefixes meet by equality: every key lists its outer prefixes, so the
-    semi-join is an equi-join and needs no pairing of keys with guides.
+
+def _prefixes(path: Column) -> Column:
+    """Texts of a path's outermost 0, 1, ... frames."""
+    return F.transform(F.sequence(F.lit(0), F.size(path)), lambda n: _text(F.slice(path, F.size(path) - n + 1, n)))
+
+
+def keep_guided(keys: DataFrame, guides: DataFrame | None, paths: dict[str, str] | None = None) -> DataFrame:
+    """Keys all of whose paths begin with a guide's frames; all without guides. Equal keys stay, null paths match none.
+
+    paths names the column of guides that each path column must begin with. Prefixes meet by
+    equality: every distinct path lists its outer prefixes, the empty one as well, so the joins are equi-joins
+    and need no pairing of keys with guides.
     """
     if guides is None:
         return keys
-    p = F.col(path)
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(p)), lambda n: F.slice(p, F.size(p) - n + 1, n))
-    wanted = guides.select(F.to_json(F.struct(F.col("guide").alias("g"))).alias("_g")).distinct()
-    tried = keys.withColumn("_p", F.explode(F.transform(prefixes, lambda x: F.to_json(F.struct(x.alias("g"))))))
-    return tried.join(wanted, tried["_p"] == wanted["_g"], "left_semi").drop("_p").dropDuplicates()
+    paths = paths or {"path": "guide"}
+    tried = keys.select(*[_text(F.col(p)).alias(f"_{p}") for p in paths], *paths).distinct()
+    for p in paths:
+        tried = tried.where(F.col(p).isNotNull()).withColumn(f"_of_{p}", F.explode(_prefixes(F.col(p))))
+    wanted = guides.select(*[_text(F.col(g)).alias(f"_of_{p}") for p, g in paths.items()]).distinct()
+    found = tried.join(wanted, [f"_of_{p}" for p in paths], "left_semi").select(*[f"_{p}" for p in paths]).distinct()
+    marked = keys.withColumns({f"_{p}": _text(F.col(p)) for p in paths})
+    return marked.join(found, [f"_{p}" for p in paths], "left_semi").select(*keys.columns)
 
 
 def symbolize(frames: DataFrame, symbols: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -109,17 +122,26 @@ def frame_info_text(file, line, symbol, module, off) -> Column:
     return F.concat(F.coalesce(_c(file), F.lit("??")), F.lit(":"), F.coalesce(_c(line).cast("string"), F.lit("??")), F.lit(" "), F.coalesce(_c(symbol), F.lit("??")), F.lit(" "), _c(module), F.lit("(0x"), F.lower(F.hex(_c(off))), F.lit(")"))
 
 
+RANGE_BITS = 16  # addresses of a range
+
+
 def nearest_symbol(offsets: DataFrame, table: DataFrame) -> DataFrame:
-    """offsets(module, off) with the symbol of the greatest address not above, by one sorted pass.
+    """offsets(module, off) with the symbol of the greatest address not above, by sorted passes over ranges of addresses.
 
     Both sides are unioned and the last symbol is carried on, so no pairs are
-    made however many symbols a module has.
+    made however many symbols a module has, and a module is as many tasks as it has ranges in use.
     """
     from pyspark.sql import Window
 
     none = F.lit(None).cast("string")
-    both = table.select("module", F.col("addr").alias("off"), "symbol", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("addr_of")).withColumn("addr_of", F.col("off"))
+    both = table.select("module", F.col("addr").alias("off"), "symbol", F.lit(0).alias("kind"), F.col("addr").alias("addr_of"))
     asked = offsets.select("module", "off", none.alias("symbol"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("addr_of"))
-    w = Window.partitionBy("module").orderBy("off", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.unionByName(asked).withColumns({"symbol": F.last("symbol", True).over(w), "addr": F.last("addr_of", True).over(w)})
+    every = both.unionByName(asked).withColumn("_range", F.shiftright("off", RANGE_BITS))
+    # What a range begins with: the last symbol of those before it, carried over the ranges that are in use.
+    ends = every.groupBy("module", "_range").agg(F.max(F.when(F.col("kind") == 0, F.struct("off", "symbol"))).alias("_end"))
+    earlier = Window.partitionBy("module").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = ends.select(F.col("module").alias("_m"), F.col("_range").alias("_r"), F.last("_end", True).over(earlier).alias("_begin"))
+    w = Window.partitionBy("module", "_range").orderBy("off", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    joined = every.join(begins, (F.col("module") == F.col("_m")) & (F.col("_range") == F.col("_r")))
+    carried = joined.withColumns({"symbol": F.coalesce(F.last("symbol", True).over(w), F.col("_begin.symbol")), "addr": F.coalesce(F.last("addr_of", True).over(w), F.col("_begin.off"))})
     return carried.where("kind = 1").select("module", "off", "symbol", "addr")

@@ -100,6 +100,18 @@ def radix_child(rank, child: int, size: int) -> Column:
     return F.when(found >= size, F.lit(-1).cast("long")).otherwise(found)
 
 
+def radix_preorder(size: int) -> list[int]:
+    """Ranks of the radix tree, each before its children and the left child's before the right one's."""
+    out, todo = [], [0]
+    while todo:
+        rank = todo.pop()
+        out.append(rank)
+        top = (rank + 1).bit_length() - 1
+        own = (rank + 1) - (1 << top)
+        todo += [c for c in ((1 << (top + 1) | side << top | own) - 1 for side in (1, 0)) if c < size]
+    return out
+
+
 def search_tree(size: int) -> list[tuple[int, int, int, int]]:
     """(rank, parent, left, right) of the balanced search tree over ranks; a table as long as there are ranks."""
     out, todo = [], [(0, size - 1, -1)]

@@ -15,14 +15,25 @@ from pyspark.sql import functions as F
 
 from loadlens.functions.scalars import euclidean, manhattan
 
+BLOCK = 250  # points of a block of pairs
 MOST_POINTS = 5_000  # of a distance matrix that is brought to the driver
 
 
-def pair_distances(points: DataFrame, how: str = "euclidean") -> DataFrame:
-    """(a, b, d) for a < b of points(id, vals), for small sets of points: a dissimilarity matrix is quadratic by nature."""
-    a, b = points.select(F.col("id").alias("a"), F.col("vals").alias("x")), points.select(F.col("id").alias("b"), F.col("vals").alias("y"))
-    distance = {"euclidean": euclidean, "manhattan": manhattan}[how]
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", distance("x", "y").alias("d"))
+def pair_distances(points: DataFrame, how: list[str]) -> DataFrame:
+    """(a, b, and a column for each distance) for a < b of points(id, vals): a dissimilarity matrix, quadratic by nature.
+
+    More than MOST_POINTS points raise ValueError. All distances are computed in one pass, block by block:
+    each pair of blocks of ids is a task of its own.
+    """
+    n = points.count()
+    if n > MOST_POINTS:
+        raise ValueError(f"more than {MOST_POINTS} points: use clara()")
+    blocks = max(1, math.ceil(n / BLOCK))
+    every, own = F.sequence(F.lit(0), F.lit(blocks - 1)), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    a = points.select(own.alias("i"), F.explode(every).alias("j"), F.col("id").alias("a"), F.col("vals").alias("x"))
+    b = points.select(F.explode(every).alias("i"), own.alias("j"), F.col("id").alias("b"), F.col("vals").alias("y"))
+    distance = {"euclidean": euclidean, "manhattan": manhattan}
+    return a.join(b, ["i", "j"]).where("a < b").select("a", "b", *[distance[h]("x", "y").alias(h) for h in how])
 
 
 def matrix_of(points: DataFrame, how: str = "euclidean") -> tuple[list, np.ndarray]:

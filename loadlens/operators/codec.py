@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import struct
 import sys
 from collections import Counter
 
@@ -108,19 +107,6 @@ def dominant_symbol(q, tree, threshold: Column) -> Column:
 # ---- bytes ----------------------------------------------------------------
 
 
-class Bits:
-    """A writer of single bits, most significant first."""
-
-    def __init__(self):
-        self.all: list[int] = []
-
-    def put(self, value: int, width: int = 1) -> None:
-        self.all += [(value >> i) & 1 for i in range(width - 1, -1, -1)]
-
-    def bytes(self) -> bytes:
-        return np.packbits(np.array(self.all, np.uint8)).tobytes()
-
-
 def visit_order(rows: int, cols: int, level: int) -> list[tuple[int, int, int]]:
     """(row, col, size of its subtree) depth first from the low band."""
     low_r, low_c = rows >> level, cols >> level
@@ -147,70 +133,123 @@ def visit_order(rows: int, cols: int, level: int) -> list[tuple[int, int, int]]:
     return [tuple(x) for x in out]
 
 
-_SYMBOL = {"P": 0, "N": 1, "T": 2, "Z": 3}
-
-
-def ezw_encode(q: np.ndarray, level: int, passes: int = 0) -> tuple[bytes, int]:
-    """Embedded zerotree bits of an integer matrix, and how many passes they hold.
-
-    Two bits a visited coefficient and one refinement bit for each one that
-    was significant before; a zerotree leaves out what is below it.
+class Tree:
+    """The coefficients of a matrix in visiting order: places, parents and where each subtree ends."""
+
+    def __init__(self, rows: int, cols: int, level: int):
+        self.shape = rows, cols
+        low_r, low_c = rows >> level, cols >> level
+        r, c = (x.ravel() for x in np.mgrid[:rows, :cols])
+        # A cell's depth: how often its place is halved until it lies in the first detail bands.
+        depth = np.zeros(len(r), np.int64)
+        for d in range(level, 0, -1):
+            depth[(r < low_r << d) & (c < low_c << d)] = d
+        depth[(r < low_r) & (c < low_c)] = 0
+        up = np.maximum(depth - 1, 0)
+        top_r, top_c = r >> up, c >> up
+        root = (top_r % low_r) * low_c + top_c % low_c
+        band = np.where(depth == 0, 0, 2 * (top_r >= low_r) + (top_c >= low_c))
+        # Preorder: by root, band and the two bits of each halving, a parent's missing bits before all of its children's.
+        key = root * 4 + band
+        for k in range(1, level):
+            down = np.maximum(depth - 1 - k, 0)
+            key = key * 5 + np.where(depth > k, 1 + 2 * ((r >> down) & 1) + ((c >> down) & 1), 0)
+        order = np.argsort(key, kind="stable")
+        self.at = order
+        self.depth = depth[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        pr = np.where(depth == 0, r, np.where(depth == 1, r % low_r, r >> 1))
+        pc = np.where(depth == 0, c, np.where(depth == 1, c % low_c, c >> 1))
+        self.parent = place[pr * cols + pc][order]
+        sizes = np.ones(len(order), np.int64)
+        for d in range(level, 0, -1):
+            own = np.nonzero(self.depth == d)[0]
+            np.add.at(sizes, self.parent[own], sizes[own])
+        self.end = np.arange(len(order)) + sizes
+
+    def below(self, bits: np.ndarray) -> np.ndarray:
+        """OR of each cell's bits and of all below it."""
+        out = bits.copy()
+        for d in range(int(self.depth.max(initial=0)), 0, -1):
+            own = np.nonzero(self.depth == d)[0]
+            np.bitwise_or.at(out, self.parent[own], out[own])
+        return out
+
+
+#: The two bits of a zerotree, of a zero above others, and of new negative and positive values.
+T, Z, N, P = 0, 1, 2, 3
+
+
+def leading_bits(size: np.ndarray) -> np.ndarray:
+    """The greatest power of two that is not above each value; 0 for 0."""
+    out = size.copy()
+    for shift in (1, 2, 4, 8, 16, 32):
+        out |= out >> shift
+    return out - (out >> 1)
+
+
+def ezw_encode(q: np.ndarray, level: int, passes: int = 0, top: int | None = None) -> tuple[bytes, list[tuple[int, int]]]:
+    """Embedded zerotree bits of an integer matrix, and the bits of each pass: dominant, subordinate.
+
+    A dominant pass at threshold t visits the low band, what lies right below it, and whatever
+    hangs on a visited cell with a leading bit t at or below it; two bits each. A subordinate pass sends the next bit
+    of all values found so far, in the order in which they were found; there is none below the last threshold.
+    top is the first threshold, the matrix's own unless it is part of a larger one.
     """
-    order = visit_order(*q.shape, level)
-    flat = np.array([int(q[r, c]) for r, c, _ in order])
+    tree = Tree(*q.shape, level)
+    flat = q.ravel()[tree.at].astype(np.int64)
     size = np.abs(flat)
-    below = [int(size[i : i + n].max()) for i, (_, _, n) in enumerate(order)]
-    top = 1 << (int(size.max()).bit_length() - 1) if size.max() else 0
-    bits, done, threshold = Bits(), 0, top
-    while threshold and (not passes or done < passes):
-        i = 0
-        while i < len(order):
-            n = order[i][2]
-            if size[i] >= 2 * threshold:
-                bits.put(_SYMBOL["Z"], 2)  # coded before: stays on the way
-            elif size[i] >= threshold:
-                bits.put(_SYMBOL["P" if flat[i] > 0 else "N"], 2)
-            elif below[i] < threshold:
-                bits.put(_SYMBOL["T"], 2)
-                i += n
-                continue
-            else:
-                bits.put(_SYMBOL["Z"], 2)
-            i += 1
-        for i in np.nonzero(size >= threshold)[0]:
-            bits.put(int(size[i] >> (threshold.bit_length() - 2)) & 1 if threshold > 1 else 0)
+    lead = leading_bits(size)
+    below = tree.below(lead)
+    threshold = int(lead.max(initial=0)) if top is None else top
+    found, bits, sizes = np.empty(0, np.int64), [], []
+    while threshold and (not passes or len(sizes) < passes):
+        seen = np.nonzero((tree.depth <= 1) | (below[tree.parent] & threshold != 0))[0]
+        new = lead[seen] == threshold
+        code = np.where(new, np.where(flat[seen] > 0, P, N), np.where(below[seen] & threshold != 0, Z, T))
+        bits.append(np.stack([code >> 1, code & 1], 1).ravel().astype(np.uint8))
+        found = np.concatenate([found, seen[new]])
         threshold >>= 1
-        done += 1
-    return bits.bytes(), done
+        more = (size[found] & threshold != 0).astype(np.uint8) if threshold else np.empty(0, np.uint8)
+        bits.append(more)
+        sizes.append((2 * len(seen), len(more)))
+    return np.packbits(np.concatenate([np.empty(0, np.uint8), *bits])).tobytes(), sizes
 
 
-def ezw_decode(data: bytes, rows: int, cols: int, level: int, top: int, passes: int) -> np.ndarray:
-    """The matrix that so many passes of ezw_encode() give."""
+def ezw_decode(data: bytes, rows: int, cols: int, level: int, top: int, passes: int) -> tuple[np.ndarray, int]:
+    """The matrix that so many passes of ezw_encode() give (0: all), and the bytes that they take."""
+    tree = Tree(rows, cols, level)
     bits = np.unpackbits(np.frombuffer(data, np.uint8))
-    order = visit_order(rows, cols, level)
-    size, sign = np.zeros(len(order), np.int64), np.ones(len(order), np.int64)
-    at, threshold = 0, top
-    for _ in range(passes):
-        i = 0
-        while i < len(order):
-            symbol = 2 * bits[at] + bits[at + 1]
+    codes = (2 * bits[:-1] + bits[1:]).tolist() if len(bits) else []
+    end, depth = tree.end.tolist(), tree.depth.tolist()
+    size, sign = np.zeros(len(tree.at), np.int64), np.ones(len(tree.at), np.int64)
+    found: list[int] = []
+    at, threshold, done = 0, top, 0
+    while threshold and (not passes or done < passes):
+        i, new, negative = 0, [], []
+        while i < len(end):
+            code = codes[at]
             at += 2
-            if symbol == _SYMBOL["T"]:
-                i += order[i][2]
+            if code == T and depth[i]:
+                i = end[i]
                 continue
-            if symbol in (_SYMBOL["P"], _SYMBOL["N"]):
-                size[i] = threshold
-                sign[i] = 1 if symbol == _SYMBOL["P"] else -1
+            if code >= N:
+                new.append(i)
+                if code == N:
+                    negative.append(i)
             i += 1
-        for i in np.nonzero(size)[0]:
-            if threshold > 1:
-                size[i] |= int(bits[at]) * (threshold >> 1)
-            at += 1
+        size[new] = threshold
+        sign[negative] = -1
+        found += new
         threshold >>= 1
-    out = np.zeros((rows, cols), np.int64)
-    for (r, c, _), v in zip(order, size * sign, strict=True):
-        out[r, c] = v
-    return out
+        if threshold:
+            size[found] |= bits[at : at + len(found)].astype(np.int64) * threshold
+            at += len(found)
+        done += 1
+    out = np.zeros(rows * cols, np.int64)
+    out[tree.at] = size * sign
+    return out.reshape(rows, cols), -(-at // 8)
 
 
 def least_common_byte(data: bytes) -> int:
@@ -234,11 +273,13 @@ RUN_MOST = 32768
 
 def rle_encode(data: bytes) -> bytes:
     """The marker first; runs of four and more as marker, length - 1 in one or two bytes, byte; marker bytes as marker, count - 1."""
-    if not data:
-        return b""
-    marker = least_common_byte(data)
+    return rle_written(runs(data), least_common_byte(data)) if data else b""
+
+
+def rle_written(found: list[tuple[int, int]], marker: int) -> bytes:
+    """A stream of some runs."""
     out = bytearray([marker])
-    for byte, total in runs(data):
+    for byte, total in found:
         while total:
             n = min(total, RUN_MOST)
             total -= n
@@ -274,58 +315,137 @@ def rle_decode(data: bytes) -> bytes:
     return bytes(out)
 
 
+def rle_runs(stream: bytes) -> list[tuple[int, int]]:
+    """(byte, count) of a stream's records, which are not decompressed."""
+    out, at = [], 1
+    while at < len(stream):
+        if stream[at] != stream[0]:
+            out.append((stream[at], 1))
+            at += 1
+            continue
+        m = stream[at + 1]
+        if m <= 2:
+            out.append((stream[0], m + 1))
+            at += 2
+        elif m < 128:
+            out.append((stream[at + 2], m + 1))
+            at += 3
+        else:
+            out.append((stream[at + 3], (((m & 127) << 8) | stream[at + 2]) + 1))
+            at += 4
+    return out
+
+
+def rle_histogram(streams: list[bytes]) -> Counter:
+    """How often each byte stands in what some streams hold."""
+    out: Counter = Counter()
+    for stream in streams:
+        for byte, n in rle_runs(stream):
+            out[byte] += n
+    return out
+
+
+def joined_runs(streams: list[bytes]) -> list[tuple[int, int]]:
+    """The runs of several streams one after another; those that meet at an end are one."""
+    out: list[tuple[int, int]] = []
+    for stream in streams:
+        for byte, n in rle_runs(stream):
+            if out and out[-1][0] == byte:
+                out[-1] = byte, out[-1][1] + n
+            else:
+                out.append((byte, n))
+    return out
+
+
 def rle_merge(parts: list[bytes]) -> bytes:
-    """One stream for several, by their runs."""
-    return rle_encode(b"".join(map(rle_decode, parts)))
+    """One stream for several, run by run under the marker of all; nothing is decompressed."""
+    found = joined_runs(parts)
+    counts = rle_histogram(parts)
+    return rle_written(found, min(range(256), key=lambda b: (counts[b], b))) if found else b""
 
 
-def huffman_lengths(counts: dict[int, int]) -> dict[int, int]:
-    """Code length of each symbol; ties go to what was made first."""
-    heap = [(n, i, [s]) for i, (s, n) in enumerate(sorted(counts.items()))]
+class Bits:
+    """A writer of codes, most significant bit first."""
+
+    def __init__(self):
+        self.parts: list[str] = []
+
+    def put(self, value: int, width: int) -> None:
+        self.parts.append(format(value, f"0{width}b"))
+
+    def bytes(self) -> bytes:
+        text = "".join(self.parts)
+        size = -(-len(text) // 8)
+        return int(text.ljust(8 * size, "0") or "0", 2).to_bytes(size, "big")
+
+
+def huffman_tree(counts: dict[int, int]):
+    """Nested pairs of symbols; the two lightest are joined first, ties by what was made first."""
+    heap = [(n, i, s) for i, (s, n) in enumerate(sorted(counts.items()))]
     heapq.heapify(heap)
-    length = dict.fromkeys(counts, 0)
     made = len(heap)
     while len(heap) > 1:
         a, b = heapq.heappop(heap), heapq.heappop(heap)
-        for s in a[2] + b[2]:
-            length[s] += 1
-        heapq.heappush(heap, (a[0] + b[0], made, a[2] + b[2]))
+        heapq.heappush(heap, (a[0] + b[0], made, (a[2], b[2])))
         made += 1
-    return {s: max(n, 1) for s, n in length.items()}
+    return heap[0][2]
 
 
-def _codes(length: dict[int, int]) -> dict[int, tuple[int, int]]:
-    """Canonical codes from lengths."""
-    out, code, last = {}, 0, 0
-    for s, n in sorted(length.items(), key=lambda x: (x[1], x[0])):
-        code <<= n - last
-        out[s], last = (code, n), n
-        code += 1
+def huffman_codes(tree) -> dict[int, tuple[int, int]]:
+    """(code, width) of each symbol; a tree of one symbol spends a bit on each."""
+    out, todo = {}, [(tree, 0, 0)]
+    while todo:
+        node, code, width = todo.pop()
+        if isinstance(node, tuple):
+            todo += [(node[0], 2 * code, width + 1), (node[1], 2 * code + 1, width + 1)]
+        else:
+            out[node] = code, max(width, 1)
     return out
 
 
 def huffman_encode(data: bytes) -> bytes:
-    """Size, number of symbols, their lengths, then the codes."""
-    length = huffman_lengths(Counter(data))
-    codes, bits = _codes(length), Bits()
-    for b in data:
-        bits.put(*codes[b])
-    head = struct.pack("<IH", len(data), len(length)) + b"".join(bytes([s, n]) for s, n in sorted(length.items()))
-    return head + bits.bytes()
-
-
-def huffman_decode(data: bytes) -> bytes:
-    size, n = struct.unpack_from("<IH", data)
-    length = {data[6 + 2 * i]: data[7 + 2 * i] for i in range(n)}
-    table = {(code, width): s for s, (code, width) in _codes(length).items()}
-    out, code, width = bytearray(), 0, 0
-    for bit in np.unpackbits(np.frombuffer(data[6 + 2 * n :], np.uint8)):
-        if len(out) == size:
-            break
-        code, width = (code << 1) | int(bit), width + 1
-        if (code, width) in table:
-            out.append(table[code, width])
-            code = width = 0
+    """The tree in preorder, 0 for a node, 1 and eight bits for a leaf, then the codes. The size of data is not in it."""
+    if not data:
+        return b""
+    tree, bits, todo = huffman_tree(Counter(data)), Bits(), []
+    todo.append(tree)
+    while todo:
+        node = todo.pop()
+        if isinstance(node, tuple):
+            bits.put(0, 1)
+            todo += [node[1], node[0]]
+        else:
+            bits.put(256 | node, 9)
+    codes = {s: format(code, f"0{width}b") for s, (code, width) in huffman_codes(tree).items()}
+    bits.parts.append("".join(map(codes.__getitem__, data)))
+    return bits.bytes()
+
+
+def huffman_decode(data: bytes, size: int) -> bytes:
+    """size bytes from what huffman_encode() made of them."""
+    if not size:
+        return b""
+    bits = np.unpackbits(np.frombuffer(data, np.uint8)).tolist()
+    at = 0
+
+    def read():
+        nonlocal at
+        at += 1
+        if bits[at - 1] == 0:
+            return read(), read()
+        at += 8
+        return int("".join(map(str, bits[at - 8 : at])), 2)
+
+    tree = read()
+    if not isinstance(tree, tuple):
+        return bytes([tree]) * size
+    out, node = bytearray(), tree
+    while len(out) < size:
+        node = node[bits[at]]
+        at += 1
+        if not isinstance(node, tuple):
+            out.append(node)
+            node = tree
     return bytes(out)
 
 
@@ -333,35 +453,52 @@ _TOP, _HALF, _QUARTER = (1 << 32) - 1, 1 << 31, 1 << 30
 
 
 class _Model:
-    """Adaptive counts of 256 symbols and an end."""
+    """Adaptive counts of 256 symbols and an end, with their sums in a binary indexed tree."""
 
     def __init__(self):
-        self.n = [1] * 257
+        self.set([1] * 257)
+
+    def set(self, n: list[int]) -> None:
+        self.n, self.all, self.sums = n, sum(n), [0, *n]
+        for i in range(1, 258):
+            if (up := i + (i & -i)) < 258:
+                self.sums[up] += self.sums[i]
 
     def range(self, s: int) -> tuple[int, int, int]:
-        low = sum(self.n[:s])
-        return low, low + self.n[s], sum(self.n)
+        low, i = 0, s
+        while i:
+            low += self.sums[i]
+            i &= i - 1
+        return low, low + self.n[s], self.all
 
     def find(self, target: int) -> int:
-        s = 0
-        while target >= self.n[s]:
-            target -= self.n[s]
-            s += 1
-        return s
+        at, step = 0, 256
+        while step:
+            if at + step < 258 and self.sums[at + step] <= target:
+                at += step
+                target -= self.sums[at]
+            step >>= 1
+        return at
 
     def see(self, s: int) -> None:
         self.n[s] += 32
-        if sum(self.n) > 1 << 16:
-            self.n = [(x + 1) // 2 for x in self.n]
+        self.all += 32
+        i = s + 1
+        while i < 258:
+            self.sums[i] += 32
+            i += i & -i
+        if self.all > 1 << 16:
+            self.set([(x + 1) // 2 for x in self.n])
 
 
 def arithmetic_encode(data: bytes) -> bytes:
     """Adaptive arithmetic code (Witten, Neal and Cleary 1987) with an end symbol."""
-    model, bits, low, high, waiting = _Model(), Bits(), 0, _TOP, 0
+    model, bits, low, high, waiting = _Model(), [], 0, _TOP, 0
 
     def put(bit: int) -> None:
         nonlocal waiting
-        bits.all += [bit, *[1 - bit] * waiting]
+        bits.append(bit)
+        bits.extend([1 - bit] * waiting)
         waiting = 0
 
     for s in [*data, 256]:
@@ -383,7 +520,7 @@ def arithmetic_encode(data: bytes) -> bytes:
         model.see(s)
     waiting += 1
     put(0 if low < _QUARTER else 1)
-    return bits.bytes()
+    return np.packbits(np.array(bits, np.uint8)).tobytes()
 
 
 def arithmetic_decode(data: bytes) -> bytes:
@@ -392,7 +529,7 @@ def arithmetic_decode(data: bytes) -> bytes:
     for _ in range(32):
         value = 2 * value + next(bits)
     while True:
-        span, n = high - low + 1, sum(model.n)
+        span, n = high - low + 1, model.all
         s = model.find(((value - low + 1) * n - 1) // span)
         if s == 256:
             return bytes(out)
@@ -412,19 +549,95 @@ def arithmetic_decode(data: bytes) -> bytes:
         model.see(s)
 
 
-def encode_payload(q: np.ndarray, level: int, passes: int = 0, encoding: str = "huffman") -> tuple[bytes, dict]:
-    """Zerotree, runs, entropy code; with the sizes after each."""
-    if encoding not in ("rle", "huffman", "arithmetic"):
+FRAME = 65_536  # bytes of a frame
+
+
+def _varint(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def framed_encode(data: bytes, size: int = FRAME) -> bytes:
+    """Arithmetic code in frames: bytes before and after as varints, then the code. Frames are coded apart."""
+    out = bytearray()
+    for at in range(0, len(data), size):
+        coded = arithmetic_encode(data[at : at + size])
+        out += _varint(min(size, len(data) - at)) + _varint(len(coded)) + coded
+    return bytes(out)
+
+
+def framed_decode(data: bytes, budget: int | None = None) -> bytes:
+    """What the frames hold; with a budget, of those frames that lie within so many bytes."""
+    out, at = bytearray(), 0
+
+    def varint() -> int:
+        nonlocal at
+        n = shift = 0
+        while True:
+            byte = data[at]
+            n |= (byte & 127) << shift
+            at, shift = at + 1, shift + 7
+            if byte < 128:
+                return n
+
+    while at < len(data):
+        raw, coded = varint(), varint()
+        if budget is not None and at + coded > budget:
+            break
+        part = arithmetic_decode(data[at : at + coded])
+        if len(part) != raw:
+            raise ValueError(f"a frame holds {len(part)} bytes and not {raw}")
+        out += part
+        at += coded
+    return bytes(out)
+
+
+ENCODERS = {"rle": bytes, "huffman": huffman_encode, "arithmetic": framed_encode}
+
+
+def _coder(encoding: str):
+    if encoding not in ENCODERS:
         raise ValueError(f"no encoder for {encoding}")
-    ezw, done = ezw_encode(q, level, passes)
-    rle = rle_encode(ezw)
-    out = {"rle": bytes, "huffman": huffman_encode, "arithmetic": arithmetic_encode}[encoding](rle)
-    return out, {"passes": done, "ezw_size": len(ezw), "rle_size": len(rle), "enc_size": len(out)}
+    return ENCODERS[encoding]
+
 
+def encode_block(q: np.ndarray, level: int, top: int, passes: int = 0) -> tuple[bytes, int, list[tuple[int, int]]]:
+    """A block's runs, its bytes before them, and the bits of its passes; top is the threshold of the whole matrix."""
+    ezw, sizes = ezw_encode(q, level, passes, top)
+    return rle_encode(ezw), len(ezw), sizes
 
-def decode_payload(data: bytes, rows: int, cols: int, level: int, top: int, passes: int, encoding: str = "huffman") -> np.ndarray:
-    rle = {"rle": bytes, "huffman": huffman_decode, "arithmetic": arithmetic_decode}[encoding](data)
-    return ezw_decode(rle_decode(rle), rows, cols, level, top, passes)
+
+def finish(blocks: list[bytes], encoding: str = "huffman") -> tuple[bytes, int]:
+    """The payload of some blocks' runs, merged without decompressing them, and the bytes of the merged runs."""
+    rle = rle_merge(blocks)
+    return _coder(encoding)(rle), len(rle)
+
+
+def encode_payload(q: np.ndarray, level: int, passes: int = 0, encoding: str = "huffman") -> tuple[bytes, dict]:
+    """Zerotree, runs, entropy code of one block; with the sizes after each and the bits of each pass."""
+    _coder(encoding)
+    rle, ezw_size, sizes = encode_block(q, level, int(leading_bits(np.abs(q.ravel()).astype(np.int64)).max(initial=0)), passes)
+    out, rle_size = finish([rle], encoding)
+    return out, {"passes": len(sizes), "ezw_size": ezw_size, "rle_size": rle_size, "enc_size": len(out), "bits": sizes}
+
+
+def decode_payload(data: bytes, rows: int, cols: int, level: int, top: int, passes: int, rle_size: int, encoding: str = "huffman", blocks: int = 1, limit: int = 0) -> list[np.ndarray]:
+    """The blocks of a payload. passes is what it was coded with (0: all); limit, below it, stops early."""
+    _coder(encoding)
+    rle = {"rle": bytes, "huffman": lambda x: huffman_decode(x, rle_size), "arithmetic": framed_decode}[encoding](data)
+    ezw, out = rle_decode(rle), []
+    for _ in range(blocks):
+        block, used = ezw_decode(ezw, rows // blocks, cols, level, top, passes)
+        ezw = ezw[used:]
+        if limit and top >> (limit - 1):
+            step = max(top >> limit, 1)
+            size = np.abs(block)
+            block = np.where(size < top >> (limit - 1), 0, np.sign(block) * (size - size % step))
+        out.append(block)
+    return out
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -25,6 +25,27 @@ def proportions(long: DataFrame, keys: list[str], strata: list[str], confidence:
     return out.withColumn("proportion", F.col("sample") / F.col("size"))
 
 
+def updates(long: DataFrame, keys: list[str], every: int, confidence: float = 0.9, error: float = 0.08) -> DataFrame:
+    """(update, size, sample, proportion): the proportions anew after every so many steps, from the values of the window that ends there.
+
+    long(keys, rank, step, v).
+    """
+    window = long.withColumn("update", F.expr(f"step div {every} + 1"))
+    per = window.groupBy(*keys, "rank", "update").agg(F.sum("v").alias("v"))
+    return proportions(per, keys, ["update"], confidence, error)
+
+
+def summary_lines(updated: DataFrame, every: int) -> DataFrame:
+    """(update, line): what an update's summary says."""
+    step = F.col("update") * every
+    return updated.select("update", F.format_string("STEP %d Size %d SampleSize %d Proportion %.4f", step, "size", "sample", "proportion").alias("line"))
+
+
+def write_summary(updated: DataFrame, every: int, path: str) -> None:
+    """Append the updates' lines, a file a task; a stream calls it from foreachBatch."""
+    summary_lines(updated, every).select("line").write.mode("append").text(path)
+
+
 def stratified_is_better(strata: DataFrame, whole: DataFrame) -> DataFrame:
     """Whether the strata's samples together are smaller than the sample without strata."""
     return strata.agg(F.sum("sample").alias("stratified")).crossJoin(whole.select(F.col("sample").alias("global"))).withColumn("good", F.col("stratified") < F.col("global"))

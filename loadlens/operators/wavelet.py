@@ -8,6 +8,7 @@ and lead over one window and stays on the JVM.
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loadlens.operators.checkpoints import checkpointed
 from loadlens.operators.densify import transpose
 
 #: Lifting steps and scale of the CDF 9/7 transform.
@@ -242,6 +244,66 @@ def dwt2_once(rows: DataFrame, keys: list[str]) -> DataFrame:
     return transpose(down, keys, "step", "rank")
 
 
+CELLS = 4_000_000  # of a matrix that one task transforms
+
+
+def _part(vals, start: int, n: int) -> Column:
+    return F.slice(vals, start + 1, n)
+
+
+def _piece(rows: DataFrame, keys: list[str], at: int, vals: Column) -> DataFrame:
+    return rows.select(*keys, "rank", F.lit(at).alias("at"), vals.alias("vals"))
+
+
+def dwt2_large(rows: DataFrame, keys: list[str], level: int, shape: tuple[int, int]) -> DataFrame:
+    """The pyramid of matrices of any size: each level transforms the low band of the one before alone.
+
+    Rows and columns are arrays of their own, so a task needs no more than some of them. What a
+    level leaves as detail is put aside and meets its row again at the end, by one shuffle.
+    """
+    pieces, low = [], rows.select(*keys, "rank", "vals")
+    for k in range(level):
+        r, c = shape[0] >> k, shape[1] >> k
+        one = checkpointed(dwt2_once(low, keys))
+        upper = one.where(F.col("rank") < r // 2)
+        pieces += [_piece(one.where(F.col("rank") >= r // 2), keys, 0, F.col("vals")), _piece(upper, keys, c // 2, _part("vals", c // 2, c // 2))]
+        low = upper.select(*keys, "rank", _part("vals", 0, c // 2).alias("vals"))
+    pieces.append(_piece(low, keys, 0, F.col("vals")))
+    every = reduce(DataFrame.union, pieces).groupBy(*keys, "rank").agg(F.sort_array(F.collect_list(F.struct("at", "vals"))).alias("p"))  # level + 1 at most
+    return every.select(*keys, "rank", F.flatten("p.vals").alias("vals"))
+
+
+def idwt2_large(rows: DataFrame, keys: list[str], level: int, shape: tuple[int, int], undo: int = -1) -> DataFrame:
+    """The last undo levels inverted, all by default; the other rows and columns stay."""
+    undo = level if undo < 0 else min(undo, level)
+
+    def put(low: DataFrame, into: DataFrame, c: int, width: int) -> DataFrame:
+        """Rows with their first c values from low."""
+        both = into.join(low.withColumnRenamed("vals", "low"), [*keys, "rank"], "left")
+        return both.select(*keys, "rank", F.when(F.col("low").isNull(), F.col("vals")).otherwise(F.concat("low", _part("vals", c, width - c))).alias("vals"))
+
+    @F.pandas_udf("array<double>")
+    def once(v: pd.Series) -> pd.Series:
+        return _by_length(v, inverse_once)
+
+    low, size = None, None
+    for k in range(level - 1, level - 1 - undo, -1):
+        r, c = shape[0] >> k, shape[1] >> k
+        band = rows.where(F.col("rank") < r).select(*keys, "rank", _part("vals", 0, c).alias("vals"))
+        band = band if low is None else put(low, band, c // 2, c)
+        up = transpose(band, keys, "rank", "step").withColumn("vals", once("vals"))
+        low, size = checkpointed(transpose(up, keys, "step", "rank").withColumn("vals", once("vals"))), c
+    rows = rows.select(*keys, "rank", "vals")
+    return rows if low is None else put(low, rows, size, shape[1])
+
+
+def dwt2(rows: DataFrame, keys: list[str], level: int, shape: tuple[int, int], undo: int | None = None) -> DataFrame:
+    """The pyramid of each key's matrix of this shape, or its inverse: in one task up to CELLS, distributed beyond."""
+    if shape[0] * shape[1] <= CELLS:
+        return dwt2_small(rows, keys, level, undo)
+    return dwt2_large(rows, keys, level, shape) if undo is None else idwt2_large(rows, keys, level, shape, undo)
+
+
 def auto_level(rows_per_block: int) -> int:
     """Levels while the local rows stay above 5."""
     level = 0
@@ -256,14 +318,29 @@ def low_bands(cells: DataFrame, rows: int, cols: int, level: int, keep: int) ->
     return cells.where((F.col("rank") < ((rows >> level) << keep)) & (F.col("step") < ((cols >> level) << keep)))
 
 
-def reassembled_row(row: int, blocks: int, per_block: int, level: int) -> int:
+def reassembled_row(row, blocks: int, per_block: int, level: int) -> Column:
     """Where a row of blockwise transformed coefficients stands in the whole transform."""
-    block, own = divmod(row, per_block)
-    for k in range(1, level + 1):
+    row = F.col(row) if isinstance(row, str) else row
+    block, own = F.floor(row / per_block), row % per_block
+    low = per_block >> level
+    out = block * low + own
+    for k in range(level, 0, -1):
+        half = per_block >> k
+        out = F.when(own >= half, blocks * half + block * half + own - half).otherwise(out)
+    return out.cast("long")
+
+
+def block_row(place, blocks: int, per_block: int, level: int) -> tuple[Column, Column]:
+    """The block, and the row in it, of a row of the whole transform: the inverse of reassembled_row()."""
+    place = F.col(place) if isinstance(place, str) else place
+    low = per_block >> level
+    block, own = F.floor(place / low), place % low
+    for k in range(level, 0, -1):
         half = per_block >> k
-        if own >= half:
-            return (blocks * half) + block * half + (own - half)
-    return block * (per_block >> level) + own
+        past = place - blocks * half
+        block = F.when(past >= 0, F.floor(past / half)).otherwise(block)
+        own = F.when(past >= 0, half + past % half).otherwise(own)
+    return block.cast("long"), own.cast("long")
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from loadlens.functions import scalars as S
 from loadlens.operators import densify as D
-from loadlens.operators import stats
+from loadlens.operators import sampling, stats
+from loadlens.operators.checkpoints import numbered
 from loadlens.plans.catalog import query, r6, sql_r6
 from loadlens.sources import fixtures as X
 
@@ -105,20 +106,22 @@ def _(spark, d):
 
 
 Z95 = S.confidence_z(0.95)
-SIZE_SQL = f"""st AS (SELECT region, rank, sum(v) AS v FROM effort GROUP BY 1, 2), ss AS (SELECT region, sum(v) AS s, sum(v * v) AS s2, count(*) AS n FROM st GROUP BY 1),
+SIZE_SQL = f"""st AS (SELECT region, rank, sum(CAST(v AS DECIMAL(18, 4))) AS v FROM effort GROUP BY 1, 2), ss AS (SELECT region, CAST(sum(v) AS DOUBLE) AS s, sum(CAST(v AS DOUBLE) * CAST(v AS DOUBLE)) AS s2, count(*) AS n FROM st GROUP BY 1),
 sz AS (SELECT region, s, s2, n, s / n AS mean, greatest(s2 / n - (s / n) * (s / n), 0) AS variance, greatest(sqrt(greatest(s2 / n - (s / n) * (s / n), 0)), 1e-9) AS sd FROM ss),
 sample AS (SELECT *, CAST(round(n / (1 + n * pow(0.08 * mean / ({Z95} * sd), 2))) AS BIGINT) AS size FROM sz)"""
 
 
 def sampled(spark, d):
-    per = X.effort(spark, d).groupBy("region", "rank").agg(F.sum("v").alias("v"))
-    sums = per.groupBy("region").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("s2"), F.count("*").alias("n"))
+    # Facts have four digits, so decimals add up alike in any order.
+    per = X.effort(spark, d).groupBy("region", "rank").agg(F.sum(F.col("v").cast("decimal(18,4)")).alias("v"))
+    v = F.col("v").cast("double")
+    sums = per.groupBy("region").agg(F.sum("v").cast("double").alias("s"), F.sum(v * v).alias("s2"), F.count("*").alias("n"))
     return sums.withColumn("mean", F.col("s") / F.col("n")).withColumn("size", S.sample_size("s", "s2", "n", 0.95, 0.08))
 
 
-@query("a22_f11_sample_size", f"WITH {E}, {SIZE_SQL} SELECT region, {sql_r6('mean', 4)} AS mean, n, size FROM sample")
+@query("a22_f11_sample_size", f"WITH {E}, {SIZE_SQL} SELECT region, mean, n, size FROM sample")
 def _(spark, d):
-    return sampled(spark, d).select("region", r6("mean", 4).alias("mean"), "n", "size")
+    return sampled(spark, d).select("region", "mean", "n", "size")
 
 
 @query("a23_k13_sample_proportion", f"WITH {E}, {SIZE_SQL} SELECT greatest(max(size), 1) AS sample, {sql_r6('greatest(max(size), 1) / 16.0')} AS proportion FROM sample")
@@ -190,16 +193,68 @@ def _(spark, d):
     return metrics.withColumn("first", F.col("metric") == "time").orderBy(F.col("metric") != "time", "metric")
 
 
-@query("a33_rle_merged_histogram", "SELECT CAST(floor(value) AS BIGINT) % 256 AS byte, count(*) AS n FROM events GROUP BY 1")
+BYTES_SQL = "b AS (SELECT user_id, ts, event_id, CAST(floor(value) AS BIGINT) % 256 AS byte FROM events)"
+
+
+def streams(spark, d, group: str = "user_id"):
+    """(user_id, grp, stream): the bytes of each user's events, in order, as a run-length stream."""
+    import pandas as pd
+
+    from loadlens.operators import codec
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["ts", "event_id"])
+        return pd.DataFrame([[rows["user_id"].iloc[0], rows["grp"].iloc[0], codec.rle_encode(bytes(rows["byte"].tolist()))]], columns=["user_id", "grp", "stream"])
+
+    rows = X.table(spark, d, "events").select("user_id", F.expr(group).cast("long").alias("grp"), "ts", "event_id", F.expr("cast(floor(value) as bigint) % 256").alias("byte"))
+    return rows.groupBy("user_id").applyInPandas(run, "user_id long, grp long, stream binary")
+
+
+@query("a33_rle_merged_histogram", f"WITH {BYTES_SQL} SELECT byte, count(*) AS n FROM b GROUP BY 1")
 def _(spark, d):
-    return run_islands(spark, d).groupBy("byte").agg(F.sum("n").alias("n"))
+    import pandas as pd
+
+    from loadlens.operators import codec
+
+    def counts(batches):
+        for frame in batches:
+            found = codec.rle_histogram([bytes(x) for x in frame["stream"]])
+            yield pd.DataFrame(sorted(found.items()), columns=["byte", "n"])
+
+    return streams(spark, d).select("stream").mapInPandas(counts, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n"))
+
+
+@query("c15_rle_streams", f"WITH {BYTES_SQL}, m AS (SELECT *, CASE WHEN lag(byte) OVER w = byte THEN 0 ELSE 1 END AS s FROM b WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, count(*) AS n, CAST(sum(s) AS BIGINT) AS runs, CAST(sum(byte) AS BIGINT) AS total FROM m GROUP BY 1")
+def _(spark, d):
+    return stream_facts(streams(spark, d), "user_id")
+
+
+@query("c16_rle_merge", f"WITH {BYTES_SQL}, m AS (SELECT *, user_id % 4 AS grp, CASE WHEN lag(byte) OVER w = byte THEN 0 ELSE 1 END AS s FROM b WINDOW w AS (PARTITION BY user_id % 4 ORDER BY user_id, ts, event_id)) SELECT grp, count(*) AS n, CAST(sum(s) AS BIGINT) AS runs, CAST(sum(byte) AS BIGINT) AS total FROM m GROUP BY 1")
+def _(spark, d):
+    import pandas as pd
+
+    from loadlens.operators import codec
 
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [bytes(x) for x in rows.sort_values("user_id")["stream"]]
+        return pd.DataFrame([[rows["grp"].iloc[0], codec.rle_merge(parts)]], columns=["grp", "stream"])
 
-def run_islands(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = X.table(spark, d, "events").select("user_id", "ts", "event_id", F.expr("cast(floor(value) as bigint) % 256").alias("byte"))
-    start = F.when(F.lag("byte").over(w) == F.col("byte"), 0).otherwise(1)
-    return rows.withColumn("s", start).withColumn("run", F.sum("s").over(w)).groupBy("user_id", "run", "byte").agg(F.count("*").alias("n"))
+    return stream_facts(streams(spark, d, "user_id % 4").groupBy("grp").applyInPandas(merge, "grp long, stream binary"), "grp")
+
+
+def stream_facts(found, key: str):
+    """Bytes and their sum after decoding, and runs as they stand in the stream."""
+    import pandas as pd
+
+    from loadlens.operators import codec
+
+    def facts(batches):
+        for frame in batches:
+            raw = [codec.rle_decode(bytes(x)) for x in frame["stream"]]
+            runs = [len(codec.joined_runs([bytes(x)])) for x in frame["stream"]]
+            yield pd.DataFrame({key: frame[key], "n": list(map(len, raw)), "runs": runs, "total": list(map(sum, raw))})
+
+    return found.select(key, "stream").mapInPandas(facts, f"{key} long, n long, runs long, total long")
 
 
 # ---- projections and filters ----
@@ -275,7 +330,7 @@ def _(spark, d):
 @query("j06_key_file_names", f"WITH {SHIP}, k AS (SELECT region, metric, row_number() OVER (ORDER BY metric, region) - 1 AS id FROM (SELECT DISTINCT region, metric FROM ship)) SELECT k.region, metric, CASE WHEN id < 8 THEN 'effort-' || metric || '-0-' || CAST(id AS VARCHAR) ELSE 'unknown-' || metric || '-0' END AS file FROM k")
 def _(spark, d):
     keys = X.shipments(spark, d).select("region", "metric").distinct()
-    ids = keys.withColumn("id", F.row_number().over(Window.orderBy("metric", "region")) - 1).where("id < 8")
+    ids = numbered(keys, ["metric", "region"]).where("id < 8")
     named = keys.join(ids, ["region", "metric"], "left")
     return named.select("region", "metric", F.coalesce(F.concat(F.lit("effort-"), "metric", F.lit("-0-"), F.col("id").cast("string")), F.concat(F.lit("unknown-"), "metric", F.lit("-0"))).alias("file"))
 
@@ -287,7 +342,7 @@ def _(spark, d):
 
 @query("o01_w05_key_ids", f"WITH {SHIP} SELECT metric, region, row_number() OVER (ORDER BY metric, region) - 1 AS id FROM (SELECT DISTINCT metric, region FROM ship)")
 def _(spark, d):
-    return X.shipments(spark, d).select("metric", "region").distinct().withColumn("id", (F.row_number().over(Window.orderBy("metric", "region")) - 1).cast("long"))
+    return numbered(X.shipments(spark, d).select("metric", "region").distinct(), ["metric", "region"])
 
 
 @query("o02_regions_by_total", f"WITH t AS (SELECT event_id % 3 AS type, event_type AS region, {sql_r6('sum(value)', 4)} AS total FROM events GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY type ORDER BY total DESC, region) - 1 AS place FROM t")
@@ -299,7 +354,7 @@ def _(spark, d):
 
 @query("o03_w06_by_sample_size", f"WITH {E}, {SIZE_SQL} SELECT region, size, row_number() OVER (ORDER BY size DESC, region) - 1 AS place FROM sample")
 def _(spark, d):
-    return sampled(spark, d).select("region", "size", (F.row_number().over(Window.orderBy(F.desc("size"), "region")) - 1).cast("long").alias("place"))
+    return numbered(sampled(spark, d).select("region", "size"), [F.desc("size"), "region"], "place")
 
 
 @query("o04_first_key", f"WITH {SHIP} SELECT metric, region FROM ship ORDER BY metric, region LIMIT 1")
@@ -345,8 +400,7 @@ def _(spark, d):
 @query("w07_modulo_sets", f"WITH {SHIP} SELECT metric, region, (row_number() OVER (ORDER BY metric, region) - 1) % 5 AS set, (row_number() OVER (ORDER BY metric, region) - 1) // 5 * 5 AS base FROM (SELECT DISTINCT metric, region FROM ship)")
 def _(spark, d):
     keys = X.shipments(spark, d).select("metric", "region").distinct()
-    at = (F.row_number().over(Window.orderBy("metric", "region")) - 1).cast("long")
-    return keys.withColumn("id", at).select("metric", "region", F.expr("id % 5").alias("set"), F.expr("id div 5 * 5").alias("base"))
+    return numbered(keys, ["metric", "region"]).select("metric", "region", F.expr("id % 5").alias("set"), F.expr("id div 5 * 5").alias("base"))
 
 
 @query("w08_place_among_siblings", "SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS place FROM nation")
@@ -394,19 +448,30 @@ def _(spark, d):
     return X.effort(spark, d).groupBy("region").agg(r6(F.lit(0.5) * 16 / F.when(span > 0, span).otherwise(1.0)).alias("scale"))
 
 
-@query("c25_sizes_and_ratio", f"WITH {E} SELECT region, count(*) * 8 AS raw, {sql_r6('count(*) * 8 / CAST(sum(CASE WHEN v <> 0 THEN 2 ELSE 1 END) AS DOUBLE)')} AS ratio FROM effort GROUP BY 1")
+@query("s24_synthetic_log", f"SELECT r.range AS rank, i.range AS step, k.range AS k, {sql_r6('CAST((0.06 + r.range) * (5 + i.range + 0.4 * i.range * i.range - 0.02 * i.range * i.range * k.range) AS DOUBLE)')} AS v FROM range(8) r, range(32) i, range(4) k")
 def _(spark, d):
-    return X.effort(spark, d).groupBy("region").agg((F.count("*") * 8).alias("raw"), r6(F.count("*") * 8 / F.sum(F.when(F.col("v") != 0, 2).otherwise(1))).alias("ratio"))
+    from loadlens.sources.synthetic import synthetic_log
 
+    return synthetic_log(spark, ranks=8, steps=32, paths=4).withColumn("v", r6("v"))
 
-@query("c21_byte_budget", f"WITH {E}, b AS (SELECT region, rank, count(*) FILTER (v <> 0) * 3 + 10 AS bytes FROM effort GROUP BY 1, 2), u AS (SELECT *, sum(bytes) OVER (PARTITION BY region ORDER BY rank) AS upto FROM b) SELECT region, rank, CAST(bytes AS BIGINT) AS bytes FROM u WHERE upto <= 600")
-def _(spark, d):
-    b = X.effort(spark, d).groupBy("region", "rank").agg((F.sum((F.col("v") != 0).cast("long")) * 3 + 10).alias("bytes"))
-    return b.withColumn("upto", F.sum("bytes").over(Window.partitionBy("region").orderBy("rank"))).where("upto <= 600").drop("upto")
 
+WINDOW = 16  # steps between two updates
+UPDATE_SQL = f"""pr AS (SELECT step // {WINDOW} + 1 AS u, region, rank, sum(v) AS v FROM effort GROUP BY 1, 2, 3), ps AS (SELECT u, region, sum(v) AS s, sum(v * v) AS s2, count(*) AS n FROM pr GROUP BY 1, 2),
+pz AS (SELECT u, n, CAST(round(n / (1 + n * pow(0.08 * (s / n) / ({Z95} * greatest(sqrt(greatest(s2 / n - (s / n) * (s / n), 0)), 1e-9)), 2))) AS BIGINT) AS size FROM ps),
+up AS (SELECT u, max(n) AS size, greatest(max(size), 1) AS sample, greatest(max(size), 1) / max(n) AS proportion FROM pz GROUP BY 1)"""
 
-@query("s24_synthetic_log", f"SELECT r.range AS rank, i.range AS step, k.range AS k, {sql_r6('CAST((0.06 + r.range) * (5 + i.range + 0.4 * i.range * i.range - 0.02 * i.range * i.range * k.range) AS DOUBLE)')} AS v FROM range(8) r, range(32) i, range(4) k")
+
+def updated(spark, d):
+    return sampling.updates(X.effort(spark, d), ["region"], WINDOW, 0.95, 0.08)
+
+
+@query("x07_adaptive_update", f"WITH {E}, {UPDATE_SQL} SELECT u AS update, r.range AS rank, sample, {sql_r6('proportion')} AS proportion, (r.range * 7919 + u * 104729) % 1000 / 1000.0 < proportion AS enabled FROM up, range(16) r")
 def _(spark, d):
-    from loadlens.sources.synthetic import synthetic_log
+    every = updated(spark, d).withColumn("rank", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
+    # The draw of an update is against the proportion that it has just set.
+    return every.select("update", "rank", "sample", r6("proportion").alias("proportion"), (((F.col("rank") * 7919 + F.col("update") * 104729) % 1000) / 1000.0 < F.col("proportion")).alias("enabled"))
 
-    return synthetic_log(spark, ranks=8, steps=32, paths=4).withColumn("v", r6("v"))
+
+@query("s18_summary_lines", f"WITH {E}, {UPDATE_SQL} SELECT u AS update, printf('STEP %d Size %d SampleSize %d Proportion %.4f', u * {WINDOW}, size, sample, proportion) AS line FROM up")
+def _(spark, d):
+    return sampling.summary_lines(updated(spark, d), WINDOW)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loadlens.functions import paths as P
 from loadlens.functions import scalars as S
 from loadlens.operators import densify as D
+from loadlens.operators.checkpoints import scratch
 from loadlens.plans.catalog import query, r6, sql_r6
 from loadlens.sources import binary, store, symtab, textmatrix
 from loadlens.sources import fixtures as X
@@ -18,12 +19,6 @@ from loadlens.streaming import comm, steps
 E, PATHS, SYM, SHIP = X.EFFORT_SQL, X.PATHS_SQL, X.SYMBOLS_SQL, X.SHIPMENTS_SQL
 
 
-def scratch(spark) -> str:
-    """A folder that all executors see: beside the checkpoints, or a temporary one on one machine."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return tempfile.mkdtemp(prefix="loadlens-") if not folder else f"{folder}/{next(tempfile._get_candidate_names())}"
-
-
 LE = "CASE WHEN n <= 0 THEN 0 ELSE CAST(1 AS BIGINT) << (length(bin(n)) - 1) END"
 GE = "CASE WHEN n <= 1 THEN 1 ELSE CAST(1 AS BIGINT) << length(bin(n - 1)) END"
 
@@ -177,6 +172,11 @@ def _(spark, d):
 
 # ---- paths ----
 
+@query("f28_radix_preorder", "SELECT row_number() OVER (ORDER BY reverse(substr(bin(range + 1), 2))) - 1 AS place, CAST(range AS BIGINT) AS rank FROM range(3000)")
+def _(spark, d):
+    return spark.createDataFrame(list(enumerate(S.radix_preorder(3000))), "place long, rank long")
+
+
 @query("p06_comm_keys", "SELECT count(*) AS n FROM events WHERE event_type = 'view'")
 def _(spark, d):
     e = X.table(spark, d, "events").select(F.when(F.col("event_type") != "view", F.col("event_type")).alias("a"))
@@ -333,7 +333,7 @@ def _(spark, d):
     schema = X.table(spark, d, "events").schema
     files = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(events_folder(spark, d, schema))
     stream = files.withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"steps_{next(tempfile._get_candidate_names())}"
+    name = f"steps_{uuid.uuid4().hex}"
     return steps.run_to_table(steps.step_totals(stream), name, scratch(spark))
 
 

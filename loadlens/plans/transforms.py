@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loadlens.functions import scalars as S
-from loadlens.operators import cluster, codec, ssim, stats, wavelet
+from loadlens.operators import cluster, codec, effortlog, sampling, ssim, stats, wavelet
 from loadlens.operators import densify as D
+from loadlens.operators.checkpoints import checkpointed, scratch
 from loadlens.plans.catalog import query, r6, sql_r6
 from loadlens.sources import fixtures as X
 
 E, SIG = X.EFFORT_SQL, X.SIGNALS_SQL
 A, K = wavelet.LIFT, wavelet.SCALE
+SHAPE = X.RANKS, X.STEPS
 
 
 def sql_forward(name: str, src: str, parts: str, at: str, n: int, where: str = "TRUE") -> str:
@@ -23,7 +26,7 @@ def sql_forward(name: str, src: str, parts: str, at: str, n: int, where: str = "
         moved = f"v + {a!r} * (coalesce(lag(v) OVER w, lead(v) OVER w) + coalesce(lead(v) OVER w, lag(v) OVER w))"
         out.append(f"{name}_{i + 1} AS (SELECT * REPLACE (CASE WHEN {at} % 2 = {odd} THEN {moved} ELSE v END AS v) FROM {last} {w})")
         last = f"{name}_{i + 1}"
-    out.append(f"{name} AS (SELECT * REPLACE (CASE WHEN {at} % 2 = 1 THEN {n // 2} + {at} // 2 ELSE {at} // 2 END AS {at}, CASE WHEN {at} % 2 = 1 THEN v / {K!r} ELSE v * {K!r} END AS v) FROM {last} UNION ALL SELECT * FROM {src} WHERE NOT ({where}))")
+    out.append(f"{name} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {at} % 2 = 1 THEN {n // 2} + {at} // 2 ELSE {at} // 2 END AS {at}, CASE WHEN {at} % 2 = 1 THEN v / {K!r} ELSE v * {K!r} END AS v) FROM {last} UNION ALL SELECT * FROM {src} WHERE NOT ({where}))")
     return ", ".join(out)
 
 
@@ -116,23 +119,28 @@ def _(spark, d):
 
 @query("t09_t11_pyramid_2d", f"WITH {E}, {sql_levels2('t', 'effort', 'region', 16, 64, 3)} SELECT region, rank, step, {sql_r6('v')} AS v FROM t")
 def _(spark, d):
-    return long6(wavelet.dwt2_small(effort_rows(spark, d), ["region"], 3), ["region", "rank"])
+    return long6(wavelet.dwt2(effort_rows(spark, d), ["region"], 3, SHAPE), ["region", "rank"])
 
 
-@query("t12_level_2d_by_transposes", f"WITH {E}, {sql_levels2('t', 'effort', 'region', 16, 64, 1)} SELECT region, rank, step, {sql_r6('v')} AS v FROM t")
+@query("t12_distributed_pyramid", f"WITH {E}, {sql_levels2('t', 'effort', 'region', 16, 64, 3)} SELECT region, rank, step, {sql_r6('v')} AS v FROM t")
 def _(spark, d):
-    return long6(wavelet.dwt2_once(effort_rows(spark, d), ["region"]), ["region", "rank"])
+    return long6(wavelet.dwt2_large(effort_rows(spark, d), ["region"], 3, SHAPE), ["region", "rank"])
+
+
+@query("t12_distributed_inverse", f"WITH {E} SELECT region, rank, step, {sql_r6('v')} AS v FROM effort")
+def _(spark, d):
+    made = wavelet.dwt2_large(effort_rows(spark, d), ["region"], 2, SHAPE)
+    return long6(wavelet.idwt2_large(made, ["region"], 2, SHAPE), ["region", "rank"])
 
 
 @query("t10_inverse_2d", f"WITH {E} SELECT region, rank, step, {sql_r6('v')} AS v FROM effort")
 def _(spark, d):
-    return long6(wavelet.dwt2_small(wavelet.dwt2_small(effort_rows(spark, d), ["region"], 4), ["region"], 4, 4), ["region", "rank"])
+    return long6(wavelet.dwt2(wavelet.dwt2(effort_rows(spark, d), ["region"], 4, SHAPE), ["region"], 4, SHAPE, 4), ["region", "rank"])
 
 
 @query("t16_reassemble_rows", "WITH r AS (SELECT range AS i, range // 8 AS b, range % 8 AS o FROM range(32)) SELECT CAST(i AS BIGINT) AS row, CAST(CASE WHEN o >= 4 THEN 16 + b * 4 + o - 4 WHEN o >= 2 THEN 8 + b * 2 + o - 2 ELSE b * 2 + o END AS BIGINT) AS place FROM r")
 def _(spark, d):
-    rows = [(i, wavelet.reassembled_row(i, 4, 8, 2)) for i in range(32)]
-    return spark.createDataFrame(rows, "row long, place long")
+    return spark.range(32).select(F.col("id").alias("row"), wavelet.reassembled_row("id", 4, 8, 2).alias("place"))
 
 
 @query("t17_signature", f"WITH {SIG}, {SIG1}, {sql_levels('t', 's', 'id', 'pos', 64, 2)} SELECT id, pos, {sql_r6('v')} AS v FROM t WHERE pos < 16")
@@ -142,15 +150,15 @@ def _(spark, d):
 
 @query("t18_low_bands", f"WITH {E}, {sql_levels2('t', 'effort', 'region', 16, 64, 3)} SELECT region, rank, step, {sql_r6('v')} AS v FROM t WHERE rank < 4 AND step < 16")
 def _(spark, d):
-    cells = D.to_long(wavelet.dwt2_small(effort_rows(spark, d), ["region"], 3), ["region", "rank"])
+    cells = D.to_long(wavelet.dwt2(effort_rows(spark, d), ["region"], 3, SHAPE), ["region", "rank"])
     return wavelet.low_bands(cells, 16, 64, 3, 1).withColumn("v", r6("v"))
 
 
 @query("t19_s04_approximation", f"WITH {E}, {sql_levels2('t', 'effort', 'region', 16, 64, 2)} SELECT region, rank, step, {sql_r6('v * 4')} AS v FROM t WHERE rank < 4 AND step < 16")
 def _(spark, d):
-    cells = D.to_long(wavelet.dwt2_small(effort_rows(spark, d), ["region"], 3), ["region", "rank"])
+    cells = D.to_long(wavelet.dwt2(effort_rows(spark, d), ["region"], 3, SHAPE), ["region", "rank"])
     low = D.to_rows(wavelet.low_bands(cells, 16, 64, 3, 1), ["region", "rank"])
-    return D.to_long(wavelet.dwt2_small(low, ["region"], 1, 1), ["region", "rank"]).withColumn("v", r6(F.col("v") * 4))
+    return D.to_long(wavelet.dwt2(low, ["region"], 1, (4, 16), 1), ["region", "rank"]).withColumn("v", r6(F.col("v") * 4))
 
 
 Q_SQL = f"{E}, {sql_levels2('t', 'effort', 'region', 16, 64, 3)}, q AS (SELECT region, rank, step, CAST(round(round(v, 6) * 16) AS BIGINT) AS q FROM t)"
@@ -158,7 +166,7 @@ C_SQL = f"{Q_SQL}, mq AS (SELECT region, CAST(round(avg(q)) AS BIGINT) AS mean F
 
 
 def quantized(spark, d):
-    cells = D.to_long(wavelet.dwt2_small(effort_rows(spark, d), ["region"], 3), ["region", "rank"])
+    cells = D.to_long(wavelet.dwt2(effort_rows(spark, d), ["region"], 3, SHAPE), ["region", "rank"])
     return cells.select("region", "rank", "step", codec.quantize(F.round("v", 6), 16).alias("q"))
 
 
@@ -228,7 +236,7 @@ def _(spark, d):
 SYMBOL_SQL = "CASE WHEN abs(q) >= s AND abs(q) < 2 * s THEN CASE WHEN q > 0 THEN 'P' ELSE 'N' END WHEN tree & s = 0 THEN 'T' ELSE 'Z' END"
 
 
-@query("c07_c11_dominant_symbols", f"WITH {C_SQL}, {tree_sql()}, y AS (SELECT z3.region, p.range AS pass, {SYMBOL_SQL} AS symbol FROM (SELECT z.*, threshold, p.range, threshold >> p.range AS s FROM z3 z JOIN th ON th.region = z.region, range(4) p) z3, range(4) p WHERE p.range = z3.range) SELECT region, CAST(pass AS INTEGER) AS pass, symbol, count(*) AS n FROM y GROUP BY 1, 2, 3")
+@query("c07_dominant_symbols", f"WITH {C_SQL}, {tree_sql()}, y AS (SELECT z3.region, p.range AS pass, {SYMBOL_SQL} AS symbol FROM (SELECT z.*, threshold, p.range, threshold >> p.range AS s FROM z3 z JOIN th ON th.region = z.region, range(4) p) z3, range(4) p WHERE p.range = z3.range) SELECT region, CAST(pass AS INTEGER) AS pass, symbol, count(*) AS n FROM y GROUP BY 1, 2, 3")
 def _(spark, d):
     tree = codec.zerotree(centered(spark, d), ["region"], 16, 64, 3)
     each = tree.withColumn("pass", F.explode(F.array(*map(F.lit, range(4)))))
@@ -236,10 +244,19 @@ def _(spark, d):
     return each.groupBy("region", "pass", symbol.alias("symbol")).agg(F.count("*").alias("n"))
 
 
-@query("c09_traversal_order")
+#: Preorder by the root, the band and the quadrants on the way down, from each cell's place alone.
+VISIT_SQL = """WITH c AS (SELECT r.range AS rank, c.range AS step, CASE WHEN r.range < 2 AND c.range < 8 THEN 0 WHEN r.range < 4 AND c.range < 16 THEN 1 WHEN r.range < 8 AND c.range < 32 THEN 2 ELSE 3 END AS d FROM range(16) r, range(64) c),
+t AS (SELECT *, rank >> greatest(d - 1, 0) AS tr, step >> greatest(d - 1, 0) AS tc FROM c),
+w AS (SELECT *, (tr % 2) * 8 + tc % 8 AS root, CASE WHEN d = 0 THEN 0 ELSE 2 * CAST(tr >= 2 AS INTEGER) + CAST(tc >= 8 AS INTEGER) END AS band,
+   CASE WHEN d > 1 THEN CAST(2 * ((rank >> (d - 2)) & 1) + ((step >> (d - 2)) & 1) AS VARCHAR) ELSE '' END || CASE WHEN d > 2 THEN CAST(2 * (rank & 1) + (step & 1) AS VARCHAR) ELSE '' END AS path FROM t)
+SELECT row_number() OVER (ORDER BY root, band, path) - 1 AS visit, rank, step, CAST(CASE d WHEN 0 THEN 64 WHEN 1 THEN 21 WHEN 2 THEN 5 ELSE 1 END AS BIGINT) AS below FROM w"""
+
+
+@query("c09_traversal_order", VISIT_SQL)
 def _(spark, d):
-    order = codec.visit_order(16, 64, 3)
-    return spark.createDataFrame([(i, r, c, n) for i, (r, c, n) in enumerate(order)], "visit long, rank long, step long, below long")
+    tree = codec.Tree(*SHAPE, 3)
+    rows = [(i, int(at) // 64, int(at) % 64, int(end) - i) for i, (at, end) in enumerate(zip(tree.at, tree.end, strict=True))]
+    return spark.createDataFrame(rows, "visit long, rank long, step long, below long")
 
 
 @query("c10_refinement_bits", f"WITH {C_SQL} SELECT c.region, count(*) FILTER (abs(q) >= threshold >> 2) AS significant, CAST(sum(CASE WHEN abs(q) >= threshold >> 2 THEN (abs(q) >> (length(bin(threshold)) - 4)) & 1 ELSE 0 END) AS BIGINT) AS ones FROM c JOIN th ON th.region = c.region GROUP BY 1")
@@ -249,44 +266,123 @@ def _(spark, d):
     return c.groupBy("region").agg(F.count("*").alias("significant"), F.sum(bit).alias("ones"))
 
 
-def payloads(spark, d, encoding: str, passes: int = 0):
-    """region with sizes and the round trip of its coded matrix; a matrix is a task's row group."""
-    import numpy as np
-    import pandas as pd
+def coded_sql(level: int = 3) -> str:
+    return f"{E}, {sql_levels2('t', 'effort', 'region', 16, 64, level)}, q AS (SELECT region, rank, step, CAST(round(v * 16) AS BIGINT) AS q FROM t), mq AS (SELECT region, CAST(round(avg(q)) AS BIGINT) AS mean FROM q GROUP BY 1), c AS (SELECT q.region, rank, step, q - mean AS q, mean FROM q JOIN mq USING (region)), th AS (SELECT region, CASE WHEN max(abs(q)) = 0 THEN 0 ELSE CAST(1 AS BIGINT) << (length(bin(max(abs(q)))) - 1) END AS threshold FROM c GROUP BY 1)"
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        m = group.sort_values("rank")
-        q = np.stack(m["vals"].to_list()).astype(np.int64)
-        data, size = codec.encode_payload(q, 3, passes, encoding)
-        top = int(group["threshold"].iloc[0])
-        back = codec.decode_payload(data, *q.shape, 3, top, size["passes"], encoding)
-        return pd.DataFrame([[m["region"].iloc[0], size["passes"], size["ezw_size"], size["rle_size"], size["enc_size"], float(np.abs(back - q).max())]], columns=["region", "passes", "ezw_size", "rle_size", "enc_size", "worst"])
 
-    c = centered(spark, d)
-    rows = c.groupBy("region", "rank", "threshold").agg(F.transform(F.sort_array(F.collect_list(F.struct("step", "q"))), lambda x: x["q"]).alias("vals"))
-    return rows.groupBy("region").applyInPandas(run, "region string, passes long, ezw_size long, rle_size long, enc_size long, worst double")
+#: Bits of each pass: a cell is visited in the low band, right below it, or under a parent with the pass's bit at or below it.
+PASS_SQL = f"""{coded_sql()}, {tree_sql()},
+ab AS (SELECT z.region, z.rank, z.step, z.q, u.tree AS above FROM z3 z LEFT JOIN z3 u ON u.region = z.region AND u.rank = z.pr AND u.step = z.pc),
+pt AS (SELECT ab.*, CAST(k.range AS INTEGER) AS pass, threshold >> k.range AS t FROM ab JOIN th USING (region) JOIN range(48) k ON threshold >> k.range > 0),
+passes AS (SELECT region, pass, 2 * count(*) FILTER ((rank < 4 AND step < 16) OR above & t <> 0) AS dominant, CASE WHEN t > 1 THEN count(*) FILTER (abs(q) >= t) ELSE 0 END AS subordinate FROM pt GROUP BY region, pass, t)"""
+
+
+def coded(spark, d, **settings):
+    return effortlog.compress(effort_rows(spark, d), ["region"], SHAPE, **{"level": 3, "scale": 16} | settings)
+
+
+def cells(rows, value):
+    return rows.select("region", "rank", F.posexplode("vals").alias("step", "x"), "mean").select("region", "rank", F.col("step").cast("long").alias("step"), value.alias("q"))
+
+
+@query("c11_pass_sizes", f"WITH {PASS_SQL} SELECT region, pass, CAST(dominant AS BIGINT) AS dominant, CAST(subordinate AS BIGINT) AS subordinate FROM passes")
+def _(spark, d):
+    return coded(spark, d).select("region", F.posexplode(F.arrays_zip("dominant", "subordinate")).alias("pass", "b")).select("region", "pass", "b.dominant", "b.subordinate")
+
+
+def payload_sql(limit: int = 99) -> str:
+    return f"WITH {PASS_SQL} SELECT region, count(*) AS passes, CAST(ceil(sum(dominant + subordinate) / 8.0) AS BIGINT) AS ezw_size, CAST(0 AS BIGINT) AS worst FROM passes WHERE pass < {limit} GROUP BY 1"
+
+
+def payload_facts(spark, d, encoding: str, passes: int = 0):
+    """A payload's passes and bytes, and its worst difference from the values that so many passes give."""
+    made = checkpointed(coded(spark, d, encoding=encoding, passes=passes))
+    back = effortlog.coefficients(made, ["region"]).select("region", "rank", F.col("vals").alias("back"))
+    want = effortlog.quantized(effort_rows(spark, d), ["region"], SHAPE, 3, 16)
+    want = want.select("region", "rank", F.transform("vals", lambda q: codec.truncate_passes(q, F.col("threshold"), passes)).alias("want"))
+    off = F.array_max(F.zip_with("back", "want", lambda a, b: F.abs(a - b))).cast("long")
+    worst = back.join(want, ["region", "rank"], "full").groupBy("region").agg(F.max(F.coalesce(off, F.lit(2**62))).alias("worst"))
+    return made.select("region", "passes", "ezw_size").join(worst, "region")
+
+
+@query("c12_c17_encode_huffman", payload_sql())
+def _(spark, d):
+    return payload_facts(spark, d, "huffman")
+
+
+@query("c18_c19_encode_arithmetic", payload_sql(3))
+def _(spark, d):
+    return payload_facts(spark, d, "arithmetic", 3)
 
 
-@query("c12_c17_encode_huffman")
+@query("c13_c14_encode_rle", payload_sql(5))
 def _(spark, d):
-    return payloads(spark, d, "huffman")
+    return payload_facts(spark, d, "rle", 5)
 
 
-@query("c18_encode_arithmetic")
+@query("c21_byte_budget", f"WITH {PASS_SQL}, u AS (SELECT region, pass, sum(dominant + subordinate) OVER (PARTITION BY region ORDER BY pass) AS bits FROM passes) SELECT region, count(*) AS passes, CAST(max(ceil(bits / 8.0)) AS BIGINT) AS bytes FROM u WHERE bits <= 8 * 600 GROUP BY 1")
 def _(spark, d):
-    return payloads(spark, d, "arithmetic", 3)
+    each = coded(spark, d).select("region", F.posexplode(F.arrays_zip("dominant", "subordinate")).alias("pass", "b"))
+    bits = F.sum(F.col("b.dominant") + F.col("b.subordinate")).over(Window.partitionBy("region").orderBy("pass"))
+    fits = each.select("region", "pass", bits.alias("bits")).where("bits <= 8 * 600")
+    return fits.groupBy("region").agg(F.count("*").alias("passes"), F.max(F.ceil(F.col("bits") / 8)).alias("bytes"))
 
 
-@query("c13_c14_encode_rle")
+@query("c25_sizes_and_ratio", f"WITH {PASS_SQL}, z AS (SELECT region, CAST(ceil(sum(dominant + subordinate) / 8.0) AS BIGINT) AS ezw_size FROM passes GROUP BY 1) SELECT region, CAST(8192 AS BIGINT) AS raw, ezw_size, {sql_r6('8192.0 / ezw_size')} AS ratio FROM z")
 def _(spark, d):
-    return payloads(spark, d, "rle", 5)
+    raw = F.col("rows") * F.col("cols") * 8
+    return coded(spark, d).select("region", raw.alias("raw"), "ezw_size", r6(raw / F.col("ezw_size")).alias("ratio"))
 
 
-@query("c15_run_islands", "WITH s AS (SELECT user_id, ts, event_id, CAST(floor(value) AS BIGINT) % 256 AS byte FROM events), m AS (SELECT *, CASE WHEN lag(byte) OVER w = byte THEN 0 ELSE 1 END AS s FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT user_id, byte, CAST(sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS run FROM m) SELECT user_id, run, byte, count(*) AS n FROM r GROUP BY 1, 2, 3")
+@query("c22_c24_block_encode", f"WITH {coded_sql(2)} SELECT region, rank, step, q FROM q")
 def _(spark, d):
-    from loadlens.plans.aggregates import run_islands
+    made = coded(spark, d, level=2, blocks=4)
+    return cells(effortlog.coefficients(made, ["region"]), F.col("x") + F.col("mean"))
 
-    return run_islands(spark, d)
+
+@query("c26_c27_log_round_trip", f"WITH {coded_sql()} SELECT region, rank, step, q FROM q")
+def _(spark, d):
+    path = scratch(spark)
+    effortlog.write_log(coded(spark, d, blocks=2, encoding="arithmetic"), path)
+    return cells(effortlog.coefficients(effortlog.read_log(spark, path), ["region"]), F.col("x") + F.col("mean"))
+
+
+@query("c26_reconstruct", f"WITH {E} SELECT region, rank, TRUE AS near FROM effort GROUP BY 1, 2")
+def _(spark, d):
+    rows = effort_rows(spark, d)
+    back = effortlog.reconstruct(coded(spark, d, blocks=2), ["region"]).withColumnRenamed("vals", "back")
+    off = F.array_max(F.zip_with("vals", "back", lambda a, b: F.abs(a - b)))
+    return rows.join(back, ["region", "rank"], "left").select("region", "rank", F.coalesce(off < 0.25, F.lit(False)).alias("near"))  # four steps of the scale
+
+
+@query("s21_decode_passes", f"WITH {coded_sql()} SELECT c.region, rank, step, CAST({truncated_sql(5)} AS BIGINT) AS q FROM c JOIN th ON th.region = c.region")
+def _(spark, d):
+    return cells(effortlog.coefficients(coded(spark, d), ["region"], limit=5), F.col("x"))
+
+
+@query("s21_partial_inverse", f"WITH {E}, {sql_levels2('t', 'effort', 'region', 16, 64, 1)} SELECT region, count(*) AS cells, TRUE AS near FROM t GROUP BY 1")
+def _(spark, d):
+    back = D.to_long(effortlog.reconstruct(coded(spark, d), ["region"], undo=2), ["region", "rank"])
+    want = D.to_long(wavelet.dwt2(effort_rows(spark, d), ["region"], 1, SHAPE), ["region", "rank"]).withColumnRenamed("v", "w")
+    return back.join(want, ["region", "rank", "step"]).groupBy("region").agg(F.count("*").alias("cells"), (F.max(F.abs(F.col("v") - F.col("w"))) < 0.25).alias("near"))
+
+
+@query("c25_log_of_4096")
+def _(spark, d):
+    """The size that is published: 4096 processes, 256 steps, level 7, scale 1024, 5 passes, 8 blocks; of a synthetic log."""
+    from loadlens.sources.synthetic import synthetic_log
+
+    rows = D.to_rows(synthetic_log(spark, 4096, 256, 1).drop("k").withColumn("region", F.lit("synthetic")), ["region", "rank"])
+    made = effortlog.compress(rows, ["region"], (4096, 256), 7, 1024, 5, 8)
+    return made.select("region", "passes", "ezw_size", "rle_size", "enc_size", r6(F.col("rows") * F.col("cols") * 8 / F.col("enc_size"), 2).alias("ratio"))
+
+
+@query("a19_k01_coefficient_rmse", f"WITH {E}, {sql_levels2('t', 'effort', 'region', 16, 64, 3)} SELECT a.region AS a, b.region AS b, {sql_r6('sqrt(avg(pow(a.v - b.v, 2)))')} AS wtrmse FROM t a JOIN t b ON a.rank = b.rank AND a.step = b.step AND a.region < b.region GROUP BY 1, 2")
+def _(spark, d):
+    long = D.to_long(wavelet.dwt2(effort_rows(spark, d), ["region"], 3, SHAPE), ["region", "rank"])
+    a, b = long.select(F.col("region").alias("a"), "rank", "step", F.col("v").alias("x")), long.select(F.col("region").alias("b"), "rank", "step", F.col("v").alias("y"))
+    diff = F.col("x") - F.col("y")
+    return a.join(b, ["rank", "step"]).where("a < b").groupBy("a", "b").agg(r6(F.sqrt(F.avg(diff * diff))).alias("wtrmse"))
 
 
 @query("t13_level_matrix_product", f"WITH {SIG}, {SIG1}, {sql_levels('t', 's', 'id', 'pos', 64, 2)} SELECT id, pos, {sql_r6('v')} AS v FROM t")
@@ -315,7 +411,7 @@ def bands(spark, d):
     from loadlens.plans.aggregates import smoothed
 
     long = X.effort(spark, d)
-    two = [D.to_long(wavelet.dwt2_small(D.to_rows(x, ["region", "rank"]), ["region"], 2), ["region", "rank"]).withColumn("v", F.round("v", 6)) for x in (long, smoothed(long))]
+    two = [D.to_long(wavelet.dwt2(D.to_rows(x, ["region", "rank"]), ["region"], 2, SHAPE), ["region", "rank"]).withColumn("v", F.round("v", 6)) for x in (long, smoothed(long))]
     cells = two[0].withColumnRenamed("v", "x").join(two[1].withColumnRenamed("v", "y"), ["region", "rank", "step"])
     return ssim.band_similarity(cells, ["region"], 16, 64, 2, BOX)
 
@@ -338,10 +434,9 @@ def signatures(spark, d):
     return X.signals(spark, d).select("id", vals.alias("vals"), "label")
 
 
-@query("f06_f08_k04_signature_pairs", f"WITH {SIG16} SELECT a.id AS a, b.id AS b, {sql_r6('sqrt(sum(pow(a.v - b.v, 2)))')} AS euclidean, {sql_r6('sum(abs(a.v - b.v))')} AS manhattan FROM g a JOIN g b ON a.pos = b.pos AND a.id < b.id WHERE a.id < 60 AND b.id < 60 GROUP BY 1, 2")
+@query("f06_f08_k04_signature_pairs", f"WITH {SIG16} SELECT a.id AS a, b.id AS b, {sql_r6('sqrt(sum(pow(a.v - b.v, 2)))')} AS euclidean, {sql_r6('sum(abs(a.v - b.v))')} AS manhattan FROM g a JOIN g b ON a.pos = b.pos AND a.id < b.id GROUP BY 1, 2")
 def _(spark, d):
-    few = signatures(spark, d).where("id < 60")  # a dissimilarity matrix is for some points
-    both = cluster.pair_distances(few).withColumnRenamed("d", "euclidean").join(cluster.pair_distances(few, "manhattan").withColumnRenamed("d", "manhattan"), ["a", "b"])
+    both = cluster.pair_distances(signatures(spark, d), ["euclidean", "manhattan"])
     return both.select("a", "b", r6("euclidean").alias("euclidean"), r6("manhattan").alias("manhattan"))
 
 
@@ -397,10 +492,31 @@ def _(spark, d):
     return cluster.clara(spark, signatures(spark, d), 10)
 
 
-@query("k14_k15_strata", f"WITH {E}, m AS (SELECT rank, rank % 4 AS stratum, sum(v) AS v FROM effort GROUP BY 1, 2) SELECT stratum, count(*) AS n, {sql_r6('sum(v)', 4)} AS total FROM m GROUP BY 1")
+Z95 = S.confidence_z(0.95)
+
+
+def strata_size_sql(name: str, by: str) -> str:
+    size = f"CAST(round(n / (1 + n * pow(0.08 * (s / n) / ({Z95} * greatest(sqrt(greatest(s2 / n - (s / n) * (s / n), 0)), 1e-9)), 2))) AS BIGINT)"
+    return f"{name} AS (SELECT stratum, max(n) AS size, greatest(max({size}), 1) AS sample FROM (SELECT {by} AS stratum, region, sum(v) AS s, sum(v * v) AS s2, count(*) AS n FROM pv GROUP BY 1, 2) GROUP BY 1)"
+
+
+STRATA_SQL = f"""{E}, wd AS (SELECT * FROM effort WHERE step >= 16 AND step < 32), tr AS (SELECT rank, step, v FROM wd WHERE region = (SELECT min(region) FROM effort)),
+ds AS (SELECT p.rank, m.rank AS medoid, sqrt(sum(pow(p.v - m.v, 2))) AS d FROM tr p JOIN tr m USING (step) WHERE m.rank IN (0, 5, 10, 15) GROUP BY 1, 2),
+sm AS (SELECT rank, arg_min(medoid, round(d, 9) * 1000000 + medoid / 1000.0) AS stratum FROM ds GROUP BY 1), pv AS (SELECT region, rank, stratum, sum(v) AS v FROM wd JOIN sm USING (rank) GROUP BY 1, 2, 3),
+{strata_size_sql("own", "stratum")}, {strata_size_sql("whole", "0")}"""
+
+
+@query("k14_k15_strata", f"WITH {STRATA_SQL} SELECT own.stratum, own.size, own.sample, {sql_r6('own.sample / own.size')} AS proportion, CAST((SELECT sum(sample) FROM own) AS BIGINT) AS stratified, whole.sample AS global, (SELECT sum(sample) FROM own) < whole.sample AS good FROM own, whole")
 def _(spark, d):
-    per = X.effort(spark, d).groupBy("rank").agg(F.sum("v").alias("v")).withColumn("stratum", F.col("rank") % 4)
-    return per.groupBy("stratum").agg(F.count("*").alias("n"), r6(F.sum("v"), 4).alias("total"))
+    window = X.effort(spark, d).where("step >= 16 and step < 32")  # the trailing window of an update
+    first = window.agg(F.min("region").alias("region"))
+    traces = D.to_rows(window.join(F.broadcast(first), "region"), ["rank"]).withColumnRenamed("rank", "id")  # a row
+    strata = cluster.assign(traces, traces.where("id in (0, 5, 10, 15)")).select(F.col("id").alias("rank"), F.col("medoid").alias("stratum"))
+    per = window.groupBy("region", "rank").agg(F.sum("v").alias("v")).join(strata, "rank")
+    own = sampling.proportions(per, ["region"], ["stratum"], 0.95, 0.08)
+    whole = sampling.proportions(per.withColumn("stratum", F.lit(0)), ["region"], ["stratum"], 0.95, 0.08)
+    judged = sampling.stratified_is_better(own, whole)
+    return own.withColumn("proportion", r6("proportion")).crossJoin(F.broadcast(judged))  # a row
 
 
 @query("k12_process_sampling", "SELECT rank, u, (rank * 7919 + u * 104729) % 1000 / 1000.0 < 0.3 AS enabled FROM (SELECT r.range AS rank, u.range AS u FROM range(64) r, range(8) u)")

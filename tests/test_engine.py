@@ -1,6 +1,7 @@
 """Properties that the SQL comparison does not show."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -29,19 +30,144 @@ def test_matrix_round_trip(rows, cols):
         assert np.allclose(wavelet.inverse2(wavelet.forward2(m, level), level), m)
 
 
-def test_reassembled_rows_are_a_permutation():
-    for blocks, per, level in ((4, 8, 2), (2, 16, 3), (8, 4, 1)):
-        places = [wavelet.reassembled_row(r, blocks, per, level) for r in range(blocks * per)]
-        assert sorted(places) == list(range(blocks * per))
+def test_reassembled_rows_are_a_permutation(spark):
+    for blocks, per, level in ((4, 8, 2), (2, 16, 3), (8, 4, 1), (1, 8, 2)):
+        rows = spark.range(blocks * per).withColumn("place", wavelet.reassembled_row("id", blocks, per, level))
+        block, own = wavelet.block_row("place", blocks, per, level)
+        found = rows.select("id", "place", block.alias("block"), own.alias("own")).collect()
+        assert sorted(r.place for r in found) == list(range(blocks * per))
+        assert all((r.block, r.own) == divmod(r.id, per) for r in found)
+
+
+@pytest.mark.parametrize(("shape", "level"), [((16, 32), 3), ((8, 8), 3), ((32, 4), 1)])
+def test_distributed_pyramid(spark, shape, level):
+    r = np.random.default_rng(2)
+    mats = {k: r.normal(size=shape) for k in "ab"}
+    rows = spark.createDataFrame([(k, i, m[i].tolist()) for k, m in mats.items() for i in range(shape[0])], "region string, rank long, vals array<double>")
+    collect = lambda df: {k: np.stack([x.vals for x in sorted((x for x in df.collect() if x.region == k), key=lambda x: x["rank"])]) for k in mats}
+    made = wavelet.dwt2_large(rows, ["region"], level, shape)
+    assert all(np.allclose(collect(made)[k], wavelet.forward2(m, level)) for k, m in mats.items())
+    for undo in range(level + 1):
+        back = collect(wavelet.idwt2_large(made, ["region"], level, shape, undo))
+        assert all(np.allclose(back[k], wavelet.inverse2(wavelet.forward2(m, level), level, undo)) for k, m in mats.items())
+
+
+def test_guides_keep_equal_keys(spark):
+    from loadlens.functions import paths
+
+    path = "array<struct<module:string,off:long>>"
+    f = lambda *names: [(n, 1) for n in names]
+    keys = spark.createDataFrame([(1, f("leaf", "mid", "main"), f("main")), (1, f("leaf", "mid", "main"), f("main")), (2, [], f("main")), (3, None, None), (4, f("main"), f("x", "main")), (5, f("other"), f("main"))], f"id long, start {path}, end {path}")
+    guides = spark.createDataFrame([(f("mid", "main"), f("main")), (f("main"), f("x", "main"))], f"start {path}, end {path}")
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(paths.keep_guided(keys, guides, {"start": "start", "end": "end"})) == [1, 1, 4]
+    assert ids(paths.keep_guided(keys, guides.limit(1), {"start": "start"})) == [1, 1]
+    assert ids(paths.keep_guided(keys, spark.createDataFrame([([],)], f"guide {path}"), {"start": "guide"})) == [1, 1, 2, 4, 5]
+    assert ids(paths.keep_guided(keys, None)) == [1, 1, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("bits", [2, 5, 16])
+def test_nearest_symbol_over_ranges(spark, monkeypatch, bits):
+    from loadlens.functions import paths
+
+    monkeypatch.setattr(paths, "RANGE_BITS", bits)
+    table = [(m, a, f"{m}{a}") for m in "ab" for a in (3, 4, 40, 41, 200)]
+    asked = [(m, o) for m in "abc" for o in (0, 3, 39, 40, 100, 199, 200, 5000)]
+    found = paths.nearest_symbol(spark.createDataFrame(asked, "module string, off long"), spark.createDataFrame(table, "module string, addr long, symbol string")).collect()
+    want = {(m, o): max(((a, s) for n, a, s in table if n == m and a <= o), default=(None, None)) for m, o in asked}
+    assert {(r.module, r.off): (r.addr, r.symbol) for r in found} == want
+
+
+def test_numbers_without_gaps(spark):
+    from pyspark.sql import functions as F
+
+    from loadlens.operators.checkpoints import numbered
+
+    rows = spark.range(997).select((F.col("id") * 7919 % 997).alias("x"), F.concat(F.lit("k"), F.col("id") % 10).alias("y"))
+    found = numbered(rows.repartition(5), [F.desc("y"), "x"]).collect()
+    order = sorted(found, key=lambda r: (-int(r.y[1:]), r.x))
+    assert [r.id for r in order] == list(range(997))
+    assert numbered(rows.limit(0), ["x"]).count() == 0
+
+
+def test_log_of_zeros_and_refused_shapes(spark):
+    from loadlens.operators import effortlog
+
+    rows = spark.createDataFrame([("z", i, [0.0] * 8) for i in range(8)] + [("one", i, [float(i == 3)] * 8) for i in range(8)], "region string, rank long, vals array<double>")
+    for encoding in codec.ENCODERS:
+        made = effortlog.compress(rows, ["region"], (8, 8), scale=1024, blocks=2, encoding=encoding).cache()
+        back = {(r.region, r["rank"]): r.vals for r in effortlog.reconstruct(made, ["region"]).collect()}
+        assert all(np.allclose(back[r.region, r["rank"]], r.vals, atol=0.01) for r in rows.collect()) and len(back) == 16
+        assert {r.region: r.passes for r in made.collect()}["z"] == 0
+    with pytest.raises(ValueError, match="powers of two"):
+        effortlog.compress(rows, ["region"], (8, 6))
+    with pytest.raises(ValueError, match="powers of two"):
+        effortlog.compress(rows, ["region"], (8, 8), blocks=8)
+
+
+def test_summary_and_trace(spark, tmp_path):
+    from loadlens.operators import sampling
+    from loadlens.streaming import steps
+
+    long = spark.createDataFrame([("a", r, s, float(r * s % 7)) for r in range(8) for s in range(8)], "region string, rank long, step long, v double")
+    updated = sampling.updates(long, ["region"], 4).cache()
+    assert sorted((r.update, r["size"]) for r in updated.collect()) == [(1, 8), (2, 8)]
+    for _ in range(2):
+        sampling.write_summary(updated, 4, str(tmp_path / "s"))
+    assert spark.read.text(str(tmp_path / "s")).count() == 4
+    for n in (0, 1, 1):  # a batch that runs again replaces its own
+        steps.append_trace(long.where(f"step = {n}"), str(tmp_path / "t"), n)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 16
+
+
+def plain_sizes(q, level, passes):
+    """Bits of each pass by a walk cell by cell: values leave when they are found, a zerotree ends its branch below the low band."""
+    rows, cols = q.shape
+    low_r, low_c = rows >> level, cols >> level
+    lead = lambda v: 1 << (abs(int(v)).bit_length() - 1) if v else 0
+
+    def children(r, c):
+        if r < low_r and c < low_c:
+            return [(r, c + low_c), (r + low_r, c), (r + low_r, c + low_c)]
+        return [(2 * r + i, 2 * c + j) for i in (0, 1) for j in (0, 1)] if 2 * r < rows and 2 * c < cols else []
+
+    def tree(r, c):
+        out = lead(q[r, c])
+        for x, y in children(r, c):
+            out |= tree(x, y)
+        return out
+
+    trees = {(r, c): tree(r, c) for r in range(rows) for c in range(cols)}
+    t, found, out = lead(np.abs(q).max()), 0, []
+    while t and (not passes or len(out) < passes):
+        todo, visits = [(r, c) for r in range(low_r) for c in range(low_c)], 0
+        while todo:
+            r, c = todo.pop()
+            visits += 1
+            found += lead(q[r, c]) == t
+            if trees[r, c] & t or (r < low_r and c < low_c):
+                todo += children(r, c)
+        t >>= 1
+        out.append((2 * visits, found if t else 0))
+    return out
+
+
+@pytest.mark.parametrize(("rows", "cols", "level"), [(8, 8, 3), (16, 64, 3), (16, 4, 2), (4, 32, 1)])
+def test_visiting_order(rows, cols, level):
+    order, tree = codec.visit_order(rows, cols, level), codec.Tree(rows, cols, level)
+    assert [(int(a) // cols, int(a) % cols) for a in tree.at] == [(r, c) for r, c, _ in order]
+    assert [int(e) - i for i, e in enumerate(tree.end)] == [n for *_, n in order]
 
 
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(-2000, 2000), min_size=64, max_size=64), st.integers(0, 12))
 def test_bit_planes_equal_the_coder(values, passes):
     q = np.array(values).reshape(8, 8)
-    data, done = codec.ezw_encode(q, 3, passes)
+    data, sizes = codec.ezw_encode(q, 3, passes)
     top = 1 << (int(np.abs(q).max()).bit_length() - 1) if q.any() else 0
-    back = codec.ezw_decode(data, 8, 8, 3, top, done)
+    back, used = codec.ezw_decode(data, 8, 8, 3, top, passes)
+    assert used == len(data) == -(-sum(map(sum, sizes)) // 8)
+    assert sizes == plain_sizes(q, 3, passes)
     if passes == 0 or top >> (passes - 1) == 0:
         assert (back == q).all()
     else:
@@ -55,10 +181,14 @@ def test_bit_planes_equal_the_coder(values, passes):
 def test_byte_codecs(data, run):
     data += b"\0" * (run if run % 5 == 0 else run % 9)
     assert codec.rle_decode(codec.rle_encode(data)) == data
-    assert codec.rle_decode(codec.rle_merge([codec.rle_encode(data[:50]), codec.rle_encode(data[50:])])) == data
-    if data:
-        assert codec.huffman_decode(codec.huffman_encode(data)) == data
+    parts = [codec.rle_encode(data[:50]), b"", codec.rle_encode(data[50:])]
+    assert codec.rle_merge(parts) == codec.rle_encode(data)
+    assert codec.rle_histogram(parts) == dict(Counter(data))
+    assert codec.huffman_decode(codec.huffman_encode(data), len(data)) == data
     assert codec.arithmetic_decode(codec.arithmetic_encode(data[:300])) == data[:300]
+    frames = codec.framed_encode(data[:300], 64)
+    assert codec.framed_decode(frames) == data[:300]
+    assert data[:300].startswith(codec.framed_decode(frames, len(frames) // 2))
 
 
 @pytest.mark.parametrize("encoding", ["rle", "huffman", "arithmetic"])
@@ -66,7 +196,10 @@ def test_payload(encoding):
     q = (np.arange(256).reshape(16, 16) * 37 % 101 - 50) * (np.arange(256).reshape(16, 16) % 3 == 0)
     data, size = codec.encode_payload(q, 2, 0, encoding)
     assert size["enc_size"] == len(data)
-    assert (codec.decode_payload(data, 16, 16, 2, 32, size["passes"], encoding) == q).all()
+    assert (codec.decode_payload(data, 16, 16, 2, 32, 0, size["rle_size"], encoding)[0] == q).all()
+    halves = [codec.encode_block(x, 2, 32) for x in (q[:8], q[8:])]
+    both, rle_size = codec.finish([x[0] for x in halves], encoding)
+    assert (np.concatenate(codec.decode_payload(both, 16, 16, 2, 32, 0, rle_size, encoding, blocks=2)) == q).all()
     with pytest.raises(ValueError):
         codec.encode_payload(q, 2, 0, "none")
     with pytest.raises(ValueError):
