@@ -10,8 +10,8 @@ sampling (Rosen 1997). The first ones are taken until their words reach the rest
 target, so the sample's size in words is fixed, not only its expectation.
 
 The cut in a source's order is found without sorting the source in one task:
-ranks fall into SLICES equal slices of q / (1 + q), words are added up by slice, and only
-the one slice that the cut falls into is ordered document by document.
+within a source the order is that of the draws, so documents fall into SLICES even slices of them, words are added up by slice, and only
+the one slice that the cut falls into is ordered document by document, rows that repeat a document being added up before.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loadlens.llm.common import broadcast_if_small, cut, hash01, table, words
+from loadlens.llm.common import broadcast_if_small, cut, hash01, ranged, table, words
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -32,26 +32,36 @@ def targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size, target) from sizes(source, source_size), a row a source.
 
     The water level is the same for all sources below their cap: capped ones
-    come first by cap over weight, and one window finds how many there are.
+    come first by cap over weight, and running sums find how many there are. Both orders
+    are dealt by range, so that no task needs all sources.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    place = (F.row_number().over(order) - 1) % len(WEIGHTS)
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (place + 1).cast("int"))
-    given = sizes.withColumn("weight", weight).withColumn("cap", CAP * F.col("source_size"))
-    fill = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    whole = Window.partitionBy()
-    given = given.withColumns(
-        {
-            "total": F.lit(SHARE_PERCENT) * F.sum("source_size").over(whole) / F.lit(100.0),
-            "caps": F.sum("cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)),
-            "weights": F.sum("weight").over(fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
-        }
-    )
+    order = [F.col("source").asc_nulls_last()]
+    given = ranged(sizes, order)
+    start, of = _starts(given, n=F.count("*")), Window.partitionBy("_range")
+    place = F.col("before_n") + F.row_number().over(of.orderBy(*order)) - 1
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (place % len(WEIGHTS) + 1).cast("int"))
+    given = given.join(F.broadcast(start), "_range").withColumn("weight", weight).withColumn("cap", CAP * F.col("source_size")).drop("_range", "before_n", "all_n")
+    fill = [F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()]
+    given = ranged(given, fill)
+    start = _starts(given, caps=F.sum("cap"), weights=F.sum("weight"))
+    given = given.join(F.broadcast(start), "_range")
+    earlier = of.orderBy(*fill).rowsBetween(Window.unboundedPreceding, -1)
+    caps, weights = (F.col(f"before_{c}") + F.coalesce(F.sum(x).over(earlier), F.lit(0)) for c, x in (("caps", "cap"), ("weights", "weight")))
+    total = F.lit(SHARE_PERCENT) * (F.col("all_caps") / CAP) / F.lit(100.0)
     # The level if all sources before this one are capped; the first that it does not fill is the last to ask.
-    given = given.withColumn("level", (F.col("total") - F.coalesce("caps", F.lit(0))) / F.col("weights"))
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source"), F.col("level").alias("level")))).over(whole)
-    target = F.least(F.col("cap").cast("double"), F.col("weight") * F.coalesce(level["level"], F.lit(float("inf"))))
-    return given.select("source", "source_size", target.alias("target"))
+    given = given.withColumn("level", (total - caps) / (F.col("all_weights") - weights))
+    asks = given.where(F.col("level") * F.col("weight") <= F.col("cap"))
+    level = asks.agg(F.min(F.struct(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source"), F.col("level").alias("level")))["level"].alias("water"))
+    target = F.least(F.col("cap").cast("double"), F.col("weight") * F.coalesce("water", F.lit(float("inf"))))
+    return given.crossJoin(F.broadcast(level)).select("source", "source_size", target.alias("target"))  # a row
+
+
+def _starts(rows: DataFrame, **sums) -> DataFrame:
+    """(_range, before_x, all_x) for each sum x: a row a range."""
+    by_range = rows.groupBy("_range").agg(*[c.alias(x) for x, c in sums.items()])
+    all_ = Window.partitionBy(F.lit(0))
+    upto = all_.orderBy("_range")
+    return by_range.select("_range", *[(F.sum(x).over(upto) - F.col(x)).alias(f"before_{x}") for x in sums], *[F.sum(x).over(all_).alias(f"all_{x}") for x in sums])
 
 
 def _drawn(docs: DataFrame) -> list:
@@ -65,7 +75,7 @@ def _ranked(rows: DataFrame, plan: DataFrame) -> DataFrame:
     q = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     x = F.when(F.col("p") > 0, q / (1 + q)).otherwise(F.lit(1.0))
     joined = rows.join(broadcast_if_small(plan.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")))
-    joined = joined.withColumn("x", x).withColumn("slice", F.least(F.floor(F.col("x") * SLICES), F.lit(SLICES - 1)).cast("int"))
+    joined = joined.withColumn("x", x).withColumn("slice", F.floor(F.col("u") * SLICES).cast("int"))
     return joined.withColumn("place", F.struct("x", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "size"))
 
 
@@ -81,7 +91,8 @@ def mix_plan(sized: DataFrame) -> DataFrame:
     crossed = sums.where("before < rest and before + words >= rest").select(F.col("source").alias("of"), F.col("slice").alias("at"), "before")
     plan = cut(plan.join(crossed, F.col("source").eqNullSafe(F.col("of")), "left").drop("of"))
     order = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    inside = _ranked(sized, plan).where("p > 0 and slice = at").withColumn("running", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    inside = _ranked(sized, plan).where("p > 0 and slice = at").groupBy("source", "place").agg(F.sum("size").alias("size"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    inside = inside.withColumn("running", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     last = inside.where("running + size / 2.0 <= rest").groupBy("source").agg(F.max("place").alias("last")).withColumnRenamed("source", "of")
     return cut(plan.join(last, F.col("source").eqNullSafe(F.col("of")), "left").drop("of", "before"))
 
