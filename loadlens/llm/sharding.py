@@ -71,7 +71,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, tree: Tree | None = None, gro
 
     Size is the text's UTF-8 bytes plus 1, a null text has size 1 and the sum
     of the empty one. The law is key: doc_id and the tree alone decide, so rows
-    that repeat an id share a shard. Slots follow the id's hash, then the id;
+    that repeat an id share a shard. Slots follow a hash of id and text, then the id;
     repeated rows get different slots in any order. Own columns that clash with
     new ones give way to them.
     """
@@ -88,12 +88,12 @@ def sharded(docs: DataFrame, shards: int = SHARDS, tree: Tree | None = None, gro
         F.lit("key").alias("law"),
         _descend(key, tree).alias("shard"),
         _descend(key, grown).alias("grown_shard"),
-        F.floor(hash01(F.lit("slot"), key) * CELLS).cast("int").alias("_cell"),
+        F.floor(hash01(F.lit("slot"), key, F.crc32(text).cast("string")) * CELLS).cast("int").alias("_cell"),  # rows of one id are dealt by text
     )
     counts = rows.groupBy("shard", "_cell").agg(F.count("*").alias("n"))  # at most shards x CELLS rows
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("_cell")) - F.col("n")
     starts = cut(counts.select("shard", "_cell", before.alias("_start")))
-    within = F.row_number().over(Window.partitionBy("shard", "_cell").orderBy("_id"))
+    within = F.row_number().over(Window.partitionBy("shard", "_cell").orderBy("_id", "text_crc32"))
     numbered = rows.join(broadcast_if_small(starts), ["shard", "_cell"]).withColumn("slot", F.col("_start") + within - 1)
     return numbered.select("row.*", *new)
 
@@ -139,10 +139,10 @@ d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coal
 h AS (SELECT r, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda b: CAST('0x' || b AS BIGINT))),
    lambda x, y: xor(x >> 8, t[CAST((xor(x, y) & 255) + 1 AS BIGINT)])) AS x FROM d, crc),
 o AS (SELECT d.*, octet_length(encode(text)) + 1 AS size, xor(x, 4294967295) AS text_crc32, a3.s AS shard, b3.s AS grown_shard,
-   CAST(floor((CAST('0x' || substr(md5('slot:' || k), 1, 13) AS BIGINT) + 0.5) / CAST({2**52} AS DOUBLE) * {CELLS}) AS INTEGER) AS cell
+   CAST(floor((CAST('0x' || substr(md5('slot:' || k || ':' || CAST(xor(x, 4294967295) AS VARCHAR)), 1, 13) AS BIGINT) + 0.5) / CAST({2**52} AS DOUBLE) * {CELLS}) AS INTEGER) AS cell
    FROM d JOIN a3 USING (r) JOIN b3 USING (r) JOIN h USING (r))
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard,
-   row_number() OVER (PARTITION BY shard ORDER BY cell, doc_id NULLS FIRST) - 1 AS slot, grown_shard{also} FROM o"""
+   row_number() OVER (PARTITION BY shard ORDER BY cell, doc_id NULLS FIRST, text_crc32) - 1 AS slot, grown_shard{also} FROM o"""
 
 
 ORACLE_SQL = oracle()
