@@ -2,7 +2,7 @@
 
 Candidates are runs of MIN_LENGTH and more key characters with a digit or mixed
 case, values of MIN_ASSIGNED and more printable characters that a secret-like name is
-given by = or :, and passwords in URLs. Each is described by its length, its
+given by = or :, passwords in URLs, and the bodies of PEM blocks, line ends included. Each is described by its length, its
 transitions between classes of characters, the share that dictionary words
 cover, the path or address that it stands in and the words beside it. The forest is trained on labelled findings. There are
 none among the tables, so they are drawn here from stated formats, ROWS of
@@ -54,11 +54,12 @@ VALUE = r"""(?:"[^"\r\n]{%d,512}"|'[^'\r\n]{%d,512}'|`[^`\r\n]{%d,512}`|[^ \t\r\
 IN_URL = r"""://[^ \t\r\n/:@"'`]{0,128}:[^ \t\r\n/"'`]{1,256}@"""
 ASSIGNED = re.compile(f"{NAME}(?=({VALUE}))", re.ASCII)  # looks ahead: a value may hold a name itself
 URL = re.compile(IN_URL)
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]{1,64}-----\s([A-Za-z0-9+/=\s]{%d,16384}?)\s?-----END" % MIN_LENGTH)
 ANY = "[A-Za-z0-9_+/=.-]{%d,}|%s%s|%s" % (MIN_LENGTH, NAME, VALUE, IN_URL)  # of Java and Python alike
 _WORDS = re.compile("|".join(w for w in DICTIONARY if len(w) >= 3))
 _USER = re.compile(r"://[^\s/:@]*:$")
 _NEAR = re.compile(r"[A-Za-z][A-Za-z0-9_]*")
-FEATURES = ["length", "transitions", "digits", "uppers", "hex_only", "entropy", "coverage", "vowels", "longest_letters", "placeholder", "slashes", "dots", "dashes", "in_path", "secret_near", "secret_distance", "benign_near", "assigned", "quoted", "symbols", "spaces", "url_password"]
+FEATURES = ["length", "transitions", "digits", "uppers", "hex_only", "entropy", "coverage", "vowels", "longest_letters", "placeholder", "slashes", "dots", "dashes", "in_path", "secret_near", "secret_distance", "benign_near", "assigned", "quoted", "symbols", "spaces", "url_password", "private_block"]
 
 
 def _class(c: str) -> str:
@@ -100,6 +101,7 @@ def features(value: str, left: str, right: str) -> list[float]:
         sum(c in string.punctuation and c not in "_+/=.-" for c in value) / n,
         float(value.count(" ")),
         float(bool(_USER.search(left)) and right.startswith("@")),
+        float(left.rstrip().endswith("PRIVATE KEY-----")),
     ]
 
 
@@ -142,7 +144,11 @@ def labelled_findings(rows: int = ROWS, seed: int = SEED) -> Iterator[tuple[str,
         lambda: f"{letters()}/{letters()}/{letters()}.{r.choice(['pem', 'txt', 'json'])}",
     ]
     for k in range(rows):
-        if r.random() < 0.4:
+        if r.random() < 0.04:
+            body = "\n".join(some(base, 64) for _ in range(r.randint(1, 24))) + "\n" + some(base, r.randint(4, 60)) + r.choice(["", "=", "=="])
+            kind = r.choice(["RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY", "ENCRYPTED PRIVATE KEY"] if k % 2 == 0 else ["CERTIFICATE", "PUBLIC KEY", "RSA PUBLIC KEY", "CERTIFICATE REQUEST", "PGP SIGNATURE"])
+            yield f"{prose()} -----BEGIN {kind}-----\n", body, f"\n-----END {kind}-----", int(k % 2 == 0)
+        elif r.random() < 0.4:
             value = r.choice(passwords if k % 2 == 0 else others)()
             value += (some(alnum, MIN_ASSIGNED) if k % 2 == 0 else letters() * MIN_ASSIGNED)[: max(0, MIN_ASSIGNED - len(value))]
             if r.random() < 0.2:
@@ -215,10 +221,13 @@ def _runs(text: str) -> Iterator[tuple[int, str]]:
 
 
 def candidates_of(text: str) -> Iterator[tuple[int, str, str, str]]:
-    """(start, value, left, right) of every candidate, each once; a run and the same value with = or . at its end are one."""
-    runs = dict(_runs(text))
-    named = {(start, value) for start, value in _named(text) if runs.get(start) != value.rstrip(".=-/")}
-    for start, value in sorted({*runs.items(), *named}):
+    """(start, value, left, right) of every candidate, each once; a run and the same value with = or . at its end are one,
+    and so are a PEM block's body and what lies in it."""
+    blocks = [(m.start(1), m.group(1)) for m in PEM.finditer(text)] if "-----BEGIN " in text else []
+    outside = lambda at: not any(a <= at < a + len(v) for a, v in blocks)
+    runs = {start: value for start, value in _runs(text) if outside(start)}
+    named = {(start, value) for start, value in _named(text) if outside(start) and runs.get(start) != value.rstrip(".=-/")}
+    for start, value in sorted({*runs.items(), *named, *blocks}):
         yield start, value, text[max(0, start - CONTEXT) : start], text[start + len(value) : start + len(value) + CONTEXT]
 
 
@@ -235,7 +244,7 @@ def _found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def scan(docs: DataFrame, model: PipelineModel, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, start, length, value, probability, is_secret): every candidate of docs(doc_id, text).
+    """(doc_id, start, length, value, probability, is_secret): every candidate of docs(doc_id, text), a secret from the threshold on.
 
     start counts code points. Null and empty texts have no candidates; a null
     doc_id stays null; repeated rows are scanned each. Only texts with a long
