@@ -52,6 +52,17 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="loadlens-")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def ranged(df: DataFrame, by: list) -> DataFrame:
+    """df dealt by range, with the number of each row's range: fixed by a checkpoint, so that later passes agree."""
+    return cut(df.repartitionByRange(*by)).withColumn("_range", F.spark_partition_id())
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, which outlives lost executors."""
     context = df.sparkSession.sparkContext

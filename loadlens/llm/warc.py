@@ -28,7 +28,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadlens.llm.common import broadcast_if_small, cut, shared_folder, table
+from loadlens.llm.common import broadcast_if_small, cut, remove, shared_folder, table
 
 SEGMENT = 16_384  # bytes of a block
 CHUNK = 4_096  # bytes of a transfer chunk
@@ -236,15 +236,17 @@ def resolved(found: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of archives written and read back.
 
-    The archives lie in the folder of spark.checkpoint.dir. A null html is an
+    The archives lie in the folder of spark.checkpoint.dir while they are needed. A null html is an
     empty payload; rows without a page_id keep null; rows that repeat the
-    least page_id of a payload are all responses.
+    least page_id of a payload are all responses. Other columns are left out.
     """
     spark = pages.sparkSession
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path)
     found = reassembled(read_archives(spark, path, False), read_archives(spark, path, True))
-    return resolved(cut(found.drop("payload", "url", "digest")))
+    found = cut(found.drop("payload", "url", "digest"))
+    remove(spark, path)
+    return resolved(found)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

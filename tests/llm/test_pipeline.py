@@ -20,3 +20,20 @@ def test_stages(spark, sf_dir):
     whole = corpus_pipeline.run(spark, sf_dir)
     key = lambda rows: sorted((r.doc_id, r.shard, r.slot) for r in rows)
     assert key(whole.collect()) == key(docs.collect())
+
+
+def test_odd_rows(spark, sf_dir, tmp_path):
+    """Nulls, repeated rows and an empty table go through all stages."""
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    some = docs.where("doc_id < 60")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", None, 0), (10**6, " \n", None, "s", 3), (10**6 + 1, "one two", "en", "s", None)], docs.schema)
+    some.union(some.where("doc_id % 3 = 0")).union(odd).write.parquet(str(tmp_path / "documents.parquet"))
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    rows = found.collect()
+    assert rows and {r.doc_id for r in rows} <= {r.doc_id for r in some.collect()}
+    for shard in {r.shard for r in rows}:
+        own = sorted(r.slot for r in rows if r.shard == shard)
+        assert own == list(range(len(own)))
+    docs.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -236,6 +236,31 @@ def test_short_and_odd_secrets(spark):
     assert all(rows[r.doc_id][1][r.start :].startswith(r.value) for r in found)
 
 
+def test_secrets_of_the_documents(spark):
+    """Recall on what stands in the tables, the candidates by a plain scan, and nothing but assigned tokens found."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = {(r.doc_id, m.start(1), m.group(1)) for r in docs.collect() for m in re.finditer(r"(?:token|secret|key|password) ?[=:] ?[\"']([0-9A-Za-z]{20,64})[\"']", r.text or "")}
+    found = secrets.scan(docs, secrets.trained(spark, list(secrets.labelled_findings()))).collect()
+    secret = {(r.doc_id, r.start, r.value) for r in found if r.is_secret}
+    assert planted and len(planted & secret) >= 0.9 * len(planted)
+    runs = {(r.doc_id, m.start()) for r in docs.collect() for m in re.finditer(r"(?<![A-Za-z0-9])[0-9a-f]{32,}(?![A-Za-z0-9_+/=.-])", r.text or "") if re.search("[0-9]", m.group())}
+    assert runs <= {(r.doc_id, r.start) for r in found}
+
+
+def test_secrets_of_odd_rows(spark):
+    model = secrets.trained(spark, list(secrets.labelled_findings()))
+    body = "\n".join("MIIEvQIBADANBgkqhkiG9w0BAQEFAASCBKcwggSjAgEAAoIBAQC7VJTUt9Us8cKj" for _ in range(5))
+    block = lambda kind: f"see\n-----BEGIN {kind}-----\n{body}\n-----END {kind}-----\nend"
+    long = "word " * 200_000 + 'password = "hunter2Zx9"'
+    rows = [(1, block("RSA PRIVATE KEY"), "x"), (2, block("CERTIFICATE"), "x"), (3, long, "x"), (3, long, "x"), (None, None, None), (4, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, value string")
+    found = secrets.scan(docs, model).collect()
+    assert sorted((r.doc_id, r.start, r.value, r.is_secret) for r in found) == [(1, 36, body, True), (2, 32, body, False)] + [(3, 1_000_012, "hunter2Zx9", True)] * 2
+    assert secrets.scan(docs.limit(0), model).count() == 0
+    edge = found[0].probability
+    assert [r.is_secret for r in secrets.scan(docs.where("doc_id = 1"), model, edge).collect()] == [True]  # a tie is a secret
+
+
 # ---- leaks ----
 
 def test_leaks(spark):
@@ -472,8 +497,26 @@ def test_mix(spark):
     assert mixing.draw(docs.limit(0)).count() == 0
 
 
+def test_mix_of_repeated_ids_and_many_sources(spark):
+    rows = [(None, words(5 + k % 3, k), f"s{k % 40}") for k in range(400)] + [(7, words(9, 1), "s1")] * 30
+    docs = spark.createDataFrame([(i, t, s, "a", 1, 2) for i, t, s in rows], "doc_id long, text string, source string, size string, target long, taken long")
+    found = mixing.mixed(docs).collect()
+    assert len(found) == len(rows)
+    assert all(r.taken in (0, r["size"], 2 * r["size"]) for r in found)
+    assert mixing.mixed(docs).columns == ["doc_id", "text", "source", "size", "source_size", "target", "copies", "taken"]
+    assert sorted(map(repr, mixing.mixed(docs.repartition(5)).collect())) == sorted(map(repr, found))
+
+
 # ---- shards ----
 
+def test_shards_of_one_id_and_clashing_names(spark):
+    rows = [(None, words(3, k), k, 0, "x") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, size int, slot int, shard string")
+    found = sharding.sharded(docs).collect()
+    assert len({r.shard for r in found}) == 1 and sorted(r.slot for r in found) == list(range(200))
+    assert len({int(r["size"]) for r in found}) > 1 and found[0].__fields__[0] == "doc_id"
+
+
 def test_shards(spark):
     rows = [(k, words(k % 9, k), "a") for k in range(3000)] + ODD
     found = sharding.sharded(docs_of(spark, rows)).collect()
