@@ -7,13 +7,12 @@ so that a lost executor costs a stage at most.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from loadlens.llm import decontaminate, mixing, neardup, quality, sharding
-from loadlens.llm.common import table
+from loadlens.llm.common import remove, shared_folder, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,13 +50,18 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; the shared folder of spark.checkpoint.dir holds what they write."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loadlens-pipeline-")
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; the shared folder of spark.checkpoint.dir holds what they write.
+
+    What a stage wrote is deleted when the next one's rows are written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
 
 
