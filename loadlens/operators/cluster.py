@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import math
 import random
+import sys
 
 import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadlens.functions.scalars import euclidean, manhattan
+from loadlens.functions.scalars import euclidean
 
 BLOCK = 250  # points of a block of pairs
 MOST_POINTS = 5_000  # of a distance matrix that is brought to the driver
@@ -29,11 +32,20 @@ def pair_distances(points: DataFrame, how: list[str]) -> DataFrame:
     if n > MOST_POINTS:
         raise ValueError(f"more than {MOST_POINTS} points: use clara()")
     blocks = max(1, math.ceil(n / BLOCK))
-    every, own = F.sequence(F.lit(0), F.lit(blocks - 1)), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    a = points.select(own.alias("i"), F.explode(every).alias("j"), F.col("id").alias("a"), F.col("vals").alias("x"))
-    b = points.select(F.explode(every).alias("i"), own.alias("j"), F.col("id").alias("b"), F.col("vals").alias("y"))
-    distance = {"euclidean": euclidean, "manhattan": manhattan}
-    return a.join(b, ["i", "j"]).where("a < b").select("a", "b", *[distance[h]("x", "y").alias(h) for h in how])
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    places = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+    dealt = points.select("id", "vals", own.alias("own"), F.explode(places).alias("p")).select("id", "vals", "own", "p.i", "p.j")
+    measure = {"euclidean": lambda x: np.sqrt((x * x).sum(-1)), "manhattan": lambda x: np.abs(x).sum(-1)}
+
+    def pairs(block: pd.DataFrame) -> pd.DataFrame:
+        first, second = (block[block["own"] == block[c].iloc[0]] for c in ("i", "j"))
+        ids, others = first["id"].to_numpy(), second["id"].to_numpy()
+        same = block["i"].iloc[0] == block["j"].iloc[0]
+        at, to = np.nonzero(np.less.outer(ids, others) if same else np.not_equal.outer(ids, others))
+        off = np.stack(first["vals"].to_list())[at] - np.stack(second["vals"].to_list())[to] if len(at) else np.empty((0, 1))
+        return pd.DataFrame({"a": np.minimum(ids[at], others[to]), "b": np.maximum(ids[at], others[to]), **{h: measure[h](off) for h in how}})
+
+    return dealt.groupBy("i", "j").applyInPandas(pairs, "a long, b long, " + ", ".join(f"{h} double" for h in how))
 
 
 def matrix_of(points: DataFrame, how: str = "euclidean") -> tuple[list, np.ndarray]:
@@ -179,3 +191,5 @@ def expand(clusters: DataFrame, levels: int) -> DataFrame:
 
 def seeded(seed: int) -> random.Random:
     return random.Random(seed)
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
