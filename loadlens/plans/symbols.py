@@ -251,6 +251,46 @@ def _(spark, d):
     return back.select("path_id", F.posexplode("path").alias("depth", "f")).select("path_id", "depth", "f.module", "f.off")
 
 
+KEY_SIDES = "SELECT path_id, 'time' AS metric, CAST(path_id % 3 AS INTEGER) AS kind, {} AS side, CAST(depth AS INTEGER) AS depth, module, off FROM frame"
+
+
+@query("s09_key_bytes", f"WITH {PATHS} {KEY_SIDES.format("'start'")} UNION ALL {KEY_SIDES.format("'end'")} WHERE path_id % 2 = 0")
+def _(spark, d):
+    """Whole keys through their bytes; every other one has no end path."""
+    end = F.when(F.col("path_id") % 2 == 0, F.col("path"))
+    coded = X.paths(spark, d).select("path_id", binary.key_bytes(F.lit("time"), (F.col("path_id") % 3).cast("int"), F.col("path"), end).alias("b"))
+    key = coded.select("path_id", binary.key_from_bytes(F.col("b")).alias("k")).select("path_id", "k.*")
+    sides = key.select("path_id", "metric", "kind", F.explode(F.create_map(F.lit("start"), "start", F.lit("end"), "end")).alias("side", "path"))
+    return sides.select("path_id", "metric", "kind", "side", F.posexplode("path").alias("depth", "f")).select("path_id", "metric", "kind", "side", "depth", "f.module", "f.off")
+
+
+#: Header fields by key of an order; written for both dialects.
+HEADER_FIELDS = {
+    "rows": "o_custkey",
+    "cols": "o_orderkey",
+    "level": "o_orderkey % 12",
+    "mean": "o_custkey - o_orderkey * 1000",
+    "scale": "1024",
+    "threshold": "CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE shiftleft(CAST(1 AS BIGINT), CAST(o_orderkey % 40 AS INTEGER)) END",
+    "encoding": "o_orderkey % 4",
+    "blocks": "1 + o_custkey % 200",
+    "passes": "o_orderkey % 61",
+    "ezw_size": "o_orderkey * 3",
+    "rle_size": "o_orderkey * 2",
+    "enc_size": "o_orderkey",
+}
+HEADER_SQL = ", ".join(f"CAST({v.replace('shiftleft(CAST(1 AS BIGINT), CAST(o_orderkey % 40 AS INTEGER))', 'CAST(1 AS BIGINT) << (o_orderkey % 40)')} AS BIGINT) AS {k}" for k, v in HEADER_FIELDS.items())
+VARINT_SIZE = " + ".join(f"greatest(1, (length(bin({k})) + 6) // 7)" for k in HEADER_FIELDS if k not in ("mean", "threshold", "encoding"))
+
+
+@query("s11_header_bytes", f"WITH h AS (SELECT o_orderkey, {HEADER_SQL} FROM orders) SELECT *, CAST({VARINT_SIZE} + 10 AS INTEGER) AS n_bytes FROM h")
+def _(spark, d):
+    """Headers through their bytes, and how many there are: varints by their bits, 10 bytes for mean, threshold and encoding."""
+    header = F.struct(*[F.expr(v).cast("long").alias(k) for k, v in HEADER_FIELDS.items()])
+    coded = X.table(spark, d, "orders").select("o_orderkey", binary.header_bytes(header).alias("b"))
+    return coded.select("o_orderkey", binary.header_from_bytes(F.col("b")).alias("h"), F.octet_length("b").alias("n_bytes")).select("o_orderkey", "h.*", "n_bytes")
+
+
 @query("s14_symbol_scan", f"WITH {SYM} SELECT module, off, file, line, symbol FROM symtab UNION ALL SELECT target, NULL, NULL, NULL, alias FROM alias")
 def _(spark, d):
     lines = X.symbols(spark, d).select(symtab.symbol_line(*[F.col(c) for c in ("file", "line", "symbol", "module", "off")]).alias("value"))
@@ -337,6 +377,24 @@ def _(spark, d):
     return steps.run_to_table(steps.step_totals(stream), name, scratch(spark))
 
 
+TRACE_SQL = "SELECT '{}' AS listener, CAST(event_id % 3 AS INTEGER) AS batch, '    [' || event_type || ' ' || CAST(user_id % 16 AS VARCHAR) || ']' || CAST(event_id AS VARCHAR) AS value FROM events"
+
+
+@query("x05_s17_trace_listeners", f"{TRACE_SQL.format('trace')} UNION ALL {TRACE_SQL.format('second')} WHERE event_id % 3 = 1")
+def _(spark, d):
+    """Events arrive in three batches; one listener traces each of them, another every second one."""
+    events, folder, checkpoint = X.table(spark, d, "events"), scratch(spark), scratch(spark)
+    traces = {"trace": 1, "second": 2}
+    paths = {name: scratch(spark) for name in traces}
+    listeners = {name: (every, lambda batch, number, to=paths[name]: steps.append_trace(batch, to, number)) for name, every in traces.items()}
+    for part in range(3):
+        events.where(F.col("event_id") % 3 == part).write.mode("append").parquet(folder)
+        facts = spark.readStream.schema(events.schema).parquet(folder).select(F.col("event_type").alias("region"), F.expr("user_id % 16").alias("rank"), F.col("event_id").alias("v"))
+        steps.with_listeners(facts, listeners, checkpoint, "append").trigger(availableNow=True).start().awaitTermination()
+    read = [spark.read.parquet(path).select(F.lit(name).alias("listener"), F.col("batch").cast("int").alias("batch"), "value") for name, path in paths.items()]
+    return read[0].unionByName(read[1])
+
+
 def events_folder(spark, d, schema) -> str:
     """A folder of events alone, for the file stream."""
     path = scratch(spark)

@@ -107,4 +107,54 @@ def path_from_bytes(data: Column) -> Column:
     return run(data)
 
 
+PATH_TYPE = "array<struct<module string, off long>>"
+
+
+def key_bytes(metric: Column, kind: Column, start: Column, end: Column) -> Column:
+    """A key's bytes; a null path is one without frames."""
+
+    def frames(p):
+        return None if p is None else [(f["module"], f["off"]) for f in p]
+
+    @F.pandas_udf("binary")
+    def run(metrics: pd.Series, kinds: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([put_key(m, int(k), frames(a), frames(b)) for m, k, a, b in zip(metrics, kinds, starts, ends)])
+
+    return run(metric, kind, start, end)
+
+
+def key_from_bytes(data: Column) -> Column:
+    """Struct (metric, kind, start, end) of a key's bytes."""
+
+    def frames(p):
+        return None if p is None else [{"module": m, "off": o} for m, o in p]
+
+    @F.pandas_udf(f"struct<metric string, kind int, start {PATH_TYPE}, end {PATH_TYPE}>")
+    def run(rows: pd.Series) -> pd.DataFrame:
+        keys = [get_key(Reader(x)) for x in rows]
+        return pd.DataFrame([(m, k, frames(a), frames(b)) for m, k, a, b in keys], columns=["metric", "kind", "start", "end"])
+
+    return run(data)
+
+
+def header_bytes(header: Column) -> Column:
+    """The bytes of a struct of HEADER's fields."""
+
+    @F.pandas_udf("binary")
+    def run(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([put_header(h) for h in rows.to_dict("records")])
+
+    return run(header)
+
+
+def header_from_bytes(data: Column) -> Column:
+    """Struct of HEADER's fields, all long."""
+
+    @F.pandas_udf(f"struct<{', '.join(f'{h} long' for h in HEADER)}>")
+    def run(rows: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([get_header(Reader(x)) for x in rows], columns=list(HEADER))
+
+    return run(data)
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
