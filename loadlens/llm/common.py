@@ -71,10 +71,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_BYTES = 32 << 20
+
+
+def _bytes(df: DataFrame) -> Column:
+    """Bytes of a row: texts by their length, all else that varies by its JSON text, eight for the rest."""
+    fixed, texts = F.lit(8 * len(df.columns)), [F.octet_length(c) for c, t in df.dtypes if t in ("string", "binary")]
+    nested = [F.octet_length(F.to_json(F.struct(c))) for c, t in df.dtypes if t.startswith(("array", "struct", "map"))]
+    return sum((F.coalesce(n, F.lit(0)) for n in texts + nested), fixed)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 20_000) -> DataFrame:
-    """A hint to broadcast a table cut() before, if it is counted to be small.
+    """A hint to broadcast a table cut() before, if its rows and their bytes are counted to be few.
 
-    Beyond that many rows the join is left to the planner, which shuffles both
+    Beyond that many rows, or BROADCAST_BYTES, the join is left to the planner, which shuffles both
     sides and splits skewed partitions.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    found, size = df.agg(F.count("*"), F.sum(_bytes(df).cast("long"))).first()
+    return F.broadcast(df) if found <= rows and (size or 0) <= BROADCAST_BYTES else df

@@ -9,7 +9,7 @@ from collections import Counter
 
 import pytest
 
-from loadlens.llm import decontaminate, linededup, lmscore, mixing, quality, secrets, sharding, tokencount, warc
+from loadlens.llm import common, decontaminate, linededup, lmscore, mixing, quality, secrets, sharding, tokencount, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_words string, row string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -541,3 +541,22 @@ def test_movement_stays_in_subtrees_that_change(spark):
     both = sharding.placed(sharding.placed(docs, before, "a"), after, "b").collect()
     heavier = {(0, 3), (0, 4), (0, 5), (1, 3), (1, 4), (1, 5), (2, 3), (2, 4), (2, 5), (3, 4), (3, 5), (4, 5)}
     assert {(r.a, r.b) for r in both if r.a != r.b} <= heavier  # nothing moves within r0, or out of r1 or k3
+
+
+# ---- broadcasts ----
+
+def test_broadcasts_are_bound_by_bytes(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "x" * 60, [1, 2]), (2, None, None), (None, "é" * 20, [])], "a long, b string, c array<long>")
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(common.broadcast_if_small(rows)) and hinted(common.broadcast_if_small(rows.limit(0)))
+    assert not hinted(common.broadcast_if_small(rows, 2))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 100)
+    assert not hinted(common.broadcast_if_small(rows)) and hinted(common.broadcast_if_small(rows.select("a")))
+
+
+def test_results_do_not_depend_on_broadcasts(spark, sf_dir, monkeypatch):
+    """What is beyond the bound is joined by a shuffle, with the same rows."""
+    queries = quality.query, mixing.query, sharding.query, decontaminate.query
+    before = [sorted(map(repr, q(spark, sf_dir).collect())) for q in queries]
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert before == [sorted(map(repr, q(spark, sf_dir).collect())) for q in queries]
