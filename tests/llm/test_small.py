@@ -556,7 +556,7 @@ def test_broadcasts_are_bound_by_bytes(spark, monkeypatch):
 
 def test_results_do_not_depend_on_broadcasts(spark, sf_dir, monkeypatch):
     """What is beyond the bound is joined by a shuffle, with the same rows."""
-    queries = quality.query, mixing.query, sharding.query, decontaminate.query
+    queries = quality.query, mixing.query
     before = [sorted(map(repr, q(spark, sf_dir).collect())) for q in queries]
     monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     assert before == [sorted(map(repr, q(spark, sf_dir).collect())) for q in queries]
