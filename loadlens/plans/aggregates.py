@@ -11,6 +11,7 @@ from loadlens.operators import sampling, stats
 from loadlens.operators.checkpoints import numbered
 from loadlens.plans.catalog import query, r6, sql_r6
 from loadlens.sources import fixtures as X
+from loadlens.sources.regiondb import RegionDB
 
 E, P, SHIP, SIG = X.EFFORT_SQL, X.PATHS_SQL, X.SHIPMENTS_SQL, X.SIGNALS_SQL
 
@@ -320,11 +321,8 @@ MEANS_SQL = "mt AS (SELECT region, rank, sum(v) AS v FROM effort GROUP BY 1, 2)"
 
 @query("j03_k01_region_distances", f"WITH {E} SELECT a.region AS a, b.region AS b, {sql_r6('sqrt(avg(pow(x.v - y.v, 2)))')} AS rmse FROM (SELECT DISTINCT region FROM effort) a JOIN (SELECT DISTINCT region FROM effort) b ON a.region < b.region JOIN effort x ON x.region = a.region JOIN effort y ON y.region = b.region AND y.rank = x.rank AND y.step = x.step GROUP BY 1, 2")
 def _(spark, d):
-    long = X.effort(spark, d)
-    a, b = long.select(F.col("region").alias("a"), "rank", "step", F.col("v").alias("x")), long.select(F.col("region").alias("b"), "rank", "step", F.col("v").alias("y"))
-    both = a.join(b, ["rank", "step"]).where("a < b")  # cells meet by place, so the join is an equi-join
-    diff = F.col("x") - F.col("y")
-    return both.groupBy("a", "b").agg(r6(F.sqrt(F.avg(diff * diff))).alias("rmse"))
+    db = RegionDB(X.effort(spark, d).withColumn("metric", F.lit("value")), (X.RANKS, X.STEPS))
+    return db.distances("value").withColumn("rmse", r6("rmse"))
 
 
 @query("j06_key_file_names", f"WITH {SHIP}, k AS (SELECT region, metric, row_number() OVER (ORDER BY metric, region) - 1 AS id FROM (SELECT DISTINCT region, metric FROM ship)) SELECT k.region, metric, CASE WHEN id < 8 THEN 'effort-' || metric || '-0-' || CAST(id AS VARCHAR) ELSE 'unknown-' || metric || '-0' END AS file FROM k")

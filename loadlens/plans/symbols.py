@@ -14,6 +14,7 @@ from loadlens.operators.checkpoints import scratch
 from loadlens.plans.catalog import query, r6, sql_r6
 from loadlens.sources import binary, store, symtab, textmatrix
 from loadlens.sources import fixtures as X
+from loadlens.sources.regiondb import RegionDB
 from loadlens.streaming import comm, steps
 
 E, PATHS, SYM, SHIP = X.EFFORT_SQL, X.PATHS_SQL, X.SYMBOLS_SQL, X.SHIPMENTS_SQL
@@ -404,4 +405,19 @@ def events_folder(spark, d, schema) -> str:
 
 @query("x12_region_db", f"WITH {SHIP} SELECT region, list(metric ORDER BY metric) AS metrics FROM (SELECT DISTINCT region, metric FROM ship) GROUP BY 1")
 def _(spark, d):
-    return X.shipments(spark, d).groupBy("region").agg(F.sort_array(F.collect_set("metric")).alias("metrics"))
+    return RegionDB(X.shipments(spark, d), (X.RANKS, X.STEPS)).regions()
+
+
+@query("x12_region_totals", f"WITH {SHIP}, s AS (SELECT region, sum(v) AS v FROM ship WHERE metric = 'price' GROUP BY 1) SELECT region, {sql_r6('v', 2)} AS total, {sql_r6('100 * v / (SELECT sum(v) FROM s)')} AS percent FROM s")
+def _(spark, d):
+    found = RegionDB(X.shipments(spark, d), (X.RANKS, X.STEPS)).totals("price")
+    return found.select("region", r6("total", 2).alias("total"), r6("percent").alias("percent"))
+
+
+@query("x12_stored_surface", f"WITH {E} SELECT rank, step, {sql_r6('sum(v)', 4)} AS v FROM effort WHERE region IN ('click', 'view') GROUP BY 1, 2")
+def _(spark, d):
+    """Saved, loaded, selected and summed."""
+    path = scratch(spark)
+    RegionDB(X.event_facts(spark, d).withColumn("metric", F.lit("value")), (X.RANKS, X.STEPS)).save(path)
+    found = RegionDB.load(spark, path, (X.RANKS, X.STEPS)).where("region in ('click', 'view')").surface("value")
+    return found.select("rank", "step", r6("v", 4).alias("v"))
\ No newline at end of file

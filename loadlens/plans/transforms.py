@@ -11,6 +11,7 @@ from loadlens.operators import densify as D
 from loadlens.operators.checkpoints import checkpointed, scratch
 from loadlens.plans.catalog import query, r6, sql_r6
 from loadlens.sources import fixtures as X
+from loadlens.sources.regiondb import RegionDB
 
 E, SIG = X.EFFORT_SQL, X.SIGNALS_SQL
 A, K = wavelet.LIFT, wavelet.SCALE
@@ -379,10 +380,8 @@ def _(spark, d):
 
 @query("a19_k01_coefficient_rmse", f"WITH {E}, {sql_levels2('t', 'effort', 'region', 16, 64, 3)} SELECT a.region AS a, b.region AS b, {sql_r6('sqrt(avg(pow(a.v - b.v, 2)))')} AS wtrmse FROM t a JOIN t b ON a.rank = b.rank AND a.step = b.step AND a.region < b.region GROUP BY 1, 2")
 def _(spark, d):
-    long = D.to_long(wavelet.dwt2(effort_rows(spark, d), ["region"], 3, SHAPE), ["region", "rank"])
-    a, b = long.select(F.col("region").alias("a"), "rank", "step", F.col("v").alias("x")), long.select(F.col("region").alias("b"), "rank", "step", F.col("v").alias("y"))
-    diff = F.col("x") - F.col("y")
-    return a.join(b, ["rank", "step"]).where("a < b").groupBy("a", "b").agg(r6(F.sqrt(F.avg(diff * diff))).alias("wtrmse"))
+    db = RegionDB(X.effort(spark, d).withColumn("metric", F.lit("value")), SHAPE)
+    return db.distances("value", level=3).select("a", "b", r6("rmse").alias("wtrmse"))
 
 
 @query("t13_level_matrix_product", f"WITH {SIG}, {SIG1}, {sql_levels('t', 's', 'id', 'pos', 64, 2)} SELECT id, pos, {sql_r6('v')} AS v FROM t")

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from loadlens.operators import cluster, codec, wavelet
 from loadlens.sources import binary
+from loadlens.sources.regiondb import RegionDB
 
 
 @pytest.mark.parametrize("n", [2**k for k in range(1, 12)])
@@ -273,3 +274,23 @@ def test_clusterings_of_all_signatures(spark, sf_dir):
         assert np.minimum(rest[:, None], d).sum(0).min() > cost - 1e-6
     medoids = plans.QUERIES["k06_xpam_bic"](spark, sf_dir).collect()
     assert {round(r["bic"], 4) for r in medoids} == {round(max(cluster.bic(d, cluster.pam(d, k)[0], 16) for k in range(1, 13)), 4)}
+
+
+def test_region_db(spark, tmp_path):
+    """Sparse cells, regions of two columns, a store and back, clusters."""
+    rows = [("time", "a", 0, r, s, float(r + s)) for r in range(4) for s in range(4)] + [("time", "a", 1, 0, 0, 1.0), ("time", "b", 0, 0, 0, 1.5), ("work", "b", 0, 3, 3, 2.0)]
+    cells = spark.createDataFrame(rows, "metric string, start string, type int, rank long, step long, v double")
+    db = RegionDB(cells, (4, 4), ("start", "type"))
+    db.save(str(tmp_path / "log"))
+    for found in (db, RegionDB.load(spark, str(tmp_path / "log"), (4, 4), ("start", "type"))):
+        assert [r.metric for r in found.metrics().collect()] == ["time", "work"]
+        assert {(r.start, r.type): r.metrics for r in found.regions().collect()} == {("a", 0): ["time"], ("a", 1): ["time"], ("b", 0): ["time", "work"]}
+        assert [(r.start, r.type, r.total, round(r.percent, 4)) for r in found.totals("time").collect()][:2] == [("a", 0, 48.0, 95.0495), ("b", 0, 1.5, 2.9703)]
+        surface = {(r.rank, r.step): r.v for r in found.where("type = 0").surface("time").collect()}
+        assert len(surface) == 16 and surface[0, 0] == 1.5 and surface[3, 3] == 6.0
+        near = {(tuple(r.a), tuple(r.b)): r.rmse for r in found.distances("time").collect()}
+        assert len(near) == 3 and math.isclose(near[("a", 1), ("b", 0)], 0.125)
+        assert math.isclose(near[("a", 0), ("a", 1)], math.sqrt((sum((r + s) ** 2 for r in range(4) for s in range(4)) + 1) / 16))
+        assert [c for _, c in found.clusters("time", 2)] == [0, 1, 1]
+    assert {tuple(r.a) for r in db.distances("time", level=1).collect()} == {("a", 0), ("a", 1)}
+    assert db.where("false").regions().isEmpty() and db.where("false").clusters("time", 2) == []
