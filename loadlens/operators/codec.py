@@ -5,6 +5,8 @@ from __future__ import annotations
 import heapq
 import sys
 from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import takewhile
 
 import numpy as np
 from pyspark import cloudpickle
@@ -452,19 +454,28 @@ def huffman_decode(data: bytes, size: int) -> bytes:
 _TOP, _HALF, _QUARTER = (1 << 32) - 1, 1 << 31, 1 << 30
 
 
-class _Model:
-    """Adaptive counts of 256 symbols and an end, with their sums in a binary indexed tree."""
+class Model:
+    """Counts of some symbols, bytes or bits or any others, with their sums in a binary indexed tree.
 
-    def __init__(self):
-        self.set([1] * 257)
+    An adaptive model adds step to a symbol's count when it has seen it; with a
+    step of 0 the model is static. Both sides of a code start from equal models.
+    """
+
+    def __init__(self, counts: list[int], step: int = 0):
+        if not counts or min(counts) < 0 or not 0 < sum(counts) < _QUARTER:
+            raise ValueError("counts must not be negative, nor their sum 0 or 2^30 and more")
+        self.step = step
+        self.set(list(counts))
 
     def set(self, n: list[int]) -> None:
         self.n, self.all, self.sums = n, sum(n), [0, *n]
-        for i in range(1, 258):
-            if (up := i + (i & -i)) < 258:
+        for i in range(1, len(n) + 1):
+            if (up := i + (i & -i)) <= len(n):
                 self.sums[up] += self.sums[i]
 
     def range(self, s: int) -> tuple[int, int, int]:
+        if not self.n[s]:
+            raise ValueError(f"symbol {s} has the count 0")
         low, i = 0, s
         while i:
             low += self.sums[i]
@@ -472,28 +483,30 @@ class _Model:
         return low, low + self.n[s], self.all
 
     def find(self, target: int) -> int:
-        at, step = 0, 256
+        at, step = 0, 1 << len(self.n).bit_length() - 1
         while step:
-            if at + step < 258 and self.sums[at + step] <= target:
+            if at + step <= len(self.n) and self.sums[at + step] <= target:
                 at += step
                 target -= self.sums[at]
             step >>= 1
         return at
 
     def see(self, s: int) -> None:
-        self.n[s] += 32
-        self.all += 32
+        if not self.step:
+            return
+        self.n[s] += self.step
+        self.all += self.step
         i = s + 1
-        while i < 258:
-            self.sums[i] += 32
+        while i <= len(self.n):
+            self.sums[i] += self.step
             i += i & -i
         if self.all > 1 << 16:
             self.set([(x + 1) // 2 for x in self.n])
 
 
-def arithmetic_encode(data: bytes) -> bytes:
-    """Adaptive arithmetic code (Witten, Neal and Cleary 1987) with an end symbol."""
-    model, bits, low, high, waiting = _Model(), [], 0, _TOP, 0
+def encode_symbols(symbols: Iterable[int], model: Model) -> bytes:
+    """Arithmetic code (Witten, Neal and Cleary 1987) of symbols by a model, which is changed if it is adaptive."""
+    bits, low, high, waiting = [], 0, _TOP, 0
 
     def put(bit: int) -> None:
         nonlocal waiting
@@ -501,7 +514,7 @@ def arithmetic_encode(data: bytes) -> bytes:
         bits.extend([1 - bit] * waiting)
         waiting = 0
 
-    for s in [*data, 256]:
+    for s in symbols:
         a, b, n = model.range(s)
         span = high - low + 1
         low, high = low + span * a // n, low + span * b // n - 1
@@ -523,17 +536,16 @@ def arithmetic_encode(data: bytes) -> bytes:
     return np.packbits(np.array(bits, np.uint8)).tobytes()
 
 
-def arithmetic_decode(data: bytes) -> bytes:
+def decode_symbols(data: bytes, model: Model) -> Iterator[int]:
+    """The symbols of encode_symbols() and, as no end is coded, others without end after them."""
     bits = iter([*np.unpackbits(np.frombuffer(data, np.uint8)).tolist(), *[0] * 64])
-    model, out, low, high, value = _Model(), bytearray(), 0, _TOP, 0
+    low, high, value = 0, _TOP, 0
     for _ in range(32):
         value = 2 * value + next(bits)
     while True:
         span, n = high - low + 1, model.all
         s = model.find(((value - low + 1) * n - 1) // span)
-        if s == 256:
-            return bytes(out)
-        out.append(s)
+        yield s
         a, b, n = model.range(s)
         low, high = low + span * a // n, low + span * b // n - 1
         while True:
@@ -549,6 +561,22 @@ def arithmetic_decode(data: bytes) -> bytes:
         model.see(s)
 
 
+END = 256  # after the last byte
+
+
+def _bytes_and_end() -> Model:
+    return Model([1] * 257, 32)
+
+
+def arithmetic_encode(data: bytes) -> bytes:
+    """Adaptive arithmetic code of bytes with an end symbol."""
+    return encode_symbols([*data, END], _bytes_and_end())
+
+
+def arithmetic_decode(data: bytes) -> bytes:
+    return bytes(takewhile(lambda s: s != END, decode_symbols(data, _bytes_and_end())))
+
+
 FRAME = 65_536  # bytes of a frame
 
 

@@ -1,5 +1,6 @@
 """Properties that the SQL comparison does not show."""
 
+import itertools
 import math
 from collections import Counter
 
@@ -294,3 +295,26 @@ def test_region_db(spark, tmp_path):
         assert [c for _, c in found.clusters("time", 2)] == [0, 1, 1]
     assert {tuple(r.a) for r in db.distances("time", level=1).collect()} == {("a", 0), ("a", 1)}
     assert db.where("false").regions().isEmpty() and db.where("false").clusters("time", 2) == []
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 40).flatmap(lambda n: st.tuples(st.just(n), st.lists(st.integers(0, n - 1), max_size=300))), st.sampled_from([0, 1, 32, 5000]))
+def test_arithmetic_models(case, step):
+    """Bits and other alphabets, static and adaptive, counts of 0 among them."""
+    n, symbols = case
+    counts = [symbols.count(s) if step == 0 else 1 for s in range(n)]
+    if not any(counts):
+        counts[0] = 1
+    coded = codec.encode_symbols(symbols, codec.Model(counts, step))
+    assert list(itertools.islice(codec.decode_symbols(coded, codec.Model(counts, step)), len(symbols))) == symbols
+    if step == 0 and symbols:
+        entropy = sum(-c * math.log2(c / len(symbols)) for c in counts if c)
+        assert len(coded) * 8 <= entropy + 0.01 * len(symbols) + 16
+
+
+def test_models_refuse_what_they_cannot_code():
+    for counts in ([], [0, 0], [1, -1], [1 << 30]):
+        with pytest.raises(ValueError):
+            codec.Model(counts)
+    with pytest.raises(ValueError):
+        codec.encode_symbols([1], codec.Model([1, 0]))
