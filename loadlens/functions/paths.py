@@ -69,8 +69,22 @@ def key_text(metric, kind, start, end) -> Column:
 def parse_keys(text) -> Column:
     """Comma list of start=>end or of single paths to an array of keys of metric time and type 0."""
     parts = F.filter(F.split(_c(text), ","), lambda x: F.trim(x) != "")
-    sides = lambda x: F.split(x, "=>")
-    return F.transform(parts, lambda x: F.struct(F.lit("time").alias("metric"), F.lit(0).alias("type"), make_path(sides(x)[0]).alias("start"), make_path(F.element_at(sides(x), -1)).alias("end")))
+    sides = F.transform(parts, lambda x: F.split(x, "=>"))
+    return F.transform(sides, lambda x: F.struct(F.lit("time").alias("metric"), F.lit(0).alias("type"), make_path(x[0]).alias("start"), make_path(F.element_at(x, -1)).alias("end")))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by a key: a table of a few row groups is as few tasks, however many cores parse its texts."""
+    return df.repartition(key)
+
+
+def each(df: DataFrame, array: str, place: str, name: str) -> DataFrame:
+    """df with a row for each element of an array that is costly to make: place from 0, and the element; none for an empty array or null.
+
+    From an inner posexplode the optimizer infers that the array has elements, and would make it a second time to filter by that.
+    """
+    kept = [c for c in df.columns if c != array]
+    return df.select(*kept, F.posexplode_outer(array).alias(place, name)).where(F.col(place).isNotNull())
 
 
 def _text(path: Column) -> Column:

@@ -60,8 +60,8 @@ PATH_TEXT = "(SELECT path_id, string_agg(module || '(0x' || lower(hex(off)) || '
 
 @query("f18_parse_paths", f"WITH {PATHS} SELECT path_id, CAST(depth AS INTEGER) AS depth, module, off FROM frame")
 def _(spark, d):
-    made = X.paths(spark, d).select("path_id", P.path_text("path").alias("text")).select("path_id", P.make_path("text").alias("path"))
-    return made.select("path_id", F.posexplode("path").alias("depth", "f")).select("path_id", "depth", "f.module", "f.off")
+    made = P.spread(X.paths(spark, d), "path_id").select("path_id", P.path_text("path").alias("text")).select("path_id", P.make_path("text").alias("path"))
+    return P.each(made, "path", "depth", "f").select("path_id", "depth", "f.module", "f.off")
 
 
 @query("f20_o06_path_text", f"WITH {PATHS} SELECT path_id, text, '[time 0 ' || text || ' => null_callpath]' AS key FROM {PATH_TEXT}")
@@ -73,8 +73,9 @@ def _(spark, d):
 @query("f19_parse_keys", f"WITH {PATHS} SELECT path_id, CAST(k.k AS INTEGER) AS place, 'time' AS metric, 0 AS type, CASE WHEN k.k = 0 THEN text ELSE text END AS start_text, text AS end_text FROM {PATH_TEXT}, (VALUES (0), (1)) k(k)")
 def _(spark, d):
     t = P.path_text("path")
-    keys = X.paths(spark, d).select("path_id", P.parse_keys(F.concat(t, F.lit("=>"), t, F.lit(","), t)).alias("k"))
-    return keys.select("path_id", F.posexplode("k").alias("place", "x")).select("path_id", "place", "x.metric", "x.type", P.path_text(F.col("x.start")).alias("start_text"), P.path_text(F.col("x.end")).alias("end_text"))
+    texts = P.spread(X.paths(spark, d), "path_id").select("path_id", t.alias("t"))
+    keys = texts.select("path_id", P.parse_keys(F.concat("t", F.lit("=>"), "t", F.lit(","), "t")).alias("k"))
+    return P.each(keys, "k", "place", "x").select("path_id", "place", "x.metric", "x.type", P.path_text(F.col("x.start")).alias("start_text"), P.path_text(F.col("x.end")).alias("end_text"))
 
 
 SYMBOLIZED = f"{PATHS}, {SYM}, named AS (SELECT path_id, depth, coalesce(target, module) AS module, off FROM frame LEFT JOIN alias ON alias.alias = frame.module), found AS (SELECT path_id, depth, n.module, n.off, coalesce(file, '??') AS file, coalesce(line, 0) AS line, coalesce(symbol, '??') AS symbol FROM named n LEFT JOIN symtab s ON s.module = n.module AND s.off = n.off)"

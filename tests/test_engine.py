@@ -277,6 +277,22 @@ def test_clusterings_of_all_signatures(spark, sf_dir):
     assert {round(r["bic"], 4) for r in medoids} == {round(max(cluster.bic(d, cluster.pam(d, k)[0], 16) for k in range(1, 13)), 4)}
 
 
+def test_parsed_keys_are_made_once(spark, sf_dir):
+    """The optimizer must not parse a second time to see whether there are keys, nor leave all rows to the tasks of a file."""
+    from loadlens import plans
+    from loadlens.functions import paths
+
+    for name, times in (("f19_parse_keys", 4), ("f18_parse_paths", 2)):
+        plan = plans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract(") == times and "RepartitionByExpression" in plan
+    odd = spark.createDataFrame([(1, "a(0x1) : b(0x2)=>c(0x3),,x"), (2, ""), (3, None), (4, " , ")], "i long, t string")
+    rows = paths.each(odd.select("i", paths.parse_keys("t").alias("k")), "k", "place", "x").orderBy("i", "place").collect()
+    path = lambda x: [tuple(f) for f in x]
+    assert [(r.i, r.place, r.x.metric, r.x.type) for r in rows] == [(1, 0, "time", 0), (1, 1, "time", 0)]
+    assert (path(rows[0].x.start), path(rows[0].x.end)) == ([("b", 2), ("a", 1)], [("c", 3)])
+    assert path(rows[1].x.start) == path(rows[1].x.end) and [f.module for f in rows[1].x.start] == [""]
+
+
 def test_region_db(spark, tmp_path):
     """Sparse cells, regions of two columns, a store and back, clusters."""
     rows = [("time", "a", 0, r, s, float(r + s)) for r in range(4) for s in range(4)] + [("time", "a", 1, 0, 0, 1.0), ("time", "b", 0, 0, 0, 1.5), ("work", "b", 0, 3, 3, 2.0)]
