@@ -277,6 +277,27 @@ def test_clusterings_of_all_signatures(spark, sf_dir):
     assert {round(r["bic"], 4) for r in medoids} == {round(max(cluster.bic(d, cluster.pam(d, k)[0], 16) for k in range(1, 13)), 4)}
 
 
+def test_pairs_of_many_points(spark):
+    """More points than a matrix on the driver may have, odd ones among them: every pair once, rounded half up."""
+    from pyspark.sql import functions as F
+
+    n = 5_100
+    x = np.random.default_rng(2).normal(size=(n, 3))
+    x[7] = x[4_000]
+    points = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)] + [(1, None)], "id long, vals array<double>")
+    found = cluster.pair_distances(points, ["euclidean", "manhattan"], digits=6)
+    ends = found.agg(F.count("*").alias("n"), F.sum("manhattan").alias("s"), F.min(F.col("b") - F.col("a")).alias("least"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
+    assert ends["n"] == n * (n - 1) // 2 and ends["least"] == 3
+    ranks = np.arange(n)
+    sums = sum(float((np.sort(v) * (2 * ranks - n + 1)).sum()) for v in x.T)  # of |difference| over all pairs
+    assert math.isclose(ends["s"], sums, rel_tol=1e-7)
+    own = spark.range(n).select((F.col("id") * 3).alias("a"))
+    assert ends["h"] == own.crossJoin(own.withColumnRenamed("a", "b")).where("a < b").agg(F.bit_xor(F.xxhash64("a", "b"))).first()[0]
+    near = {(r.a, r.b): r.euclidean for r in found.where("b = 12000 and a in (21, 24)").collect()}
+    assert near[21, 12_000] == 0 and near[24, 12_000] == round(float(np.linalg.norm(x[8] - x[4_000])), 6)
+    assert cluster.pair_distances(points.where("id < 1"), ["euclidean"]).count() == 0
+
+
 def test_parsed_keys_are_made_once(spark, sf_dir):
     """The optimizer must not parse a second time to see whether there are keys, nor leave all rows to the tasks of a file."""
     from loadlens import plans
