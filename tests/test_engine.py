@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loadlens.operators import cluster, codec, wavelet
+from loadlens.operators import allpoints, cluster, codec, wavelet
 from loadlens.sources import binary
 from loadlens.sources.regiondb import RegionDB
 
@@ -298,6 +298,24 @@ def test_pairs_of_many_points(spark):
     assert cluster.pair_distances(points.where("id < 1"), ["euclidean"]).count() == 0
 
 
+def grid(n: int, seed: int = 4) -> np.ndarray:
+    """Points with whole coordinates: many copies, and equal distances between others."""
+    return np.random.default_rng(seed).integers(0, 6, (n, 3)).astype(float)
+
+
+def test_medoids_of_many_points(spark):
+    """More points than a matrix on the driver may have: the medoids that the matrix gives, ties to the least index."""
+    x = np.random.default_rng(5).normal(size=(5_100, 2))
+    x[-1] = x[0]
+    points = spark.createDataFrame([(i * 2, v.tolist()) for i, v in enumerate(x)] + [(1, None)], "id long, vals array<double>")
+    assert allpoints.pam(spark, points, 3) == [i * 2 for i in cluster.pam(cluster.matrix(x), 3)[0]]
+    few = grid(300)
+    d = cluster.matrix(few)
+    for k, (own, cost) in allpoints.medoids_of(spark, few, [1, 4, 7]).items():
+        assert own == cluster.pam(d, k)[0] and math.isclose(cost, d[:, own].min(1).sum())
+    assert allpoints.pam(spark, points.where("id = 1"), 3) == []
+
+
 def test_parsed_keys_are_made_once(spark, sf_dir):
     """The optimizer must not parse a second time to see whether there are keys, nor leave all rows to the tasks of a file."""
     from loadlens import plans
