@@ -316,6 +316,21 @@ def test_medoids_of_many_points(spark):
     assert allpoints.pam(spark, points.where("id = 1"), 3) == []
 
 
+def test_number_of_medoids_of_many_points(spark, monkeypatch):
+    """The query itself on more points than a matrix may have, and the number that the matrix gives."""
+    from loadlens import plans
+    from loadlens.plans import transforms
+
+    x = np.concatenate([np.random.default_rng(6).normal(c, 0.2, (1_700, 2)) for c in (0, 3, 7)])
+    points = spark.createDataFrame([(i + 5, v.tolist()) for i, v in enumerate(x)], "id long, vals array<double>")
+    own, score = cluster.xpam(cluster.matrix(x), 4, 2)
+    found, best = allpoints.xpam(spark, points, 4)
+    assert found == [i + 5 for i in own] and math.isclose(best, score)
+    monkeypatch.setattr(transforms, "signatures", lambda spark, d: points)
+    rows = plans.QUERIES["k06_xpam_bic"](spark, "").collect()
+    assert len(rows) >= 3 and len({r.bic for r in rows}) == 1 and {r.medoid for r in rows} <= set(range(5, 5_105))
+
+
 def test_parsed_keys_are_made_once(spark, sf_dir):
     """The optimizer must not parse a second time to see whether there are keys, nor leave all rows to the tasks of a file."""
     from loadlens import plans
