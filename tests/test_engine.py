@@ -331,6 +331,30 @@ def test_number_of_medoids_of_many_points(spark, monkeypatch):
     assert len(rows) >= 3 and len({r.bic for r in rows}) == 1 and {r.medoid for r in rows} <= set(range(5, 5_105))
 
 
+def one_by_one(x: np.ndarray) -> list[tuple]:
+    names, out = list(range(len(x))), []
+    for _, i, j, height, _ in cluster.complete_linkage(names, cluster.matrix(x)):
+        i, j = sorted((names[i], names[j]))
+        names.append(i)
+        out.append((round(height, 9), i, j))
+    return out
+
+
+def test_linkage_of_many_points(spark, monkeypatch):
+    """Merges by rounds are those of one at a time, ties and copies among them, by jobs and on the driver; then ten far groups."""
+    monkeypatch.setattr(allpoints, "COLUMNS", 50)
+    for x in (grid(250), np.random.default_rng(8).normal(size=(150, 4)), np.zeros((90, 2)), 2.0 ** np.arange(40)[:, None]):
+        assert [(round(h, 9), i, j) for h, i, j in allpoints.merges_of(spark, x, tail=1)] == one_by_one(x)
+    monkeypatch.setattr(allpoints, "SMALL", 0)
+    x = grid(80)
+    assert [(round(h, 9), i, j) for h, i, j in allpoints.merges_of(spark, x, tail=50)] == one_by_one(x)
+    monkeypatch.undo()
+    x = np.random.default_rng(9).normal(size=(5_100, 2)) + 100 * (np.arange(5_100) % 10)[:, None]
+    points = spark.createDataFrame([(i * 2, v.tolist()) for i, v in enumerate(x)] + [(1, None)], "id long, vals array<double>")
+    assert allpoints.linked(spark, points, 10) == [(i * 2, i % 10) for i in range(5_100)]
+    assert allpoints.linked(spark, points.where("id = 1"), 10) == []
+
+
 def test_parsed_keys_are_made_once(spark, sf_dir):
     """The optimizer must not parse a second time to see whether there are keys, nor leave all rows to the tasks of a file."""
     from loadlens import plans
